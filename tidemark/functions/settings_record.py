@@ -1,0 +1,65 @@
+"""The typed settings record of a settings document."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemark.functions.lookup import lookup, named_block, part, require_block
+
+# The fields of a settings document and their types.
+SPARK_FIELDS = {
+    "local": "boolean",
+    "debug": "boolean",
+    "ui": "boolean",
+    "offHeapEnabled": "boolean",
+    "driverCore": "int",
+    "driverMemory": "string",
+    "executorCore": "int",
+    "executorMemory": "string",
+    "offHeapMemory": "string",
+    "shufflePartitions": "int",
+    "warehouseRootPath": "string",
+    "checkpointsRootPath": "string",
+    "seedRootPath": "string",
+}
+STATE_FIELDS = {"storeProviderClass": "string"}
+SPARK_FIELDS_WITH_DEFAULT = {"metastoreRootPath": ("string", "")}
+TELEMETRY_FIELDS_WITH_DEFAULT = {
+    "url": ("string", ""),
+    "audience": ("string", ""),
+    "isRelay": ("boolean", False),
+}
+REQUIRED_BLOCKS = ("spark", "spark.state")
+OPTIONAL_BLOCKS = ("secret", "tokenCredential")
+
+
+def settings_record(
+    document: Column, driver: Column | str | None = None, strict: bool = True
+) -> Column:
+    """A struct of all settings; the blocks that may be missing stay variants."""
+    checked = document
+    if strict:
+        for block in REQUIRED_BLOCKS:
+            checked = require_block(checked, block)
+
+    def plain(block: str, fields: dict) -> list[Column]:
+        return [
+            lookup(checked, f"{block}.{name}", kind, strict=strict).alias(name)
+            for name, kind in fields.items()
+        ]
+
+    def defaulted(block: str, fields: dict) -> list[Column]:
+        return [
+            lookup(checked, f"{block}.{name}", kind, default, strict).alias(name)
+            for name, (kind, default) in fields.items()
+        ]
+
+    return F.struct(
+        *plain("spark", SPARK_FIELDS),
+        *plain("spark.state", STATE_FIELDS),
+        *defaulted("spark", SPARK_FIELDS_WITH_DEFAULT),
+        *[part(checked, block).alias(block) for block in OPTIONAL_BLOCKS],
+        named_block(checked, driver).alias("driver"),
+        F.struct(*defaulted("telemetry", TELEMETRY_FIELDS_WITH_DEFAULT)).alias("telemetry"),
+    )
