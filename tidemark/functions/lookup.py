@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _NO_DEFAULT = object()
 
-# How schema_of_variant names the kinds a field type takes.
+# The kind of value each type takes, as schema_of_variant names it.
 _KINDS = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "bigint": "BIGINT"}
 
 
@@ -21,46 +21,39 @@ def part(document: Column, *keys: str) -> Column:
     return F.try_variant_get(document, json_path(*keys), "variant")
 
 
-def lookup(
-    document: Column, path: str, kind: str, default: object = _NO_DEFAULT, strict: bool = True
+def typed(
+    found: Column, path: Column | str, kind: str, default: object = _NO_DEFAULT, strict: bool = True
 ) -> Column:
-    """The value at a dotted ``path`` as ``kind``.
+    """The variant ``found`` at ``path`` as ``kind``.
 
-    An absent key gives ``default``, if there is one. Otherwise, and where null
+    An absent value gives ``default``, if there is one. Otherwise, and where null
     is written, a boolean is false and anything else NULL. A value of another
     kind fails the job when ``strict``, and counts as null when not.
     """
-    found = part(document, *path.split("."))
     missing = F.lit(False) if kind == "boolean" else F.lit(None).cast(kind)
     value = F.try_variant_get(found, "$", kind)
-    expected = _KINDS.get(kind)
-    if expected is not None:
-        fits = F.schema_of_variant(found) == expected
-    else:
-        fits = value.isNotNull()
+    fits = value.isNotNull()
+    if kind in _KINDS:
+        # The conversion alone would also take "8" for a number.
+        fits = fits & (F.schema_of_variant(found) == _KINDS[kind])
+    wrong = missing
     if strict:
-        wrong = F.raise_error(F.lit(f"{path} is not {kind}")).cast(kind)
-        if kind == "int":
-            fits = fits & value.isNotNull()
-    else:
-        wrong = missing
-    result = F.when(F.is_variant_null(found), missing).when(fits, value).otherwise(wrong)
+        name = F.lit(path) if isinstance(path, str) else path
+        wrong = F.raise_error(F.concat(name, F.lit(f" is not {kind}"))).cast(kind)
     absent = missing if default is _NO_DEFAULT else F.lit(default).cast(kind)
-    return F.when(found.isNull(), absent).otherwise(result)
-
-
-def has_block(document: Column, path: str) -> Column:
-    """Whether the path leads to an object."""
-    block = part(document, *path.split("."))
-    return F.coalesce(F.schema_of_variant(block).startswith("OBJECT"), F.lit(False))
+    return (
+        F.when(found.isNull(), absent)
+        .when(fits, value)
+        .when(F.is_variant_null(found), missing)
+        .otherwise(wrong)
+    )
 
 
-def require_block(document: Column, path: str) -> Column:
-    """The document itself, or a failed job where the block is missing."""
-    message = F.lit(f"missing block {path}")
-    return F.when(has_block(document, path), document).otherwise(
-        F.raise_error(message).cast("variant")
-    )
+def lookup(
+    document: Column, path: str, kind: str, default: object = _NO_DEFAULT, strict: bool = True
+) -> Column:
+    """The value at a dotted ``path`` of ``document``; see ``typed``."""
+    return typed(part(document, *path.split(".")), path, kind, default, strict)
 
 
 def named_block(document: Column, name: Column | str | None) -> Column:

@@ -62,6 +62,8 @@ def _to_json(text: str, loader_class, marked: bool) -> str | None:
             return SCALAR_MARK + node.value
         if node.tag not in RESOLVED_TAGS:
             return node.value
+        if node.value.isdecimal() and node.value[0] != "0":
+            return int(node.value)
         value = loader.construct_object(node)
         if isinstance(value, float) and value - value != 0:
             return node.value  # JSON has no infinity

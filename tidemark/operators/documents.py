@@ -136,6 +136,5 @@ def _finish(
     message = F.concat(
         F.lit("Failed to read "), F.coalesce(F.col(column), F.lit("null")), F.lit(": "), reason
     )
-    # raise_error never returns, so the type of its branch is free: the value's own.
-    failed = F.when(F.raise_error(message).isNull(), value)
-    return df.select(*kept, F.when(reason.isNull(), value).otherwise(failed).alias(into))
+    passed = F.when(reason.isNull(), True).otherwise(F.raise_error(message).isNull())
+    return df.select(*kept, F.when(passed, value).alias(into))

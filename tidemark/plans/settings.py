@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.render import RANDOM_PLACEHOLDER, ROOT_PLACEHOLDER, stable_id
 from tidemark.functions.runtime import runtime_of
-from tidemark.functions.settings_record import settings_record
+from tidemark.operators.settings_record import read_settings
 from tidemark.operators.documents import read_json
 from tidemark.operators.settings import (
     filter_names,
@@ -75,14 +75,15 @@ def _settings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(telemetry, nothing), F.coalesce(secret, nothing),
         F.lit(', "'), kind, F.lit('": {"n": 1}}'),
     )
-    return load(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    return load(spark, sf_dir, "events", spread=True).select(
+        "event_id", payload.alias("payload")
+    )
 
 
 def path_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed settings record of every document, with its lookup defaults."""
     read = read_json(_settings_documents(spark, sf_dir), "payload")
-    typed = read.select("event_id", settings_record(F.col("doc"), "click").alias("s"))
-    return typed.select(
+    return read_settings(read, "doc", into="s", driver="click").select(
         "event_id",
         F.col("s.local").alias("is_local"),
         F.col("s.debug").alias("is_debug"),
