@@ -173,6 +173,22 @@ def test_yaml_integers(spark, text, expected):
     assert error == (None if expected is not None else "a is not int")
 
 
+def test_yaml_keys_with_dots_are_no_paths(spark):
+    df = texts(spark, "c.d: [1]", "c: {d: [1]}", "c.d: {e: 1}\nx: {y: [{z: 1}]}")
+    got = quarantined(
+        read_yaml_record(df, "payload", SMALL, allow_foreign=False, on_error="quarantine")
+    )
+    assert got[0] == (None, "undeclared key c\\.d")
+    assert got[1][0]["c"] == {"d": [1]}
+    assert got[2] == (None, "undeclared key c\\.d, x")
+
+
+def test_fields_that_differ_only_in_case(spark):
+    shape = record(field("a", StringType()), field("A", StringType()))
+    with pytest.raises(ValueError):
+        read_yaml_record(texts(spark, "a: 1"), "payload", shape)
+
+
 def test_yaml_other_scalars(spark):
     shape = record(
         field("s", StringType()), field("t", StringType()), field("f", DoubleType()),
@@ -194,7 +210,7 @@ def test_yaml_text_that_looks_like_json_stays_text(spark):
     [(doc, error)] = quarantined(
         read_yaml_record(texts(spark, text), "payload", SMALL, on_error="quarantine")
     )
-    assert doc is None and error == "c is not an object"
+    assert doc is None and error == "not a document of the declared shape"
     [(doc, _)] = quarantined(
         read_yaml_record(texts(spark, "b: '{\"x\": 1}'"), "payload", SMALL, on_error="quarantine")
     )

@@ -1,16 +1,17 @@
-"""Typed reading of marked JSON (see ``yaml_text``) under two key policies.
+"""Typed reading of marked JSON (see ``yaml_text``).
 
-For each object level the text is read once as map<string,string>, which keeps
-the document's key order and hands nested objects on as text. Everything after
-the YAML step is a built-in expression.
+One native parse takes the text apart into a struct of the declared shape whose
+scalars are still marked text. The scalars of one type are then converted by
+one expression: a copy of it per field would make generated code too long for
+the JVM to compile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,139 +23,199 @@ TRUE_TEXTS = ("true", "yes", "on")
 FALSE_TEXTS = ("false", "no", "off")
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-NO_ERRORS = "array<string>"
+SCALAR_TYPES = (T.StringType, T.BooleanType, T.FloatType, T.DoubleType, *INTEGER_TYPES)
 
-
-@dataclass(frozen=True)
-class KeyPolicy:
-    """``fold_case``: keys match in any case. ``allow_foreign``: undeclared keys are skipped."""
-
-    fold_case: bool
-    allow_foreign: bool
-
-
-def read_record(text: Column, shape: T.StructType, policy: KeyPolicy) -> Column:
-    """struct(value, errors) of the object in ``text``; NULL text gives the defaults."""
-    return _read_object(text, shape, policy, "")
-
-
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _errors(*found: Column) -> Column:
-    return F.array_compact(F.array(*found)) if found else F.array().cast(NO_ERRORS)
+NOT_OF_SHAPE = "not a document of the declared shape"
+_CORRUPT = "_corrupt_record"
 
 
-def _error_when(condition: Column, message: str) -> Column:
-    return F.when(condition, F.lit(message))
+@dataclass(frozen=True)
+class Leaf:
+    """A field that is no object: where it stands, how it is declared, its raw value."""
+
+    path: str
+    declared: T.StructField
+    raw: Column
+
+
+def read_record(
+    df: DataFrame, text: Column, shape: T.StructType, into: str, fold_keys: bool
+) -> DataFrame:
+    """Add struct ``into``(value, errors) of the marked JSON object in ``text``.
+
+    ``fold_keys`` says that the text has lower-case keys. NULL text gives the
+    defaults.
+    """
+    wire = T.StructType([*_raw_type(shape, fold_keys), T.StructField(_CORRUPT, T.StringType())])
+    raw = F.col("__raw")
+    read = df.withColumn("__raw", F.from_json(text, wire, {"columnNameOfCorruptRecord": _CORRUPT}))
+
+    groups: dict[str, list[Leaf]] = {}
+    arrays: list[Leaf] = []
+    for leaf in _leaves(shape, raw, fold_keys):
+        kind = leaf.declared.dataType
+        if isinstance(kind, T.ArrayType):
+            arrays.append(leaf)
+        else:
+            groups.setdefault(kind.simpleString(), []).append(leaf)
+
+    steps, values, errors = {}, {}, [F.array_compact(F.array(
+        F.when(raw.getField(_CORRUPT).isNotNull(), F.lit(NOT_OF_SHAPE))
+    ))]
+    for number, leaves in enumerate(groups.values()):
+        kind = leaves[0].declared.dataType
+        raws = F.array(*[leaf.raw for leaf in leaves])
+        name = f"__group{number}"
+        steps[name] = F.transform(raws, _scalar_reader(kind))
+        errors.append(_unfit(F.col(name), raws, [leaf.path for leaf in leaves], kind))
+        for position, leaf in enumerate(leaves):
+            values[leaf.path] = F.coalesce(F.get(name, position), default_of(leaf.declared))
+    for number, leaf in enumerate(arrays):
+        name = f"__array{number}"
+        steps[name] = _read(leaf.raw, leaf.declared, leaf.path, fold_keys)
+        errors.append(F.col(name).getField("errors"))
+        values[leaf.path] = F.col(name).getField("value")
+
+    result = F.struct(
+        _assemble(shape, values).alias("value"), F.concat(*errors).alias("errors")
+    )
+    return read.withColumns(steps).withColumn(into, result).drop("__raw", *steps)
 
 
-def _read_object(text: Column, shape: T.StructType, policy: KeyPolicy, path: str) -> Column:
-    def names(keys: Column) -> Column:
-        return F.transform(keys, F.lower) if policy.fold_case else keys
+def declared_keys(shape: T.DataType, fold_keys: bool, prefix: str = "") -> Iterator[str]:
+    """The paths of all declared keys, written as ``yaml_text`` lists a document's."""
+    if isinstance(shape, T.ArrayType):
+        yield from declared_keys(shape.elementType, fold_keys, prefix[:-1] + "[].")
+    elif isinstance(shape, T.StructType):
+        for declared in shape:
+            name = _key(declared.name, fold_keys).replace("\\", "\\\\").replace(".", "\\.")
+            yield prefix + name
+            yield from declared_keys(declared.dataType, fold_keys, f"{prefix}{name}.")
 
-    def level(entries: Column) -> Column:
-        # Reversed, so the first hit is the key's last occurrence in the document.
-        return F.struct(
-            F.reverse(names(F.map_keys(entries))).alias("keys"),
-            F.reverse(F.map_values(entries)).alias("values"),
-            F.map_keys(entries).alias("written"),
-        )
 
-    def field_reader(declared: T.StructField) -> Callable[[Column], Column]:
-        return lambda raw: _read_field(raw, declared, policy, f"{path}{declared.name}")
+def undeclared_keys(keys: Column, shape: T.StructType, fold_keys: bool) -> Column:
+    """Those of ``keys`` that ``shape`` lacks, without what lies below another of them."""
+    known = F.array(*[F.lit(path) for path in declared_keys(shape, fold_keys)])
 
-    def fields(entries: Column) -> Column:
-        read = []
-        for declared in shape:
-            wanted = declared.name.lower() if policy.fold_case else declared.name
-            position = F.array_position(entries.getField("keys"), wanted).cast("int")
-            # Position 0 means absent, and array element 0 does not exist.
-            found = F.get(entries.getField("values"), position - 1)
-            read.append(_bind(found, field_reader(declared)).alias(declared.name))
-        foreign = _foreign(entries.getField("written"), shape, policy, path)
-        return F.struct(*read, foreign.alias("__foreign"))
-
-    def gathered(parts: Column) -> Column:
-        value = F.struct(
-            *[parts.getField(f.name).getField("value").alias(f.name) for f in shape]
-        )
-        errors = F.concat(
-            *[parts.getField(f.name).getField("errors") for f in shape],
-            parts.getField("__foreign"),
+    def is_top(found: Column) -> Callable[[Column], Column]:
+        return lambda key: ~F.exists(
+            found,
+            lambda other: key.startswith(F.concat(other, F.lit(".")))
+            | key.startswith(F.concat(other, F.lit("[]"))),
         )
-        return F.struct(value.alias("value"), errors.alias("errors"))
-
-    entries = _bind(F.from_json(text, "map<string,string>"), level)
-    return _bind(_bind(entries, fields), gathered)
-
 
-def _foreign(written: Column, shape: T.StructType, policy: KeyPolicy, path: str) -> Column:
-    """An error per undeclared key of this level."""
-    if policy.allow_foreign:
-        return _errors()
-    declared = [f.name.lower() if policy.fold_case else f.name for f in shape]
+    found = F.array_except(keys, known)
+    return F.when(F.size(found) > 1, F.filter(found, is_top(found))).otherwise(found)
 
-    def undeclared(key: Column) -> Column:
-        return ~(F.lower(key) if policy.fold_case else key).isin(declared)
 
-    found = F.transform(
-        F.filter(written, undeclared), lambda key: F.concat(F.lit(f"undeclared key {path}"), key)
-    )
-    return F.coalesce(found, _errors())
+def _key(name: str, fold_keys: bool) -> str:
+    return name.lower() if fold_keys else name
 
 
-def _read_field(raw: Column, declared: T.StructField, policy: KeyPolicy, path: str) -> Column:
-    """struct(value, errors) of one field from its text, NULL where absent or null."""
-    kind = declared.dataType
+def _raw_type(kind: T.DataType, fold_keys: bool) -> T.DataType:
+    """The declared type with marked text for every scalar."""
     if isinstance(kind, T.StructType):
-        is_object = raw.startswith("{")
-        inner = _read_object(F.when(is_object, raw), kind, policy, f"{path}.")
-        wrong = _error_when(~is_object, f"{path} is not an object")
-        return _bind(
-            inner,
-            lambda r: F.struct(
-                r.getField("value").alias("value"),
-                F.concat(r.getField("errors"), _errors(wrong)).alias("errors"),
-            ),
-        )
+        names = [_key(f.name, fold_keys) for f in kind]
+        if len(set(names)) < len(names):
+            raise ValueError(f"fields of one object differ only in case: {names}")
+        return T.StructType([
+            T.StructField(name, _raw_type(f.dataType, fold_keys)) for name, f in zip(names, kind)
+        ])
     if isinstance(kind, T.ArrayType):
-        return _read_array(raw, declared, policy, path)
-    return _bind(
-        _read_scalar(raw, kind),
-        lambda value: F.struct(
-            F.coalesce(value, default_of(declared)).alias("value"),
-            _errors(
-                _error_when(raw.isNotNull() & value.isNull(), f"{path} is not {kind.simpleString()}")
-            ).alias("errors"),
-        ),
-    )
-
+        return T.ArrayType(_raw_type(kind.elementType, fold_keys))
+    if not isinstance(kind, SCALAR_TYPES):
+        raise TypeError(f"a YAML field cannot be declared as {kind.simpleString()}")
+    return T.StringType()
+
+
+def _leaves(
+    shape: T.StructType, raw: Column, fold_keys: bool, prefix: str = ""
+) -> Iterator[Leaf]:
+    for declared in shape:
+        path = prefix + declared.name
+        value = raw.getField(_key(declared.name, fold_keys))
+        if isinstance(declared.dataType, T.StructType):
+            yield from _leaves(declared.dataType, value, fold_keys, f"{path}.")
+        else:
+            yield Leaf(path, declared, value)
+
+
+def _assemble(shape: T.StructType, values: dict[str, Column], prefix: str = "") -> Column:
+    return F.struct(*[
+        (
+            _assemble(f.dataType, values, f"{prefix}{f.name}.")
+            if isinstance(f.dataType, T.StructType)
+            else values[prefix + f.name]
+        ).alias(f.name)
+        for f in shape
+    ])
+
+
+def _scalar_reader(kind: T.DataType) -> Callable[[Column], Column]:
+    return lambda raw: _scalar(raw, kind)
+
+
+def _unfit(values: Column, raws: Column, paths: list[str], kind: T.DataType) -> Column:
+    """A message for each position with a raw value but no typed one."""
+    messages = F.array(*[F.lit(f"{path} is not {kind.simpleString()}") for path in paths])
+    return F.array_compact(F.transform(
+        values,
+        lambda value, i: F.when(value.isNull() & F.get(raws, i).isNotNull(), F.get(messages, i)),
+    ))
+
+
+def _read(raw: Column, declared: T.StructField, path: str, fold_keys: bool) -> Column:
+    """struct(value, errors) of an array, or of what lies inside one."""
+    kind = declared.dataType
+    default = default_of(declared)
+    if isinstance(kind, T.StructType):
+        parts = F.struct(*[
+            _read(raw.getField(_key(f.name, fold_keys)), f, f"{path}.{f.name}", fold_keys)
+            .alias(f.name)
+            for f in kind
+        ])
+        return _bind(parts, lambda read: F.struct(
+            F.struct(*[read.getField(f.name).getField("value").alias(f.name) for f in kind])
+            .alias("value"),
+            F.concat(*[read.getField(f.name).getField("errors") for f in kind]).alias("errors"),
+        ))
+    if not isinstance(kind, T.ArrayType):
+        message = F.lit(f"{path} is not {kind.simpleString()}")
+        return _bind(_scalar(raw, kind), lambda value: F.struct(
+            F.coalesce(value, default).alias("value"),
+            F.array_compact(F.array(F.when(value.isNull() & raw.isNotNull(), message)))
+            .alias("errors"),
+        ))
+    item = T.StructField(declared.name, kind.elementType)
+    inside = f"{path}[]"
+    if isinstance(kind.elementType, SCALAR_TYPES):
+        message = F.lit(f"{inside} is not {kind.elementType.simpleString()}")
+        return _bind(F.transform(raw, _scalar_reader(kind.elementType)), lambda values: F.struct(
+            F.coalesce(values, default).alias("value"),
+            F.array_compact(F.array(F.when(
+                F.exists(
+                    F.arrays_zip(values.alias("value"), raw.alias("raw")),
+                    lambda pair: pair["value"].isNull() & pair["raw"].isNotNull(),
+                ),
+                message,
+            ))).alias("errors"),
+        ))
+    items = F.transform(raw, lambda value: _read(value, item, inside, fold_keys))
+    return _bind(items, lambda read: F.struct(
+        F.coalesce(F.transform(read, lambda r: r.getField("value")), default).alias("value"),
+        F.coalesce(
+            F.flatten(F.transform(read, lambda r: r.getField("errors"))),
+            F.array().cast("array<string>"),
+        ).alias("errors"),
+    ))
 
-def _read_array(raw: Column, declared: T.StructField, policy: KeyPolicy, path: str) -> Column:
-    item_type = declared.dataType.elementType
-    item_field = T.StructField(f"{declared.name}[]", item_type)
-    is_array = raw.startswith("[")
-    items = F.transform(
-        F.from_json(F.when(is_array, raw), "array<string>"),
-        lambda item: _read_field(item, item_field, policy, f"{path}[]"),
-    )
-    wrong = _error_when(~is_array, f"{path} is not an array")
-
-    def gathered(read: Column) -> Column:
-        value = F.transform(read, lambda r: r.getField("value"))
-        errors = F.flatten(F.transform(read, lambda r: r.getField("errors")))
-        return F.struct(
-            F.coalesce(value, default_of(declared)).alias("value"),
-            F.concat(F.coalesce(errors, _errors()), _errors(wrong)).alias("errors"),
-        )
 
-    return _bind(items, gathered)
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _read_scalar(raw: Column, kind: T.DataType) -> Column:
+def _scalar(raw: Column, kind: T.DataType) -> Column:
     """The marked text as ``kind``; NULL if it is no scalar or does not fit."""
     text = F.when(raw.startswith(SCALAR_MARK), F.substring(raw, 2, 2147483647))
     if isinstance(kind, T.StringType):
@@ -163,9 +224,9 @@ def _read_scalar(raw: Column, kind: T.DataType) -> Column:
         word = F.lower(text)
         return F.when(word.isin(*TRUE_TEXTS), True).when(word.isin(*FALSE_TEXTS), False)
     if isinstance(kind, INTEGER_TYPES):
-        return _bind(F.replace(text, F.lit("_"), F.lit("")), _whole_number).try_cast(kind)
+        return _whole_number(F.replace(text, F.lit("_"), F.lit(""))).try_cast(kind)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return _bind(F.replace(text, F.lit("_"), F.lit("")), _decimal_number).cast(kind)
+        return _decimal_number(F.replace(text, F.lit("_"), F.lit(""))).cast(kind)
     raise TypeError(f"a YAML field cannot be declared as {kind.simpleString()}")
 
 

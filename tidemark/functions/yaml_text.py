@@ -4,6 +4,9 @@ Two forms. ``yaml_to_json`` resolves scalars (numbers, booleans, null) for
 dynamic use. ``yaml_to_marked_json`` leaves every scalar as its raw text behind
 a mark, because a declared field type, not the scalar's look, decides how a
 typed read takes it: ``1.10`` stays ``1.10`` for a string field.
+
+As each key passes through here anyway, the marked form can also fold its case
+and list it. What the policies make of that is left to built-in expressions.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -35,7 +39,17 @@ STANDARD_TAG = "tag:yaml.org,2002:"
 RESOLVED_TAGS = {STANDARD_TAG + kind for kind in ("int", "float", "bool")}
 NULL_TAG = STANDARD_TAG + "null"
 
-RESULT_SCHEMA = "json string, error string"
+RESULT_SCHEMA = "json string, keys array<string>, error string"
+
+
+@dataclass(frozen=True)
+class Form:
+    """``marked``: raw scalars behind a mark. ``fold_keys``: lower-case keys, of which
+    the last to match counts. ``list_keys``: also give the path of every key."""
+
+    marked: bool
+    fold_keys: bool = False
+    list_keys: bool = False
 
 
 def _loader_class():
@@ -49,16 +63,20 @@ def _loader_class():
     return loader
 
 
-def _to_json(text: str, loader_class, marked: bool) -> str | None:
-    """JSON text of one document, None for an empty one; ValueError or YAMLError if bad."""
+def _to_json(text: str, loader_class, form: Form) -> tuple[str | None, list[str] | None]:
+    """JSON text and key paths of one document, None for an empty document.
+
+    Raises ValueError or YAMLError for a bad one.
+    """
     loader = loader_class(text)
     visited: set[int] = set()
     aliases = 0
+    paths: dict[str, None] = {}
 
     def scalar(node):
         if node.tag == NULL_TAG:
             return None
-        if marked:
+        if form.marked:
             return SCALAR_MARK + node.value
         if node.tag not in RESOLVED_TAGS:
             return node.value
@@ -69,7 +87,7 @@ def _to_json(text: str, loader_class, marked: bool) -> str | None:
             return node.value  # JSON has no infinity
         return value
 
-    def convert(node):
+    def convert(node, prefix):
         nonlocal aliases
         if not node.tag.startswith(STANDARD_TAG):
             raise ValueError(f"unknown tag {node.tag}")
@@ -81,57 +99,65 @@ def _to_json(text: str, loader_class, marked: bool) -> str | None:
                 raise ValueError("too many aliases")
         visited.add(id(node))
         if isinstance(node, yaml.SequenceNode):
-            return [convert(item) for item in node.value]
+            inner = prefix and prefix[:-1] + "[]."
+            return [convert(item, inner) for item in node.value]
         loader.flatten_mapping(node)
         mapping = {}
-        for key, value in node.value:
-            if not isinstance(key, yaml.ScalarNode):
+        for key_node, value in node.value:
+            if not isinstance(key_node, yaml.ScalarNode):
                 raise ValueError("a mapping key is not a scalar")
-            mapping.pop(key.value, None)  # a repeated key moves to its last place
-            mapping[key.value] = convert(value)
+            key = key_node.value.lower() if form.fold_keys else key_node.value
+            inner = prefix
+            if form.list_keys:
+                path = prefix + key.replace("\\", "\\\\").replace(".", "\\.")
+                paths[path] = None
+                inner = path + "."
+            mapping.pop(key, None)  # a repeated key moves to its last place
+            mapping[key] = convert(value, inner)
         return mapping
 
     try:
         root = loader.get_single_node()
         if root is None or root.tag == NULL_TAG:
-            return None
+            return None, None
         if not isinstance(root, yaml.MappingNode):
             raise ValueError("the root is not a mapping")
-        result = json.dumps(convert(root), ensure_ascii=False)
+        result = json.dumps(convert(root, ""), ensure_ascii=False)
         result.encode("utf-8")
-        return result
+        return result, list(paths) if form.list_keys else None
     finally:
         loader.dispose()
 
 
-def _convert_batch(texts: pd.Series, loader_class, marked: bool) -> pd.DataFrame:
+def _convert_batch(texts: pd.Series, loader_class, form: Form) -> pd.DataFrame:
     """Each distinct text of an Arrow batch is parsed once."""
+    nothing = (None, None, None)
     results = {}
     for text in texts.dropna().unique():
         try:
-            results[text] = (_to_json(text, loader_class, marked), None)
+            results[text] = (*_to_json(text, loader_class, form), None)
         except (yaml.YAMLError, ValueError, RecursionError) as failure:
-            results[text] = (None, f"{type(failure).__name__}: {failure}")
-    rows = [results.get(text, (None, None)) if text is not None else (None, None) for text in texts]
-    return pd.DataFrame(rows, columns=["json", "error"], dtype=object)
+            results[text] = (None, None, f"{type(failure).__name__}: {failure}")
+    rows = [nothing if text is None else results.get(text, nothing) for text in texts]
+    return pd.DataFrame(rows, columns=["json", "keys", "error"], dtype=object)
 
 
-def _converter(marked: bool) -> Callable[[Column], Column]:
+def _convert(text: Column, form: Form) -> Column:
     def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if yaml is None:
             raise ImportError("reading YAML needs PyYAML on the executors")
         loader_class = _loader_class()
         for texts in batches:
-            yield _convert_batch(texts, loader_class, marked)
+            yield _convert_batch(texts, loader_class, form)
 
-    return F.pandas_udf(convert, RESULT_SCHEMA)
+    return F.pandas_udf(convert, RESULT_SCHEMA)(text)
 
 
 def yaml_to_json(text: Column) -> Column:
-    """struct(json, error) with resolved scalars; both NULL for an empty document."""
-    return _converter(marked=False)(text)
+    """struct(json, keys, error) with resolved scalars; all NULL for an empty document."""
+    return _convert(text, Form(marked=False))
 
 
-def yaml_to_marked_json(text: Column) -> Column:
-    """struct(json, error) with every scalar as marked raw text."""
-    return _converter(marked=True)(text)
+def yaml_to_marked_json(text: Column, fold_keys: bool = False, list_keys: bool = False) -> Column:
+    """struct(json, keys, error) with every scalar as marked raw text."""
+    return _convert(text, Form(marked=True, fold_keys=fold_keys, list_keys=list_keys))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.schema import with_defaults, without_metadata
-from tidemark.functions.typed_read import KeyPolicy, read_record
+from tidemark.functions.typed_read import read_record, undeclared_keys
 from tidemark.functions.yaml_text import yaml_to_json, yaml_to_marked_json
 from tidemark.session import session_conf
 
@@ -27,6 +27,8 @@ _STRICT_JSON = {
 # A key written twice in one object: the last one counts.
 _LAST_KEY_WINS = {"spark.sql.variant.allowDuplicateKeys": "true"}
 
+_TEMPORARY = ("__variant", "__record", "__yaml", "__read", "__foreign")
+
 NO_PAYLOAD = "no document"
 NOT_AN_OBJECT = "not a JSON object"
 NOT_OF_SHAPE = "not a JSON object of the declared shape"
@@ -94,15 +96,25 @@ def read_yaml_record(
 
     An empty document is NULL. Of keys that match the same field the last counts.
     """
-    policy = KeyPolicy(fold_case=case_insensitive, allow_foreign=allow_foreign)
-    parsed = df.withColumn("__yaml", yaml_to_marked_json(F.col(column)))
-    parsed = parsed.withColumn("__read", read_record(F.col("__yaml.json"), shape, policy))
+    document = yaml_to_marked_json(
+        F.col(column), fold_keys=case_insensitive, list_keys=not allow_foreign
+    )
+    parsed = df.withColumn("__yaml", document)
+    parsed = read_record(parsed, F.col("__yaml.json"), shape, "__read", case_insensitive)
     value = F.when(F.col("__yaml.json").isNotNull(), F.col("__read.value"))
     reason = (
         F.when(F.col(column).isNull(), NO_PAYLOAD)
         .when(F.col("__yaml.error").isNotNull(), F.col("__yaml.error"))
         .when(F.size("__read.errors") > 0, F.array_join("__read.errors", "; "))
     )
+    if not allow_foreign:
+        parsed = parsed.withColumn(
+            "__foreign", undeclared_keys(F.col("__yaml.keys"), shape, case_insensitive)
+        )
+        reason = reason.when(
+            F.size("__foreign") > 0,
+            F.concat(F.lit("undeclared key "), F.array_join("__foreign", ", ")),
+        )
     return _finish(parsed, column, value, reason, into, on_error)
 
 
@@ -123,8 +135,7 @@ def split_bad(df: DataFrame, payload: str, into: str = "doc") -> tuple[DataFrame
 def _finish(
     df: DataFrame, column: str, value: Column, reason: Column, into: str, on_error: str
 ) -> DataFrame:
-    temporary = [c for c in df.columns if c in ("__variant", "__record", "__yaml", "__read")]
-    kept = [F.col(c) for c in df.columns if c not in temporary and c != into]
+    kept = [F.col(c) for c in df.columns if c not in _TEMPORARY and c != into]
     if on_error == "quarantine":
         return df.select(
             *kept,
