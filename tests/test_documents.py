@@ -255,6 +255,18 @@ def test_yaml_aliases_merges_and_bounds(spark):
     }
 
 
+def test_yaml_null_and_merge_in_a_record(spark):
+    df = texts(
+        spark, "a: null\nb: 'null'", "a: ~\nb: ''", "x: &x {d: [1]}\nc: {<<: *x}",
+        "x: &x {a: 1, b: y}\n<<: *x\nb: z",
+    )
+    docs = [doc for doc, _ in quarantined(read_yaml_record(df, "payload", SMALL, on_error="quarantine"))]
+    assert (docs[0]["a"], docs[0]["b"]) == (7, "null")
+    assert (docs[1]["a"], docs[1]["b"]) == (7, "")
+    assert docs[2]["c"] == {"d": [1]}
+    assert (docs[3]["a"], docs[3]["b"]) == (1, "z")
+
+
 def test_yaml_arrays_of_records(spark):
     shape = record(field("items", ArrayType(record(
         field("name", StringType(), default="?"),

@@ -38,6 +38,13 @@ MAX_COLLECTION_ALIASES = 50
 STANDARD_TAG = "tag:yaml.org,2002:"
 RESOLVED_TAGS = {STANDARD_TAG + kind for kind in ("int", "float", "bool")}
 NULL_TAG = STANDARD_TAG + "null"
+TEXT_TAG = STANDARD_TAG + "str"
+
+# Plain scalars that are null, and the merge key.
+PLAIN_TAGS = {
+    **dict.fromkeys(("", "~", "null", "Null", "NULL"), NULL_TAG),
+    "<<": STANDARD_TAG + "merge",
+}
 
 RESULT_SCHEMA = "json string, keys array<string>, error string"
 
@@ -52,8 +59,14 @@ class Form:
     list_keys: bool = False
 
 
-def _loader_class():
+def _loader_class(form: Form):
     base = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    if form.marked:
+        return type("MarkedLoader", (base,), {
+            "resolve": _resolve_marked,
+            "descend_resolver": lambda self, node, index: None,
+            "ascend_resolver": lambda self: None,
+        })
     loader = type("DocumentLoader", (base,), {})
     loader.add_implicit_resolver(  # 1e3 is a float
         STANDARD_TAG + "float",
@@ -63,6 +76,13 @@ def _loader_class():
     return loader
 
 
+def _resolve_marked(loader, kind, value, implicit) -> str:
+    """Tag a node; of plain scalars only null and the merge key matter here."""
+    if kind is yaml.ScalarNode:
+        return PLAIN_TAGS.get(value, TEXT_TAG) if implicit[0] else TEXT_TAG
+    return STANDARD_TAG + ("map" if kind is yaml.MappingNode else "seq")
+
+
 def _to_json(text: str, loader_class, form: Form) -> tuple[str | None, list[str] | None]:
     """JSON text and key paths of one document, None for an empty document.
 
@@ -146,7 +166,7 @@ def _convert(text: Column, form: Form) -> Column:
     def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if yaml is None:
             raise ImportError("reading YAML needs PyYAML on the executors")
-        loader_class = _loader_class()
+        loader_class = _loader_class(form)
         for texts in batches:
             yield _convert_batch(texts, loader_class, form)
 
