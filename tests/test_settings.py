@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.render import render, stable_id, without_newlines
 from tidemark.functions.runtime import runtime_of
 from tidemark.operators.documents import read_json, read_yaml
-from tidemark.operators.joins import join_lookup, measured_bytes
+from tidemark.operators.joins import join_lookup, lookup_bytes
 from tidemark.operators.settings import (
     filter_names,
     merge_layers,
@@ -142,10 +142,14 @@ def test_placeholders_from_a_table(spark):
 def test_lookup_join_is_the_same_on_both_sides_of_the_limit(spark, capsys):
     docs = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     table = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    assert measured_bytes(table) == 5 * (32 + 1)
+    assert lookup_bytes(table, "k") == 5 * (32 + 1)
+    assert lookup_bytes(table.where("k < 0"), "k") == 0
+    with pytest.raises(ValueError):
+        join_lookup(docs, table.union(table), "k")
     small = join_lookup(docs, table, "k")
     large = join_lookup(docs, table, "k", limit_bytes=0)
-    assert sorted(small.collect()) == sorted(large.collect())
+    assert small.exceptAll(large).count() == large.exceptAll(small).count() == 0
+    assert small.count() == 1000
     small.explain()
     assert "BroadcastHashJoin" in capsys.readouterr().out
 

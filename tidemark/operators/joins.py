@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+SALTS = 32
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Rough in-memory size of ``df``, from one aggregation on the cluster."""
-    texts = [name for name, kind in df.dtypes if kind in ("string", "binary")]
-    width = 16 * len(df.columns)
-    row = F.lit(width)
-    for name in texts:
-        row = row + F.coalesce(F.octet_length(name), F.lit(0))
-    return df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("bytes")).first()["bytes"]
+def lookup_bytes(lookup: DataFrame, key: str) -> int:
+    """Rough in-memory size of ``lookup``; refuses one that repeats a key.
+
+    One job on the cluster, of which a single row comes back.
+    """
+    size = F.lit(16 * len(lookup.columns)).cast("bigint")
+    for name, kind in lookup.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    keys = lookup.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
+    found = keys.agg(F.max("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    if (found["rows"] or 0) > 1:
+        raise ValueError(f"the lookup has several rows for one {key}")
+    return found["bytes"] or 0
 
 
 def join_lookup(
@@ -24,9 +31,13 @@ def join_lookup(
     """Left join ``df`` to ``lookup``, which has at most one row per ``key``.
 
     ``lookup`` is measured first and broadcast only within ``limit_bytes``.
-    Beyond that both sides are shuffled, and adaptive execution splits the
-    partitions of a hot key on the ``df`` side, which a left join allows.
+    Beyond that both sides are shuffled by key and salt: each lookup row goes to
+    every salt, so the rows of a hot key meet it in many tasks. The salt is a hash
+    of the row and not drawn, so a retried task sends it the same way.
     """
-    if measured_bytes(lookup) <= limit_bytes:
-        lookup = F.broadcast(lookup)
-    return df.join(lookup, key, "left")
+    if lookup_bytes(lookup, key) <= limit_bytes:
+        return df.join(F.broadcast(lookup), key, "left")
+    hashable = [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int"))
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "__salt"], "left").drop("__salt")

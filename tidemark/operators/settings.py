@@ -15,12 +15,15 @@ from tidemark.operators.joins import join_lookup
 def restrict_keys(settings: DataFrame, *key_sources: DataFrame) -> DataFrame:
     """Rows of ``settings`` whose (scope, key) occurs in one of ``key_sources``.
 
-    The keys are made distinct, so a hot key leaves the map side once, and the
-    join reuses that partitioning. A skewed ``settings`` side is split by
-    adaptive execution, which a semi join allows.
+    The keys are made distinct within their source, so a hot key leaves the map
+    side once. The join then shuffles both sides for itself, which is what lets
+    adaptive execution split a partition that a hot key of ``settings`` fills.
     """
-    keys = [source.select("scope", "key") for source in key_sources]
-    allowed = reduce(DataFrame.unionByName, keys).distinct()
+    keys = [
+        source.select("scope", "key", F.lit(number).alias("__source"))
+        for number, source in enumerate(key_sources)
+    ]
+    allowed = reduce(DataFrame.unionByName, keys).distinct().drop("__source")
     return settings.join(allowed, ["scope", "key"], "left_semi")
 
 
@@ -102,19 +105,16 @@ def render_from_table(
 ) -> DataFrame:
     """Fill placeholders from rows (``scope``, ``name``, ``value``) of the document's scope.
 
-    The rows of a scope become one row with a column per name; a name the scope
-    lacks prints "null". ``extra`` holds placeholders that need no table.
+    A scope holds a name once; a name it lacks prints "null". ``extra`` holds
+    placeholders that need no table. Joins after the first find the documents
+    partitioned by scope already, where they are not broadcast joins anyway.
     """
-    wide = variables.where(F.col("name").isin(list(names))).groupBy("scope").agg(
-        *[
-            F.max(F.when(F.col("name") == name, F.col("value"))).alias(f"__var{i}")
-            for i, name in enumerate(names)
-        ]
-    )
-    joined = join_lookup(df, wide, "scope")
-    values: dict[str, Column | str] = {
-        name: F.col(f"__var{i}") for i, name in enumerate(names)
-    }
-    values.update(extra or {})
-    filled = joined.withColumn(into or column, render(F.col(column), values))
-    return filled.drop(*[f"__var{i}" for i in range(len(names))])
+    values: dict[str, Column | str] = {}
+    joined = df
+    for number, name in enumerate(names):
+        found = f"__value{number}"
+        of_name = variables.where(F.col("name") == name)
+        joined = join_lookup(joined, of_name.select("scope", F.col("value").alias(found)), "scope")
+        values[name] = F.col(found)
+    filled = joined.withColumn(into or column, render(F.col(column), {**values, **(extra or {})}))
+    return filled.drop(*[f"__value{number}" for number in range(len(names))])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +15,24 @@ def once_per_period(
     """The distinct (``key``, period start) of a stream, emitted when first seen.
 
     The start keeps the column name ``time`` and carries the watermark, so state
-    is dropped ``delay`` after the period. The shuffle is by key and period: a
-    key that holds much of the stream is spread over its periods, and reaches a
-    later join at most once per period.
+    is dropped ``delay`` after the period. Rows are made distinct within their
+    Arrow batch before the shuffle, so a key that holds much of the stream
+    neither fills one task nor reaches a later join more than once per period.
     """
     starts = df.select(key, F.date_trunc(period, F.col(time)).alias(time))
-    return starts.withWatermark(time, delay).dropDuplicates([key, time])
+    combined = starts.mapInArrow(_distinct_within_batch(), starts.schema)
+    return combined.withWatermark(time, delay).dropDuplicates([key, time])
+
+
+def _distinct_within_batch():
+    # A nested function travels by value, so executors need only pyarrow.
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            kept = rows.group_by(rows.column_names).aggregate([])
+            yield from kept.combine_chunks().to_batches()
+
+    return distinct
 
 
 def follow_within(
