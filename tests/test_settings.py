@@ -1,5 +1,7 @@
 """Settings as data."""
 
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from tidemark.operators.settings import (
     restrict_keys,
 )
 from tidemark.operators.settings_record import FIELDS, read_settings
+from tidemark.plans.cache_demo import cache_demo, main, settings_from_files
+from tidemark.session import scratch_path
 from tidemark.sources.settings_table import session_settings
 
 SCHEMA = "scope string, key string, value string"
@@ -239,3 +243,26 @@ def test_session_settings(spark):
         assert set(dict(rows)) <= set(runtime)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_settings_files_end_to_end(spark):
+    path = scratch_path(spark, "settings-files").removeprefix("file:")
+    os.makedirs(path)
+    for name, local in (("a", "true"), ("b", "false")):
+        with open(f"{path}/{name}.yaml", "w") as handle:
+            handle.write(SETTINGS_YAML.replace("local: true", f"local: {local}"))
+    read = settings_from_files(
+        spark, path, {"GIT_ROOT": "/repo", "RANDOM_STRING": "r"}, driver="secret"
+    )
+    rows = {os.path.basename(r["path"]): r["settings"] for r in read.collect()}
+    assert rows["a.yaml"]["metastoreRootPath"] == "file:///repo"
+    assert rows["b.yaml"]["metastoreRootPath"] == "file://{GIT_ROOT}"
+    assert rows["a.yaml"]["driver"] is not None
+
+
+def test_cache_demo(spark):
+    rows = cache_demo(spark).collect()
+    assert [(r["round"], r["rows"], r["status"]) for r in rows] == [
+        (n, 5000, 200) for n in range(1, 6)
+    ]
+    assert main([]) == 1
