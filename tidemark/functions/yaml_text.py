@@ -17,7 +17,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ try:
 except ImportError:  # the functions below say so when they are called
     yaml = None
 
-# Executors need PyYAML only; this module travels with the job.
+# Executors need PyYAML and pyarrow only; this module travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCALAR_MARK = "="
@@ -149,28 +149,37 @@ def _to_json(text: str, loader_class, form: Form) -> tuple[str | None, list[str]
         loader.dispose()
 
 
-def _convert_batch(texts: pd.Series, loader_class, form: Form) -> pd.DataFrame:
+def _convert_batch(texts: pa.Array, loader_class, form: Form) -> pa.StructArray:
     """Each distinct text of an Arrow batch is parsed once."""
-    nothing = (None, None, None)
-    results = {}
-    for text in texts.dropna().unique():
-        try:
-            results[text] = (*_to_json(text, loader_class, form), None)
-        except (yaml.YAMLError, ValueError, RecursionError) as failure:
-            results[text] = (None, None, f"{type(failure).__name__}: {failure}")
-    rows = [nothing if text is None else results.get(text, nothing) for text in texts]
-    return pd.DataFrame(rows, columns=["json", "keys", "error"], dtype=object)
+    results = {None: (None, None, None)}
+    rows = []
+    for text in texts.to_pylist():
+        if text not in results:
+            try:
+                results[text] = (*_to_json(text, loader_class, form), None)
+            except (yaml.YAMLError, ValueError, RecursionError) as failure:
+                results[text] = (None, None, f"{type(failure).__name__}: {failure}")
+        rows.append(results[text])
+    documents, keys, errors = zip(*rows) if rows else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(documents, pa.string()),
+            pa.array(keys, pa.list_(pa.string())),
+            pa.array(errors, pa.string()),
+        ],
+        names=["json", "keys", "error"],
+    )
 
 
 def _convert(text: Column, form: Form) -> Column:
-    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def convert(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if yaml is None:
             raise ImportError("reading YAML needs PyYAML on the executors")
         loader_class = _loader_class(form)
         for texts in batches:
             yield _convert_batch(texts, loader_class, form)
 
-    return F.pandas_udf(convert, RESULT_SCHEMA)(text)
+    return F.arrow_udf(convert, RESULT_SCHEMA)(text)
 
 
 def yaml_to_json(text: Column) -> Column:
