@@ -13,6 +13,12 @@ from tidemark.streaming.runner import run_stream
 from tidemark.streaming.sources import stream_parquet
 
 
+def _state_partitions(spark: SparkSession) -> int | None:
+    """One per core on a single machine; on a cluster the session's own number."""
+    context = spark.sparkContext
+    return context.defaultParallelism if context.master.startswith("local") else None
+
+
 def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which a user viewed, then clicked, then purchased, each within two days.
 
@@ -31,7 +37,9 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
             [step("view", "view_day"), step("click", "click_day"), step("purchase", "purchase_day")],
             "user_id", "2 DAYS",
         )
-        output, _ = run_stream(chain, "stream-chain")
+        output, _ = run_stream(
+            chain, "stream-chain", state_partitions=_state_partitions(spark)
+        )
         return output.select("user_id", "view_day", "click_day", "purchase_day")
 
 
