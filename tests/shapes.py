@@ -10,7 +10,7 @@ from pyspark.sql.types import (
 
 from tidemark.functions.schema import field, record
 
-# Defaults of the record.
+# The record, its defaults, and its sample document.
 LOWEST_INT = -2147483648
 
 

@@ -1,0 +1,110 @@
+"""Random documents and layers against plain Python."""
+
+import json
+import random
+
+import yaml
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType
+
+from tidemark.functions.schema import field, record
+from tidemark.operators.documents import read_json, read_yaml, read_yaml_record
+from tidemark.operators.settings import merge_settings
+
+SHAPE = record(
+    field("name", StringType(), default="-"),
+    field("count", LongType(), default=0),
+    field("ratio", DoubleType()),
+    field("isOn", BooleanType(), default=False),
+    field("inner", record(field("tags", ArrayType(StringType()), default=[]), field("depth", LongType()))),
+    field("items", ArrayType(record(field("id", LongType()), field("label", StringType()))), default=[]),
+)
+WORDS = ["a", "it's", "1.10", "yes", "null", "x: y", "- z", "# no", "\u00fc\u00df", "", " pad ", "{}", "=", "two\nlines", "~"]
+
+
+def random_value(rng):
+    doc = {}
+    if rng.random() < 0.8:
+        doc["name"] = rng.choice(WORDS)
+    if rng.random() < 0.8:
+        doc["count"] = rng.randint(-10**12, 10**12)
+    if rng.random() < 0.8:
+        doc["ratio"] = rng.choice([0.5, -1e-9, 1e300, 3.0, 2])
+    if rng.random() < 0.8:
+        doc["isOn"] = rng.random() < 0.5
+    if rng.random() < 0.8:
+        doc["inner"] = {"tags": [rng.choice(WORDS) for _ in range(rng.randint(0, 3))]}
+        if rng.random() < 0.5:
+            doc["inner"]["depth"] = rng.randint(0, 9)
+    if rng.random() < 0.8:
+        doc["items"] = [
+            {"id": rng.randint(0, 9), "label": rng.choice(WORDS)} for _ in range(rng.randint(0, 3))
+        ]
+    return doc
+
+
+def recased(rng, value):
+    if isinstance(value, dict):
+        return {rng.choice([str.upper, str.lower, str.title, str])(k): recased(rng, v)
+                for k, v in value.items()}
+    if isinstance(value, list):
+        return [recased(rng, item) for item in value]
+    return value
+
+
+def expected(doc):
+    inner = doc.get("inner", {})
+    return {
+        "name": doc.get("name", "-"), "count": doc.get("count", 0),
+        "ratio": float(doc["ratio"]) if "ratio" in doc else None, "isOn": doc.get("isOn", False),
+        "inner": {"tags": inner.get("tags", []), "depth": inner.get("depth")},
+        "items": doc.get("items", []),
+    }
+
+
+def test_random_yaml_records_and_variants(spark):
+    rng = random.Random(7)
+    docs = [random_value(rng) for _ in range(400)]
+    payloads = [
+        yaml.safe_dump(recased(rng, doc), default_flow_style=rng.choice([True, False, None]),
+                       allow_unicode=rng.random() < 0.5, sort_keys=False)
+        for doc in docs
+    ]
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, payload string").repartition(5)
+    read = read_yaml_record(df, "payload", SHAPE, allow_foreign=False, on_error="quarantine")
+    for row in read.orderBy("id").collect():
+        assert row["doc_error"] is None, (payloads[row["id"]], row["doc_error"])
+        assert row["doc"].asDict(recursive=True) == expected(docs[row["id"]]), payloads[row["id"]]
+    dynamic = read_yaml(df, "payload").select("id", F.to_json("doc").alias("t"))
+    for row in dynamic.collect():
+        assert json.loads(row["t"]) == yaml.safe_load(payloads[row["id"]])
+
+
+def test_random_json_variants(spark):
+    rng = random.Random(8)
+    docs = [random_value(rng) for _ in range(300)]
+    df = spark.createDataFrame(
+        [(i, json.dumps(doc, indent=rng.choice([None, 2]))) for i, doc in enumerate(docs)],
+        "id int, payload string",
+    )
+    for row in read_json(df, "payload").select("id", F.to_json("doc").alias("t")).collect():
+        assert json.loads(row["t"]) == docs[row["id"]]
+
+
+def test_random_layers(spark):
+    rng = random.Random(9)
+    layers = [
+        {(str(rng.randint(0, 30)), f"k{rng.randint(0, 9)}"): f"{name}{i}" for i in range(150)}
+        for name in ("injected", "submitted", "default")
+    ]
+    injected, submitted, default = layers
+    named = injected.keys() | default.keys()
+    want = {**default, **{k: v for k, v in submitted.items() if k in named}, **injected}
+    frames = [
+        spark.createDataFrame([(*k, v) for k, v in layer.items()],
+                              "scope string, key string, value string").repartition(4)
+        for layer in layers
+    ]
+    rows = merge_settings(*frames).collect()
+    assert len(rows) == len(want)
+    assert {(r["scope"], r["key"]): r["value"] for r in rows} == want

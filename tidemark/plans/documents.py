@@ -21,6 +21,12 @@ PROPS = record(
     field("label", StringType(), default="none"),
 )
 
+DOCUMENT = record(
+    field("lang", StringType()),
+    field("nChars", LongType()),
+    field("body", record(field("text", StringType(), default=""))),
+)
+
 EVENT = record(
     field("event", record(
         field("id", LongType()),
@@ -136,6 +142,24 @@ def _event_columns(read: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts through YAML records, under keys in any case."""
+    texts = load(spark, sf_dir, "documents", spread=True).select(
+        "doc_id",
+        F.concat(
+            F.lit("Lang: "), "lang", F.lit("\nNCHARS: "), F.col("n_chars").cast("string"),
+            F.lit("\nbody: "), F.to_json(F.struct("text")), F.lit("\n"),
+        ).alias("payload"),
+    )
+    doc = F.col("doc")
+    return read_yaml_record(texts, "payload", DOCUMENT, allow_foreign=False).select(
+        "doc_id",
+        doc["body"]["text"].alias("text"),
+        doc["lang"].alias("lang"),
+        doc["nChars"].alias("n_chars"),
+    )
+
+
 _SHOUTED = ("click", "purchase")
 
 
@@ -171,6 +195,7 @@ QUERIES = {
     "json_documents": json_documents,
     "json_struct": json_struct,
     "yaml_variant": yaml_variant,
+    "yaml_documents": yaml_documents,
     "yaml_struct_ci": yaml_struct_ci,
     "yaml_struct_cs": yaml_struct_cs,
     "yaml_foreign": yaml_foreign,
@@ -202,6 +227,9 @@ ORACLES = {
                event_type = 'purchase' AS is_paid, user_id
         FROM events
     """,
+    "yaml_documents": """
+        SELECT doc_id, text, lang, n_chars FROM documents
+    """,
     "yaml_struct_ci": """
         SELECT event_id, event_id AS id, event_type AS kind, value AS amount,
                event_type = 'purchase' AS is_paid, user_id,

@@ -15,7 +15,9 @@ from tidemark.operators.settings import (
     render_from_table,
     restrict_keys,
 )
+from tidemark.plans.cache_demo import settings_from_files
 from tidemark.plans.tables import load
+from tidemark.session import scratch_path
 
 RUN_ID = "r1"
 
@@ -100,6 +102,34 @@ def path_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings file per supplier, from the written file to the typed record."""
+    balance = F.col("s_acctbal").cast("string")
+    documents = load(spark, sf_dir, "supplier", spread=True).select(
+        F.concat(
+            F.lit("# settings\nspark:\n  local: "),
+            F.when(F.col("s_acctbal") < 5000, "true").otherwise("false"),
+            F.lit("\n  driverCore: "), F.col("s_suppkey").cast("string"),
+            F.lit('\n  driverMemory: "'), balance, F.lit('g"'),
+            F.lit("\n  seedRootPath: file://{GIT_ROOT}/seed/"), F.col("s_nationkey").cast("string"),
+            F.lit("\n  state:\n    storeProviderClass: "), "s_name",
+            F.lit("\ntelemetry:\n  isRelay: yes"),
+        ).alias("value")
+    )
+    path = scratch_path(spark, "settings-files")
+    documents.write.option("maxRecordsPerFile", 1).text(path)
+    read = settings_from_files(spark, path, {ROOT_PLACEHOLDER: "/repos/$1"})
+    return read.select(
+        F.col("settings.driverCore").alias("s_suppkey"),
+        F.col("settings.local").alias("is_local"),
+        F.col("settings.driverMemory").alias("driver_memory"),
+        F.col("settings.seedRootPath").alias("seed"),
+        F.col("settings.metastoreRootPath").alias("metastore"),
+        F.col("settings.storeProviderClass").alias("provider"),
+        F.col("settings.telemetry.isRelay").alias("is_relay"),
+    )
+
+
 def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per customer: injected from its nation, submitted from its orders, default of its own."""
     customer = load(spark, sf_dir, "customer")
@@ -167,6 +197,7 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "placeholders": placeholders,
     "path_defaults": path_defaults,
+    "settings_files": settings_files,
     "settings_merge": settings_merge,
     "key_restriction": key_restriction,
     "runtime_class": runtime_class,
@@ -222,6 +253,14 @@ ORACLES = {
                '' AS audience, event_type = 'signup' AS is_relay
         FROM events
     """,
+    "settings_files": """
+        SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_acctbal < 5000 AS is_local,
+               s_acctbal || 'g' AS driver_memory,
+               'file://' || CASE WHEN s_acctbal < 5000 THEN '/repos/$1' ELSE '{GIT_ROOT}' END
+               || '/seed/' || s_nationkey AS seed,
+               '' AS metastore, s_name AS provider, true AS is_relay
+        FROM supplier
+    """,
     "settings_merge": _LAYERS_SQL + """
         SELECT scope, key, value FROM (
             SELECT scope, key, value,

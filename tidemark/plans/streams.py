@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.settings import filter_names
 from tidemark.plans.tables import UTC, table_path
-from tidemark.session import session_conf
+from tidemark.session import fresh_name, session_conf
 from tidemark.streaming.joins import chain_within, once_per_period
-from tidemark.streaming.runner import run_stream
+from tidemark.streaming.runner import observed_total, run_stream
 from tidemark.streaming.sources import stream_parquet
 
 
@@ -54,7 +54,25 @@ def stream_name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output
 
 
-QUERIES = {"stream_chain": stream_chain, "stream_name_filter": stream_name_filter}
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics that each batch of a stream reports to the driver, summed."""
+    name = fresh_name("report")
+    events = stream_parquet(spark, table_path(sf_dir, "events")).select("event_id", "event_type")
+    watched = events.observe(
+        name, F.sum(F.col("event_id") * 10).alias("total"), F.count(F.lit(1)).alias("n")
+    )
+    _, query = run_stream(watched, "stream-report")
+    return spark.createDataFrame(
+        [tuple(observed_total(query, name, metric) for metric in ("total", "n"))],
+        "total bigint, n bigint",
+    )
+
+
+QUERIES = {
+    "stream_chain": stream_chain,
+    "stream_name_filter": stream_name_filter,
+    "stream_report": stream_report,
+}
 
 ORACLES = {
     "stream_chain": """
@@ -73,4 +91,7 @@ ORACLES = {
         SELECT event_id, event_type, value FROM events
         WHERE event_type = 'view' OR regexp_matches(event_type, '^p(.*)$')
     """,
+    "stream_report": """
+        SELECT CAST(sum(event_id * 10) AS BIGINT) AS total, count(*) AS n FROM events
+    """,
 }

@@ -19,6 +19,9 @@ STATE_SETTINGS = {
     "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
+# How many batches of a run keep their progress, and with it their observed metrics.
+PROGRESS_KEPT = 10_000
+
 # Settings of state retention a caller may pass, by short name.
 RETENTION_SETTINGS = {
     "minBatchesToRetain": "spark.sql.streaming.minBatchesToRetain",
@@ -48,6 +51,7 @@ def start_stream(
         **PARQUET_TIMESTAMP_SETTINGS,
         **STATE_SETTINGS,
         "spark.sql.streaming.stateStore.providerClass": state_provider,
+        "spark.sql.streaming.numRecentProgressUpdates": str(PROGRESS_KEPT),
     }
     if state_provider != STATE_STORE_PROVIDER:
         # One store for a whole join needs column families, which only RocksDB has.
@@ -91,9 +95,15 @@ def run_stream(
 
 
 def observed_total(query: StreamingQuery, name: str, metric: str) -> int:
-    """The sum of one observed metric over the batches in the query's recent progress."""
+    """The sum of one observed metric over all batches of this run.
+
+    Refuses a run so long that Spark may have let go of its first batches.
+    """
+    batches = query.recentProgress
+    if len(batches) >= PROGRESS_KEPT:
+        raise RuntimeError(f"only the last {PROGRESS_KEPT} batches kept their metrics")
     total = 0
-    for progress in query.recentProgress:
+    for progress in batches:
         row = progress.observedMetrics.get(name)
         if row is not None and row[metric] is not None:
             total += row[metric]
