@@ -31,22 +31,20 @@ def typed(
     kind fails the job when ``strict``, and counts as null when not.
     """
     missing = F.lit(False) if kind == "boolean" else F.lit(None).cast(kind)
-    value = F.try_variant_get(found, "$", kind)
-    fits = value.isNotNull()
-    if kind in _KINDS:
-        # The conversion alone would also take "8" for a number.
-        fits = fits & (F.schema_of_variant(found) == _KINDS[kind])
-    wrong = missing
+    absent = missing if default is _NO_DEFAULT else F.lit(default).cast(kind)
     if strict:
         name = F.lit(path) if isinstance(path, str) else path
+        value = F.variant_get(found, "$", kind)
         wrong = F.raise_error(F.concat(name, F.lit(f" is not {kind}"))).cast(kind)
-    absent = missing if default is _NO_DEFAULT else F.lit(default).cast(kind)
-    return (
-        F.when(found.isNull(), absent)
-        .when(fits, value)
-        .when(F.is_variant_null(found), missing)
-        .otherwise(wrong)
-    )
+    else:
+        value = F.coalesce(F.try_variant_get(found, "$", kind), missing)
+        wrong = missing
+    result = F.when(found.isNull(), absent)
+    if kind in _KINDS:
+        # The conversion alone would also take "8" for a number.
+        result = result.when(F.schema_of_variant(found) == _KINDS[kind], value)
+        return result.when(F.is_variant_null(found), missing).otherwise(wrong)
+    return result.when(F.is_variant_null(found), missing).otherwise(value)
 
 
 def lookup(

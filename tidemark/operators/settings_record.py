@@ -120,11 +120,8 @@ def _read_group(
     the JVM to compile.
     """
     options = {} if default is None else {"default": default}
-    leaves = F.array(*[
-        F.struct(F.lit(f"{block}.{name}").alias("path"), blocks[block][name].alias("found"))
-        for block, name in members
-    ])
+    leaves = F.array(*[blocks[block][name] for block, name in members])
+    paths = F.array(*[F.lit(f"{block}.{name}") for block, name in members])
     return F.transform(
-        leaves,
-        lambda leaf: typed(leaf["found"], leaf["path"], kind, strict=strict, **options),
+        leaves, lambda leaf, i: typed(leaf, F.get(paths, i), kind, strict=strict, **options)
     )
