@@ -19,7 +19,7 @@ from tidemark.operators.settings import (
 )
 from tidemark.operators.settings_record import FIELDS, read_settings
 from tidemark.plans.cache_demo import cache_demo, main, settings_from_files
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, session_conf
 from tidemark.sources.settings_table import session_settings
 
 SCHEMA = "scope string, key string, value string"
@@ -266,3 +266,44 @@ def test_cache_demo(spark):
         (n, 5000, 200) for n in range(1, 6)
     ]
     assert main([]) == 1
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SMALL_SCALE_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+def test_a_hot_key_is_split_in_the_key_restriction(spark):
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("scope"),
+        F.lit("k").alias("key"), F.md5(F.col("id").cast("string")).alias("value"),
+    )
+    keys = rows.where("scope = 'hot' OR scope < '2'")
+    with session_conf(spark, SMALL_SCALE_SKEW):
+        kept = restrict_keys(rows, keys, keys.where("scope = 'hot'"))
+        assert "skew=true" in final_plan(kept)
+        assert kept.count() == keys.count()
+
+
+def test_a_hot_key_is_spread_in_a_large_lookup(spark):
+    rows = spark.range(0, 30_000, 1, 4).select(
+        "id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1000).alias("k")
+    )
+    table = spark.range(-1, 900).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    with session_conf(spark, {**SMALL_SCALE_SKEW, "spark.sql.shuffle.partitions": "64"}):
+        joined = join_lookup(rows, table, "k", limit_bytes=0)
+        places = joined.withColumn("p", F.spark_partition_id())
+        assert places.where("k = -1").select("p").distinct().count() > 16
+        assert joined.count() == 30_000
+        assert joined.where("v IS NOT NULL AND v <> k").count() == 0
+        assert joined.where("v IS NULL").count() == rows.where("k >= 900").count()
