@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,17 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[by
             yield batch.column("id"), as_bytes(batch.column("text"))
 
 
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts hold about ``size`` bytes, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(False))
+    start = 0
+    while start < batch.num_rows:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the cluster's shared folder, and read back.
 

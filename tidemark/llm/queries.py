@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import query_urls
+from tidemark.llm import query_bpe, query_urls
 
-GROUPS = (query_urls,)
+GROUPS = (query_urls, query_bpe)
 
 
 def all_queries() -> dict:
