@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import query_bpe, query_urls
+from tidemark.llm import query_bpe, query_decontaminate, query_urls
 
-GROUPS = (query_urls, query_bpe)
+GROUPS = (query_urls, query_bpe, query_decontaminate)
 
 
 def all_queries() -> dict:
