@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import query_bpe, query_decontaminate, query_urls
+from tidemark.llm import query_bpe, query_decontaminate, query_simhash, query_urls
 
-GROUPS = (query_urls, query_bpe, query_decontaminate)
+GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash)
 
 
 def all_queries() -> dict:
