@@ -28,8 +28,7 @@ SIDE_BY_SIDE_BYTES = 128
 COLUMNS = 4096
 CACHED_PIECES = 600_000
 TEXT_BYTES = 4 << 20
-SCHEMA = "id long, n_tokens long, ids binary, decoded binary"
-DIGEST_SCHEMA = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+RESULTS = {"ids": "binary", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -287,12 +286,12 @@ def encode_documents(
     pattern: str,
     id_column: str = "doc_id",
     text_column: str = "text",
-    digests: bool = False,
+    results: Sequence[str] = ("ids", "decoded"),
 ) -> DataFrame:
-    """One row per input row: id, n_tokens, the ids, and the bytes they decode to.
+    """One row per input row: id, n_tokens, and the ``results`` asked for.
 
-    With ``digests`` the last two are SHA-256 sums in hexadecimal in place of the
-    bytes. A null or empty text has no tokens; texts of any length are encoded
+    These are the ids (little-endian unsigned 32-bit integers), the bytes they
+    decode to, and the SHA-256 sums of both in hexadecimal. A null or empty text has no tokens; texts of any length are encoded
     whole; repeated rows are encoded each for itself; an empty table gives an
     empty result. Only the two named columns are read. The vocabulary file is
     read once on the driver and broadcast, as it does not grow with the data.
@@ -307,16 +306,15 @@ def encode_documents(
             for part in slices(batch, TEXT_BYTES):
                 ids = run.encode([text or "" for text in part.column("text").to_pylist()])
                 back = [run.decode(one) for one in ids]
-                if digests:
-                    values = [pa.array([hashlib.sha256(one).hexdigest() for one in column])
-                              for column in (ids, back)]
-                else:
-                    values = [pa.array(column, pa.binary()) for column in (ids, back)]
+                made = {"ids": ids, "decoded": back}
+                for name in ("ids", "decoded"):
+                    if f"{name}_sha256" in results:
+                        made[f"{name}_sha256"] = [hashlib.sha256(one).hexdigest() for one in made[name]]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(one) // 4 for one in ids], pa.int64()),
-                     *values],
-                    names=["id", "n_tokens", "ids", "decoded"] if not digests else
-                    ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                     *(pa.array(made[name], RESULTS[name]) for name in results)],
+                    names=["id", "n_tokens", *results])
 
     source = id_and_text(docs, id_column, text_column)
-    return source.mapInArrow(encoded, DIGEST_SCHEMA if digests else SCHEMA)
+    return source.mapInArrow(
+        encoded, ", ".join(["id long", "n_tokens long", *(f"{name} {RESULTS[name]}" for name in results)]))

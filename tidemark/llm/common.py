@@ -61,9 +61,9 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[by
             yield batch.column("id"), as_bytes(batch.column("text"))
 
 
-def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose texts hold about ``size`` bytes, or one longer text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(False))
     start = 0
     while start < batch.num_rows:
         done = int(ends[start - 1]) if start else 0

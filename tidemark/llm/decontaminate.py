@@ -14,6 +14,7 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +100,59 @@ def byte_offsets(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str, in
 _MATCHERS: dict[bytes, Matcher] = {}
 
 
+def _matcher(key: bytes, windows: list) -> Matcher:
+    """One automaton per worker process and benchmark."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = build_matcher(windows)
+    return _MATCHERS[key]
+
+
+def _shared_windows(
+    docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str, window: int
+) -> Broadcast:
+    """The benchmark's windows with their items, broadcast after their size was checked."""
+    windows = item_windows(benchmark, window, item_column, text_column)
+    size = F.aggregate("words", F.lit(0).cast("long"), lambda total, one: total + F.length(one) + 1)
+    total = windows.agg(F.sum(size + 16).alias("bytes")).first()["bytes"] or 0
+    if total > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark's windows hold {total} bytes; pass it in parts")
+    gathered = windows.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    plain = sorted(
+        (tuple(bytes(word) for word in row["words"]), tuple(row["items"]))
+        for row in gathered.collect()
+    )
+    key = hashlib.sha256(repr(plain).encode()).digest()
+    return docs.sparkSession.sparkContext.broadcast((key, plain))
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text_column: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """``docs`` with all its columns, without the rows in which a window occurs.
+
+    Rows are judged as ``find_contamination`` does, where they are read: nothing
+    is joined or shuffled.
+    """
+    shared = _shared_windows(docs, benchmark, item_column, item_text_column, window)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(*shared.value)
+        for batch in batches:
+            for part in slices(batch, TEXT_BYTES, text_column):
+                yield part.filter(pa.array([
+                    not scan(matcher, alnum_words(text))[0]
+                    for text in as_bytes(part.column(text_column))
+                ], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -120,26 +174,10 @@ def find_contamination(
     ``MAX_BENCHMARK_BYTES`` they are refused, and the caller has to pass the
     benchmark in parts.
     """
-    spark = docs.sparkSession
-    windows = item_windows(benchmark, window, item_column, item_text_column)
-    size = F.aggregate("words", F.lit(0).cast("long"), lambda total, one: total + F.length(one) + 1)
-    total = windows.agg(F.sum(size + 16).alias("bytes")).first()["bytes"] or 0
-    if total > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark's windows hold {total} bytes; pass it in parts")
-    gathered = windows.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    plain = sorted(
-        (tuple(bytes(word) for word in row["words"]), tuple(row["items"]))
-        for row in gathered.collect()
-    )
-    key = hashlib.sha256(repr(plain).encode()).digest()
-    shared = spark.sparkContext.broadcast((key, plain))
+    shared = _shared_windows(docs, benchmark, item_column, item_text_column, window)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, plain = shared.value
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = build_matcher(plain)
-        matcher = _MATCHERS[key]
+        matcher = _matcher(*shared.value)
         for batch in batches:
             for part in slices(batch, TEXT_BYTES):
                 counts, hits, items, places = [], [], [], []

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import query_bpe, query_decontaminate, query_simhash, query_urls
+from tidemark.llm import (
+    query_bpe,
+    query_decontaminate,
+    query_simhash,
+    query_toxicity,
+    query_urls,
+)
 
-GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash)
+GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity)
 
 
 def all_queries() -> dict:

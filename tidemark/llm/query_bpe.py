@@ -13,7 +13,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = encode_documents(
-        docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True)
+        docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN,
+        results=("ids_sha256", "decoded_sha256"))
     return found.withColumnRenamed("id", "doc_id")
 
 

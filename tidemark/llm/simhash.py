@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, id_and_text, kept, slices, spaced_words
+from tidemark.llm.common import as_bytes, column, id_and_text, kept, slices, spaced_words
 from tidemark.llm.components import components, pair_tasks, spanning_edges
+from tidemark.session import fresh_name
 
 SHINGLE = 3
 BUDGET = 2
@@ -55,7 +56,7 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """``id`` and ``fingerprint`` (the 64 bits as a long) of each row."""
+    """``id``, ``fingerprint`` (the 64 bits as a long) and ``text_key`` of each row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,10 +64,11 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, shingle: int
                 found = [fingerprint(spaced_words(text), shingle)
                          for text in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))],
-                    names=["id", "fingerprint"])
+                    [part.column("id"), pa.array(np.array(found, np.uint64).view(np.int64)),
+                     part.column("text_key")], names=["id", "fingerprint", "text_key"])
 
-    return id_and_text(docs, id_column, text_column).mapInArrow(of, "id long, fingerprint long")
+    source = id_and_text(docs, id_column, text_column).withColumn("text_key", _text_key(F.col("text")))
+    return source.mapInArrow(of, "id long, fingerprint long, text_key long")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -190,16 +192,18 @@ def simhash_groups(
     shingle: int = SHINGLE,
     budget: int = BUDGET,
 ) -> DataFrame:
-    """One row per input row: ``id``, ``fingerprint`` (16 hex digits), ``component_id``.
-
-    ``component_id`` is the smallest id that can be reached over links of
-    ``budget`` or fewer differing bits, the row's own included. Equal
-    fingerprints are joined first, so copies cost one trie entry. Null, empty
-    and wordless texts have fingerprint zero and are linked like any other; a
-    text of fewer words than a shingle is one shingle. Texts of any length are
-    read whole; repeated rows each give a row; a null id names no group, and its
-    component is null if no other row of it has an id. An empty table gives an
-    empty result. Only the two named columns are read.
+    """One row per input row: ``id``, ``fingerprint``, ``group``, ``component_id``, ``text_key``.
+
+    ``group`` is the smallest fingerprint (both as 16 hex digits), and
+    ``component_id`` the smallest id, that can be reached over links of
+    ``budget`` or fewer differing bits, the row's own included; ``text_key``
+    tells texts of one id apart. Equal fingerprints are joined first, so copies
+    cost one trie entry. Null, empty and wordless texts have fingerprint zero and
+    are linked like any other; a text of fewer words than a shingle is one
+    shingle. Texts of any length are read whole; repeated rows each give a row; a
+    null id names no group, and its component is null if no other row of it has
+    an id. An empty table gives an empty result. Only the two named columns are
+    read.
     """
     prints = kept(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
     distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("first"))
@@ -209,6 +213,40 @@ def simhash_groups(
         .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     )
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = named.join(lowest, "root").select("fingerprint", "component_id")
+    of_print = named.join(lowest, "root").select("fingerprint", "root", "component_id")
     return prints.join(of_print, "fingerprint").select(
-        "id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+        "id", _hex("fingerprint").alias("fingerprint"), _hex("root").alias("group"),
+        "component_id", "text_key")
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = SHINGLE,
+    budget: int = BUDGET,
+) -> DataFrame:
+    """``docs`` with all its columns, one row of each group: that of the smallest id.
+
+    Of rows with one id the text decides, and of equal rows one stays. Rows
+    without an id give way to rows with one.
+    """
+    groups = simhash_groups(docs, id_column, text_column, shingle, budget)
+    chosen = groups.groupBy("group").agg(F.min(F.struct(
+        F.col("id").isNull().alias("last"), "id", "text_key")).alias("one"))
+    key = fresh_name("row")
+    stay = chosen.select(_row_key(F.col("one.id"), F.col("one.text_key")).alias(key))
+    own = docs.withColumn(key, _row_key(column(id_column).cast("long"), _text_key(column(text_column))))
+    return own.join(stay, key, "left_semi").dropDuplicates([key]).select(*map(column, docs.columns))
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _row_key(ident: Column, text_key: Column) -> Column:
+    return F.concat_ws(" ", F.coalesce(ident.cast("string"), F.lit("-")), text_key.cast("string"))
+
+
+def _hex(name: str) -> Column:
+    return F.lpad(F.lower(F.hex(name)), 16, "0")
