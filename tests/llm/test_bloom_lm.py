@@ -1,0 +1,75 @@
+"""Language-model scores against plain counting."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tidemark.llm import bloom_lm
+from tidemark.llm.bloom_lm import Filter, fill, level, probe, score_documents, _segments
+
+
+def plain(rows):
+    def words(text):
+        low = "".join(c.lower() if c.isascii() else c for c in text or "")
+        return [w for w in re.split("[\x20\x09-\x0D]+", low) if w] + [None]
+
+    held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows}
+    counts = Counter(w for i, t in rows if not held[i] for w in words(t))
+    whole = sum(counts.values()) + len(counts) + 1
+    pairs, befores = Counter(), Counter()
+    for i, t in rows:
+        if not held[i]:
+            run = [None, *words(t)]
+            pairs.update(zip(run, run[1:]))
+            befores.update(run)
+    found = []
+    for i, t in rows:
+        run = words(t)
+        base = sum(math.log10((counts[w] + 1) / whole) for w in run)
+        found.append((i, held[i], len(run), sum(counts[w] > 0 for w in run),
+                      sum(counts.values()), round(base, 6)))
+    return found
+
+
+ROWS = [(i, f"the Cat{i % 5} sat on\tthe mat {i % 3}, é{i % 2}" * (1 + i % 4)) for i in range(60)] + [
+    (100, None), (101, ""), (102, " \n"), (103, "only once here"), (None, "no id"), (7, "again"),
+    (103, "only once here")]
+
+
+@pytest.mark.parametrize("frequent", [0, 20, 500_000])
+def test_base_equals_plain_counts(spark, monkeypatch, frequent):
+    monkeypatch.setattr(bloom_lm, "FREQUENT_WORDS", frequent)
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in ROWS], "doc_id long, text string, score double")
+    got = [(r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
+            round(r["base_score"], 6)) for r in score_documents(df).collect()]
+    assert sorted(got, key=str) == sorted(plain(ROWS), key=str)
+
+
+def test_model_likes_what_it_learnt(spark):
+    df = spark.createDataFrame([(i, "a b c d e f g h") for i in range(50)] + [(900, "h g f e d c b a")],
+                               "doc_id long, text string")
+    got = {r["id"]: r for r in score_documents(df).collect()}
+    assert got[1]["score"] > got[900]["score"] and got[1]["score"] > got[1]["base_score"]
+    assert all(r["score"] <= 0 for r in got.values())
+
+
+def test_no_rows(spark):
+    assert score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_filter_gives_levels_back():
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    counts = rng.geometric(0.2, grams.size) ** 2
+    bits = np.zeros((bloom_lm.SEGMENTS, bloom_lm.SEGMENT_BITS >> 3), np.uint8)
+    for segment in np.unique(_segments(grams)):
+        own = _segments(grams) == segment
+        bits[segment] = fill(grams[own], counts[own])
+    found = probe(Filter(bits), grams)
+    exact = bloom_lm.COUNT_OF_LEVEL[level(counts)]
+    assert (found >= exact).all() and (found == exact).mean() > 0.99
+    assert (probe(Filter(bits), grams ^ np.uint64(1)) == 0).mean() > 0.99

@@ -5,12 +5,14 @@ from __future__ import annotations
 from tidemark.llm import (
     query_bpe,
     query_decontaminate,
+    query_lm,
     query_simhash,
     query_toxicity,
     query_urls,
 )
 
-GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity)
+GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
+          query_lm)
 
 
 def all_queries() -> dict:
