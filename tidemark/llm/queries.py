@@ -7,12 +7,13 @@ from tidemark.llm import (
     query_decontaminate,
     query_lm,
     query_simhash,
+    query_token_files,
     query_toxicity,
     query_urls,
 )
 
 GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
-          query_lm)
+          query_lm, query_token_files)
 
 
 def all_queries() -> dict:
