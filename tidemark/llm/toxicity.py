@@ -31,10 +31,13 @@ PAD = max(WIDTHS)
 TRAIN_ROWS = 12_000
 TRAIN_TEXT_BYTES = 1 << 20
 EPOCHS = 6
+LEAST_STEPS = 1500
+LEAST_DOCS = 2
 BATCH = 32
 FOLDS = 4
 HELD_OUT = 2
 CALIBRATION = 3
+LEAST_THRESHOLD, MOST_THRESHOLD = 0.3, 0.9
 CACHED_WORDS = 200_000
 TEXT_BYTES = 4 << 20
 SCHEMA = "id long, score double, threshold double, toxic boolean"
@@ -72,12 +75,19 @@ def _responses(parts: np.ndarray, count: int) -> list[np.ndarray]:
 def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     """Train on documents given as (words x 3) bucket arrays; without thresholds.
 
+    Buckets met in fewer than ``LEAST_DOCS`` documents can teach nothing about
+    others; they, and buckets never met, have a vector of zeros.
     With labels of one kind only, or none, the score is that kind's share for
     every text (one half if there are none).
     """
     rng = np.random.default_rng(seed)
+    met = np.zeros(BUCKETS, np.int64)
+    for one in docs:
+        met[np.unique(one)] += 1
+    docs = [np.where(met[one] >= LEAST_DOCS, one, BUCKETS) for one in docs]
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    vectors = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
+    vectors = rng.normal(0, 0.1, (BUCKETS + 1, SIZE)).astype(np.float32)
+    vectors[np.append(met < LEAST_DOCS, True)] = 0
     filters = rng.normal(0, 0.3, (SIZE, PARTS * FILTERS)).astype(np.float32)
     bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
     weight = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -87,15 +97,16 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     dense = [filters, bias, weight, offset]
     first = [np.zeros_like(one) for one in dense]
     second = [np.zeros_like(one) for one in dense]
-    spread = np.full((BUCKETS, 1), 1e-6, np.float32)
+    spread = np.full((BUCKETS + 1, 1), 1e-6, np.float32)
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(docs)))
+    for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for start in range(0, len(order), BATCH):
             chosen = order[start:start + BATCH]
             step += 1
             _step(docs, labels, chosen, vectors, spread, dense, first, second, step,
-                  0.01 * (1 - epoch / EPOCHS))
+                  0.01 * (1 - epoch / epochs))
     return Model(vectors, filters, bias, weight, float(offset[0]), {})
 
 
@@ -104,11 +115,10 @@ def _step(docs, labels, chosen, vectors, spread, dense, first, second, step, rat
     filters, bias, weight, offset = dense
     lengths = np.array([len(docs[at]) for at in chosen])
     starts = np.concatenate(([0], np.cumsum(lengths + PAD)[:-1]))
-    buckets = np.full((int((lengths + PAD).sum()) + PAD, 3), -1, np.int64)
+    buckets = np.full((int((lengths + PAD).sum()) + PAD, 3), BUCKETS, np.int64)
     for at, begin in zip(chosen, starts):
         buckets[begin:begin + len(docs[at])] = docs[at]
     words = vectors[buckets].sum(1)
-    words[buckets[:, 0] < 0] = 0
     parts = (words @ filters).reshape(len(words), PARTS, FILTERS)
     answers = _responses(parts, len(words) - PAD)
     best = np.empty((len(chosen), len(WIDTHS), FILTERS), np.int64)
@@ -137,10 +147,11 @@ def _step(docs, labels, chosen, vectors, spread, dense, first, second, step, rat
     to_filters = np.zeros_like(filters.T)
     np.add.at(to_filters, part, words[place] * size)
     to_words = filters.T[part] * size
-    real = buckets[place, 0] >= 0
-    hit, where = np.unique(buckets[place[real]].ravel(), return_inverse=True)
+    touched = buckets[place].ravel()
+    real = touched < BUCKETS
+    hit, where = np.unique(touched[real], return_inverse=True)
     to_vectors = np.zeros((hit.size, SIZE), np.float32)
-    np.add.at(to_vectors, where, np.repeat(to_words[real], 3, 0))
+    np.add.at(to_vectors, where, np.repeat(to_words, 3, 0)[real])
     spread[hit] += (to_vectors ** 2).mean(1, keepdims=True)
     vectors[hit] -= 10 * rate * to_vectors / np.sqrt(spread[hit])
     slopes = (to_filters.T, down.sum(0), pooled.T @ error, np.array([error.sum()]))
@@ -200,8 +211,9 @@ def calibrate(
 ) -> dict[str | None, float]:
     """The threshold of best F1 for each language and, under None, for all together.
 
-    It lies midway between the two scores that it separates. Languages without
-    both labels take the common one; without both labels at all it is 0.5.
+    It lies midway between the two scores that it separates, but from
+    ``LEAST_THRESHOLD`` to ``MOST_THRESHOLD``, as few rows tell little. Languages
+    without both labels take the common one; without both labels at all it is 0.5.
     """
     found: dict[str | None, float] = {}
     for lang in [None, *sorted({lang for lang in langs if lang is not None})]:
@@ -217,7 +229,8 @@ def calibrate(
         last = np.append(own[1:] != own[:-1], True)
         f1 = np.where(last, 2 * right / (np.arange(1, len(own) + 1) + marks.sum()), -1)
         at = int(f1.argmax())
-        found[lang] = float((own[at] + (own[at + 1] if at + 1 < len(own) else 0.0)) / 2)
+        middle = (own[at] + (own[at + 1] if at + 1 < len(own) else 0.0)) / 2
+        found[lang] = float(np.clip(middle, LEAST_THRESHOLD, MOST_THRESHOLD))
     return found
 
 
@@ -232,8 +245,9 @@ def train(
 ) -> Model:
     """Fit on about ``TRAIN_ROWS`` labelled rows, chosen by a hash of their id.
 
-    Rows of the held-out fold are never used; rows of the calibration fold only
-    set thresholds. A null label counts as none, of several labels of a document
+    Rows of the held-out fold are never used. Thresholds are set on the
+    calibration fold by a first model that has not seen it; the model returned is
+    then fitted on all the rows. A null label counts as none, of several labels of a document
     the largest holds, and texts over ``TRAIN_TEXT_BYTES`` are left out of the
     fit. The labels are thinned before they meet the documents, so only the
     chosen texts move; they go to one task, whose size that bound fixes.
@@ -270,15 +284,16 @@ def train(
                 held.append((ident, zlib.crc32(text), buckets, label, fold, lang,
                              text if fold == CALIBRATION else b""))
         held.sort(key=lambda row: row[:2])
-        own = [row for row in held if row[4] != CALIBRATION]
-        model = fit([row[2] for row in own], np.array([row[3] for row in own], np.float32))
+        def fit_on(rows: list[tuple]) -> Model:
+            return fit([row[2] for row in rows], np.array([row[3] for row in rows], np.float32))
+
         other = [row for row in held if row[4] == CALIBRATION]
-        scorer = Scorer(model)
+        scorer = Scorer(fit_on([row for row in held if row[4] != CALIBRATION]))
         scores = [scorer.scores([row[6]])[0] for row in other]
         thresholds = calibrate(np.array(scores), np.array([row[3] for row in other]),
                                [row[5] for row in other])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([pickle.dumps(model._replace(thresholds=thresholds))], pa.binary())],
+            [pa.array([pickle.dumps(fit_on(held)._replace(thresholds=thresholds))], pa.binary())],
             names=["model"])
 
     found = rows.repartition(1).mapInArrow(fitted, "model binary").first()
