@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm import (
     query_bpe,
     query_decontaminate,
+    query_embeddings,
     query_lm,
     query_simhash,
     query_token_files,
@@ -13,7 +14,7 @@ from tidemark.llm import (
 )
 
 GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
-          query_lm, query_token_files)
+          query_lm, query_token_files, query_embeddings)
 
 
 def all_queries() -> dict:
