@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, column, kept, remainder, slices, spaced_words
+from tidemark.session import fresh_name
 
 SEGMENTS = 512
 SEGMENT_BITS = 1 << 20
@@ -274,11 +275,11 @@ def _gather(segments: DataFrame) -> Filter:
     return Filter(bits)
 
 
-def _frequent(counts: DataFrame) -> dict[bytes, int]:
-    """Training counts of the words seen most, at most ``FREQUENT_WORDS`` of them.
+def _frequent(counts: DataFrame) -> list[tuple[bytes, bytes]]:
+    """Training counts of the words seen most, at most ``FREQUENT_WORDS``, packed by partition.
 
     The least number of occurrences is read off a table of sizes, so the words
-    need no global sort.
+    need no global sort; the driver only passes the packed bytes on.
     """
     sizes = sorted(
         ((row["size"], row["words"]) for row in
@@ -291,9 +292,33 @@ def _frequent(counts: DataFrame) -> dict[bytes, int]:
             break
         least = size
     if least is None:
-        return {}
+        return []
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, taught = batch.column("word").to_pylist(), batch.column("taught").to_numpy()
+            if words:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b" ".join(words)], pa.binary()),
+                     pa.array([taught.astype("<i8").tobytes()], pa.binary())],
+                    names=["words", "counts"])
+
     chosen = counts.where(F.floor(F.log2("seen") * 8) >= least).select("word", "taught")
-    return {bytes(row["word"]): row["taught"] for row in chosen.collect()}
+    return [(bytes(row["words"]), bytes(row["counts"])) for row in
+            chosen.mapInArrow(packed, "words binary, counts binary").collect()]
+
+
+_VOCABULARIES: dict[str, dict[bytes, int]] = {}
+
+
+def _vocabulary(key: str, packed: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
+    """The packed counts by word, made once per worker process."""
+    if key not in _VOCABULARIES:
+        _VOCABULARIES.clear()
+        _VOCABULARIES[key] = {
+            word: count for words, counts in packed
+            for word, count in zip(words.split(b" "), np.frombuffer(counts, "<i8").tolist())}
+    return _VOCABULARIES[key]
 
 
 def score_documents(
@@ -326,10 +351,11 @@ def score_documents(
     tokens, kinds = totals[0] or 0, totals[1] or 0
     whole = tokens + kinds + 1
     segments = kept(build_filter(source, split, order, tokens), "filter")
-    shared = spark.sparkContext.broadcast((_gather(segments), _frequent(counts)))
+    shared = spark.sparkContext.broadcast((fresh_name("words"), _gather(segments), _frequent(counts)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, frequent = shared.value
+        key, held, packed = shared.value
+        frequent = _vocabulary(key, packed)
         hashes = _Hashes()
         for batch in batches:
             for part in slices(batch, TEXT_BYTES):
