@@ -6,6 +6,7 @@ from tidemark.llm import (
     query_bpe,
     query_decontaminate,
     query_embeddings,
+    query_licences,
     query_lm,
     query_simhash,
     query_token_files,
@@ -14,7 +15,7 @@ from tidemark.llm import (
 )
 
 GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
-          query_lm, query_token_files, query_embeddings)
+          query_lm, query_token_files, query_embeddings, query_licences)
 
 
 def all_queries() -> dict:
