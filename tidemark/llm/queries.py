@@ -9,13 +9,15 @@ from tidemark.llm import (
     query_licences,
     query_lm,
     query_simhash,
+    query_token_counts,
     query_token_files,
     query_toxicity,
     query_urls,
 )
 
 GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
-          query_lm, query_token_files, query_embeddings, query_licences)
+          query_lm, query_token_files, query_embeddings, query_licences,
+          query_token_counts)
 
 
 def all_queries() -> dict:
