@@ -10,8 +10,8 @@ from pyspark.sql.types import (
 
 from tidemark.functions.schema import field, record
 
-# The record, its defaults, and its sample document.
-LOWEST_INT = -2147483648
+# The record and its defaults.
+LOWEST_INT = -2147313631
 
 
 def driver_shape(root: str):
@@ -33,16 +33,16 @@ def driver_shape(root: str):
 
 EXPECTED = {
     "engine": {
-        "default": "foo",
-        "versions": [1.0, 1.1, 2.0],
-        "supportedLanguages": ["Scala", "Java", "Python"],
-        "maxThreads": 8,
+        "default": "steam",
+        "versions": [0.5, 3.25],
+        "supportedLanguages": ["Basic", "Forth"],
+        "maxThreads": 6,
         "isEnabled": True,
     },
     "graphics": {
-        "fontHeight": 48,
-        "resolutions": [1920, 1080, 1440],
-        "colorDepths": [24, 32],
+        "fontHeight": 31,
+        "resolutions": [640, 480],
+        "colorDepths": [8, 16, 30],
         "isFullScreen": False,
     },
 }
@@ -51,14 +51,14 @@ EXPECTED = {
 def yaml_payload(root="someDriver", languages="supportedLanguages", inside="", after=""):
     return f"""{root}:     # a comment
   engine:
-    default: foo
-    versions: [1.0, 1.1, 2.0]
-    {languages}: ["Scala", "Java", "Python"]
-    maxThreads: 8
+    default: steam
+    versions: [0.5, 3.25]
+    {languages}: ["Basic", "Forth"]
+    maxThreads: 6
     isEnabled: true
   graphics:
-    fontHeight: 48
-    resolutions: [1920, 1080, 1440]
-    colorDepths: [24, 32]
+    fontHeight: 31
+    resolutions: [640, 480]
+    colorDepths: [8, 16, 30]
     isFullScreen: false
 {inside}{after}"""

@@ -104,7 +104,7 @@ def test_dynamic_forms_hold_the_same_values(spark):
             F.variant_get(doc, "$.someDriver.engine.versions", "array<double>"),
             F.variant_get(doc, "$.someDriver.graphics.colorDepths", "array<int>"),
         ).first()
-        assert tuple(row) == ("foo", 8, True, [1.0, 1.1, 2.0], [24, 32])
+        assert tuple(row) == ("steam", 6, True, [0.5, 3.25], [8, 16, 30])
 
 
 SMALL = record(
@@ -144,8 +144,10 @@ def test_json_dynamic_bad_records_and_repeated_keys(spark):
     ).orderBy("id").collect()
     assert [r["t"] for r in rows] == ['{"a":{"b":2}}'] + [None] * 5 + ['{"a":{}}']
     assert [r["doc_error"] is None for r in rows] == [True] + [False] * 5 + [True]
-    with pytest.raises(PySparkException, match=r"Failed to read \[1\]"):
-        read_json(df.where("id = 1"), "payload").collect()
+    with pytest.raises(PySparkException, match=r"Failed to read payload of id 1 \(3 characters\)"):
+        read_json(df.where("id = 1"), "payload", key="id").collect()
+    with pytest.raises(PySparkException, match=r"Failed to read payload \(\[1\]\)"):
+        read_json(df.where("id = 1"), "payload", on_error="lazy", show_payload=True).collect()
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
 
 
@@ -248,13 +250,79 @@ def test_yaml_aliases_merges_and_bounds(spark):
         "id", F.col("doc").cast("string").alias("t"), "doc_error"
     ).orderBy("id").collect()
     assert json.loads(rows[0]["t"])["use"] == {"x": 1, "y": 3}
-    assert "too many aliases" in rows[1]["doc_error"]
-    assert rows[2]["doc_error"]
+    assert "stand for over" in rows[1]["doc_error"]
+    assert "stands inside what it names" in rows[2]["doc_error"]
     assert json.loads(rows[3]["t"]) == {
         "d": "2020-01-02", "n": 10, "i": ".inf", "t": {"1": "one", "true": True},
     }
 
 
+def test_one_alias_to_many_mappings_and_many_to_one(spark):
+    many = "a: &a\n" + "".join(f"  k{i}: {{n: {i}}}\n" for i in range(60)) + "b: *a\n"
+    often = "a: &a {n: 1}\n" + "".join(f"b{i}: *a\n" for i in range(60))
+    lists = "a: &a [{n: 1}, {m: [{k: 1}]}]\nb: {c: *a}\n"
+    rows = read_yaml(texts(spark, many, often, lists), "payload").orderBy("id")
+    docs = [json.loads(r["t"]) for r in rows.select(F.col("doc").cast("string").alias("t")).collect()]
+    assert docs[0]["a"] == docs[0]["b"] and len(docs[0]["b"]) == 60
+    assert docs[1]["b59"] == {"n": 1} and len(docs[1]) == 61
+    read = read_yaml_record(texts(spark, lists, often), "payload", record(field("x", StringType())),
+                            allow_foreign=False, on_error="quarantine")
+    reasons = [reason for _, reason in quarantined(read)]
+    assert reasons[0] == "undeclared key a, b"
+    inner = record(field("a", ArrayType(record(field("n", IntegerType())))),
+                   field("b", record(field("c", ArrayType(record(field("n", IntegerType())))))))
+    read = read_yaml_record(texts(spark, lists), "payload", inner, allow_foreign=False, on_error="quarantine")
+    assert quarantined(read)[0][1] == "undeclared key a[].m, b.c[].m"
+
+
+@pytest.mark.parametrize("text, number", [
+    ("0x" + "0" * 70 + "1F", 31), ("0b" + "0" * 70 + "101", 5), ("0" * 70 + "17", 15), ("0x0", 0),
+    ("1000000:00", 60_000_000), ("1:0:0:0:0:0", 60 ** 5), ("-1:30", -90), ("-0x10", -16), ("+017", 15),
+    ("0x7fffffffffffffff", 2 ** 63 - 1), ("-0x8000000000000000", -2 ** 63),
+    ("0777777777777777777777", 2 ** 63 - 1), ("-01000000000000000000000", -2 ** 63),
+    ("-2562047788015215:30:08", -2 ** 63),
+    ("0x8000000000000000", None), ("0x1ffffffffffffffff", None), ("0b1" + "0" * 64, None),
+    ("07777777777777777777777", None), ("010000000000000000000000", None), ("-0xffffffffffffffffffff", None),
+    ("2562047788015215:30:08", None), ("9" * 40 + ":00", None), ("9223372036854775808", None), ("1:60", None),
+])
+def test_yaml_integers_are_exact_or_refused(spark, text, number):
+    read = read_yaml_record(texts(spark, f"n: {text}"), "payload", record(field("n", LongType())),
+                            on_error="quarantine")
+    doc, reason = quarantined(read)[0]
+    assert (doc, reason) == (({"n": number}, None) if number is not None else (None, "n is not bigint"))
+
+
+BAD = ['{"k": 1} garbage', '{"k": 1}{"k": 2}', '{"k": 1},{"k": 2}', '{"k": 1}] x [{}', '{"k": 1}}',
+       '{"k": 1},"second":0} x', '{"k": 1}]', '{"k": 1} , ']
+GOOD = ['{"k": 1}', ' {"k": 1}\n\t ', '{"k": 1, "l": [{"m": 2}]}', '{"k": 1, "s": "} ] x"}', '{"k": 1, "l": [[{}]]}']
+
+
+def test_text_after_the_object_is_bad(spark):
+    df = texts(spark, *BAD, *GOOD)
+    shape = record(field("k", LongType()))
+    for read in (read_json(df, "payload", on_error="quarantine"),
+                 read_json_record(df, "payload", shape, on_error="quarantine")):
+        reasons = [r["doc_error"] for r in read.orderBy("id").collect()]
+        assert all(reasons[:len(BAD)]) and reasons[len(BAD):] == [None] * len(GOOD)
+
+
+def test_fail_mode_does_not_depend_on_what_is_used(spark):
+    shape = record(field("k", LongType()))
+    readers = (
+        lambda df, mode: read_json(df, "payload", on_error=mode),
+        lambda df, mode: read_json_record(df, "payload", shape, on_error=mode),
+        lambda df, mode: read_yaml_record(df, "payload", shape, on_error=mode),
+    )
+    for reader in readers:
+        bad = texts(spark, '{"k": 1}', '{"k": [')
+        for use in (lambda df: df.select("id").collect(), lambda df: df.count()):
+            with pytest.raises(PySparkException, match="Failed to read"):
+                use(reader(bad, "fail"))
+            use(reader(bad, "lazy"))
+        plan = reader(bad, "fail")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") <= 1 and plan.count("parseJson(") <= 1
+
+
 def test_yaml_null_and_merge_in_a_record(spark):
     df = texts(
         spark, "a: null\nb: 'null'", "a: ~\nb: ''", "x: &x {d: [1]}\nc: {<<: *x}",

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as driver
 from oracle import connect, differences
+from tidemark.plans import all_oracles, all_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -16,10 +17,11 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query_equals_sql(spark, connection, name):
     before = spark.sql("SET").collect()
     df = driver.queries()[name](spark, SF_DIR)

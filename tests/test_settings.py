@@ -25,33 +25,28 @@ from tidemark.sources.settings_table import session_settings
 SCHEMA = "scope string, key string, value string"
 
 SETTINGS_YAML = """
+telemetry: {isRelay: true, audience: "listeners", url: ""}
+secret:
+  devcontainer: {storageLocation: "file://{GIT_ROOT}/private"}
 spark:
-  local: true
-  debug: true
-  ui: true
+  driverCore: 3
+  driverMemory: "5g"
+  executorCore: 2
+  executorMemory: "7g"
   offHeapEnabled: true
-  driverCore: 24
-  driverMemory: "48g"
-  executorCore: 12
-  executorMemory: "48g"
-  offHeapMemory: "24g"
-  shufflePartitions: 32
-  warehouseRootPath: "file://{GIT_ROOT}/warehouse"
-  checkpointsRootPath: "file://{GIT_ROOT}/checkpoints"
-  metastoreRootPath: "file://{GIT_ROOT}"
+  offHeapMemory: "1g"
+  shufflePartitions: 9
   seedRootPath: "file://{GIT_ROOT}/seed/{RANDOM_STRING}"
+  metastoreRootPath: "file://{GIT_ROOT}"
+  warehouseRootPath: "file://{GIT_ROOT}/tables"
+  checkpointsRootPath: "file://{GIT_ROOT}/marks"
+  local: true
+  debug: false
+  ui: false
   state:
-    minBatchesToRetain: 2
-    storeProviderClass: "org.example.Provider"
-    rocksDb:
-      compactOnCommit: true
-secret:
-  devcontainer:
-    storageLocation: "file://{GIT_ROOT}/.env"
-telemetry:
-  url: ""
-  audience: "a"
-  isRelay: true
+    rocksDb: {compactOnCommit: false}
+    minBatchesToRetain: 4
+    storeProviderClass: "org.example.Store"
 """
 
 
@@ -143,6 +138,43 @@ def test_placeholders_from_a_table(spark):
     assert out.columns == ["scope", "id", "text"]
 
 
+def test_placeholders_of_several_names_take_one_join(spark):
+    docs = spark.range(2000).select(
+        (F.col("id") % 50).cast("string").alias("scope"), "id",
+        F.lit("local: true {X} {Y} {Z}").alias("text"))
+    scopes = docs.select("scope").distinct()
+    variables = scopes.select("scope", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.concat(F.lit(name), "scope").alias("value"))
+        for name in ("X", "Y", "Z")])))
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                              "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                              "spark.sql.adaptive.enabled": "false"}):
+        large = render_from_table(docs, "text", variables, ["X", "Y", "Z"], limit_bytes=0)
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1
+        documents = plan[:plan.index("HashAggregate")]
+        assert documents.count("Exchange hashpartitioning") == 1
+        assert large.where("id = 7").first()["text"] == "local: true X7 Y7 Z7"
+    small = render_from_table(docs, "text", variables, ["X", "Y", "Z"])
+    assert sorted(small.collect()) == sorted(large.collect())
+    with pytest.raises(ValueError):
+        render_from_table(docs, "text", variables.union(variables.limit(1)), ["X", "Y", "Z"])
+    nothing = spark.createDataFrame([(None, "X", "a"), (None, "X", "b")], variables.schema)
+    assert render_from_table(docs, "text", nothing, ["X"]).first()["text"] == "local: true null {Y} {Z}"
+
+
+def test_lookups_of_any_column_type_are_measured(spark):
+    texts = F.array([F.lit("x" * 1000)] * 10)
+    table = spark.range(5).select(
+        F.col("id").alias("k"), texts.alias("a"), F.create_map(F.lit("m"), texts).alias("m"),
+        F.struct(texts.alias("t")).alias("s"), F.to_variant_object(F.struct(texts.alias("t"))).alias("v"))
+    assert lookup_bytes(table, "k") > 5 * 4 * 10_000
+    nulls = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c")], "k long, v string")
+    assert lookup_bytes(nulls, "k") == 32 + 1
+    joined = join_lookup(spark.createDataFrame([(None,), (1,)], "k long"), nulls, "k")
+    assert sorted(r["v"] or "" for r in joined.collect()) == ["", "c"]
+
+
 def test_lookup_join_is_the_same_on_both_sides_of_the_limit(spark, capsys):
     docs = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     table = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
@@ -162,12 +194,12 @@ def test_settings_record_of_a_yaml_document(spark):
     df = spark.createDataFrame([(SETTINGS_YAML,)], "text string")
     df = df.withColumn("text", render(F.col("text"), {"GIT_ROOT": "/repo", "RANDOM_STRING": "r"}))
     record = read_settings(read_yaml(df, "text"), "doc", driver="job").first()["settings"]
-    assert record["local"] is True and record["driverCore"] == 24
-    assert record["warehouseRootPath"] == "file:///repo/warehouse"
+    assert record["local"] is True and record["driverCore"] == 3
+    assert record["warehouseRootPath"] == "file:///repo/tables"
     assert record["seedRootPath"] == "file:///repo/seed/r"
     assert record["metastoreRootPath"] == "file:///repo"
-    assert record["storeProviderClass"] == "org.example.Provider"
-    assert record["telemetry"].asDict() == {"url": "", "audience": "a", "isRelay": True}
+    assert record["storeProviderClass"] == "org.example.Store"
+    assert record["telemetry"].asDict() == {"url": "", "audience": "listeners", "isRelay": True}
     assert record["driver"] is None and record["tokenCredential"] is None
     assert record["secret"] is not None
     names = set(record.asDict())
@@ -266,6 +298,7 @@ def test_cache_demo(spark):
         (n, 5000, 200) for n in range(1, 6)
     ]
     assert main([]) == 1
+    assert main(["settings.yaml", "no value"]) == 1
 
 
 def final_plan(df):
@@ -295,15 +328,25 @@ def test_a_hot_key_is_split_in_the_key_restriction(spark):
         assert kept.count() == keys.count()
 
 
-def test_a_hot_key_is_spread_in_a_large_lookup(spark):
-    rows = spark.range(0, 30_000, 1, 4).select(
-        "id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1000).alias("k")
-    )
+def test_the_key_restriction_shuffles_each_side_once(spark):
+    rows = layer(spark, ("a", "1"), ("b", "2"))
+    with session_conf(spark, {**SMALL_SCALE_SKEW, "spark.sql.adaptive.enabled": "false"}):
+        plan = restrict_keys(rows, rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_equal_rows_of_a_hot_key_are_spread_in_a_large_lookup(spark):
+    rows = spark.range(0, 30_000, 1, 16).select(
+        F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id") % 1000).alias("k"),
+        F.lit("the same text in every row").alias("text"))
     table = spark.range(-1, 900).select(F.col("id").alias("k"), F.col("id").alias("v"))
-    with session_conf(spark, {**SMALL_SCALE_SKEW, "spark.sql.shuffle.partitions": "64"}):
+    with session_conf(spark, {**SMALL_SCALE_SKEW, "spark.sql.shuffle.partitions": "64",
+                              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "500",
+                              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500"}):
         joined = join_lookup(rows, table, "k", limit_bytes=0)
+        assert "skew=true" in final_plan(joined)
         places = joined.withColumn("p", F.spark_partition_id())
-        assert places.where("k = -1").select("p").distinct().count() > 16
+        assert places.where("k = -1").select("p").distinct().count() > 4
         assert joined.count() == 30_000
         assert joined.where("v IS NOT NULL AND v <> k").count() == 0
         assert joined.where("v IS NULL").count() == rows.where("k >= 900").count()

@@ -231,24 +231,30 @@ def _scalar(raw: Column, kind: T.DataType) -> Column:
 
 
 def _whole_number(text: Column) -> Column:
-    """Decimal, binary, octal, hexadecimal and base-60 integers."""
+    """Decimal, binary, octal, hexadecimal and base-60 integers; NULL beyond 64 bits."""
     digits = F.regexp_replace(text, "^[-+]", "")
-    sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    negative = text.startswith("-")
 
-    def based(start: int, base: int) -> Column:
-        return sign * F.conv(F.substring(digits, start, 64), base, 10).try_cast("bigint")
+    def based(start: int, base: int, fits: Callable[[Column], Column]) -> Column:
+        # Zeros in front are dropped first, so that ``fits`` sees the number's own length.
+        body = F.regexp_replace(F.substring(digits, start, 2147483647), "^0+(?=.)", "")
+        size = F.when(fits(body), F.conv(body, base, 10)).cast("decimal(20,0)")
+        return F.when(negative, -size).otherwise(size).try_cast("bigint")
 
+    # Added up below zero, where there is one number more than above it.
     sixties = F.aggregate(
         F.split(digits, ":"),
         F.lit(0).cast("bigint"),
-        lambda total, part: total * 60 + part.try_cast("bigint"),
+        lambda total, part: F.try_subtract(
+            F.try_multiply(total, F.lit(60).cast("bigint")), part.try_cast("bigint")),
     )
     return (
         F.when(text.rlike(r"^[-+]?(0|[1-9][0-9]*)$"), text.try_cast("bigint"))
-        .when(text.rlike(r"^[-+]?0b[01]+$"), based(3, 2))
-        .when(text.rlike(r"^[-+]?0x[0-9a-fA-F]+$"), based(3, 16))
-        .when(text.rlike(r"^[-+]?0[0-7]+$"), based(2, 8))
-        .when(text.rlike(r"^[-+]?[1-9][0-9]{0,5}(:[0-5]?[0-9]){1,4}$"), sign * sixties)
+        .when(text.rlike(r"^[-+]?0b[01]+$"), based(3, 2, lambda body: F.length(body) <= 64))
+        .when(text.rlike(r"^[-+]?0x[0-9a-fA-F]+$"), based(3, 16, lambda body: F.length(body) <= 16))
+        .when(text.rlike(r"^[-+]?0[0-7]+$"), based(2, 8, lambda body: body.rlike("^1?.{1,21}$")))
+        .when(text.rlike(r"^[-+]?[1-9][0-9]*(:[0-5]?[0-9])+$"),
+              F.when(negative, sixties).otherwise(F.try_subtract(F.lit(0).cast("bigint"), sixties)))
     )
 
 

@@ -32,8 +32,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCALAR_MARK = "="
 
-# Fixed value: how often a document may come back to the same collection by alias.
-MAX_COLLECTION_ALIASES = 50
+# How many values a document may have once its aliases are written out. Few lines
+# of aliases to aliases can stand for more than any memory holds.
+MAX_EXPANDED_VALUES = 10_000_000
 
 STANDARD_TAG = "tag:yaml.org,2002:"
 RESOLVED_TAGS = {STANDARD_TAG + kind for kind in ("int", "float", "bool")}
@@ -89,64 +90,109 @@ def _to_json(text: str, loader_class, form: Form) -> tuple[str | None, list[str]
     Raises ValueError or YAMLError for a bad one.
     """
     loader = loader_class(text)
-    visited: set[int] = set()
-    aliases = 0
-    paths: dict[str, None] = {}
+    try:
+        root = loader.get_single_node()
+        if root is None or root.tag == NULL_TAG:
+            return None, None
+        if not isinstance(root, yaml.MappingNode):
+            raise ValueError("the root is not a mapping")
+        reader = (_AliasReader if "*" in text else _Reader)(loader, form)
+        result = json.dumps(reader.convert(root, ""), ensure_ascii=False)
+        result.encode("utf-8")
+        return result, list(reader.paths) if form.list_keys else None
+    finally:
+        loader.dispose()
+
+
+class _Reader:
+    """Values of a document's nodes; the paths of its keys, if the form lists them."""
 
-    def scalar(node):
+    def __init__(self, loader, form: Form) -> None:
+        self.loader, self.form = loader, form
+        self.paths: dict[str, None] = {}
+
+    def scalar(self, node):
         if node.tag == NULL_TAG:
             return None
-        if form.marked:
+        if self.form.marked:
             return SCALAR_MARK + node.value
         if node.tag not in RESOLVED_TAGS:
             return node.value
         if node.value.isdecimal() and node.value[0] != "0":
             return int(node.value)
-        value = loader.construct_object(node)
+        value = self.loader.construct_object(node)
         if isinstance(value, float) and value - value != 0:
             return node.value  # JSON has no infinity
         return value
 
-    def convert(node, prefix):
-        nonlocal aliases
+    def convert(self, node, prefix):
         if not node.tag.startswith(STANDARD_TAG):
             raise ValueError(f"unknown tag {node.tag}")
         if isinstance(node, yaml.ScalarNode):
-            return scalar(node)
-        if id(node) in visited:
-            aliases += 1
-            if aliases > MAX_COLLECTION_ALIASES:
-                raise ValueError("too many aliases")
-        visited.add(id(node))
+            return self.scalar(node)
+        return self.collection(node, prefix)
+
+    def collection(self, node, prefix):
         if isinstance(node, yaml.SequenceNode):
             inner = prefix and prefix[:-1] + "[]."
-            return [convert(item, inner) for item in node.value]
-        loader.flatten_mapping(node)
+            return [self.convert(item, inner) for item in node.value]
+        self.loader.flatten_mapping(node)
         mapping = {}
         for key_node, value in node.value:
             if not isinstance(key_node, yaml.ScalarNode):
                 raise ValueError("a mapping key is not a scalar")
-            key = key_node.value.lower() if form.fold_keys else key_node.value
+            key = key_node.value.lower() if self.form.fold_keys else key_node.value
             inner = prefix
-            if form.list_keys:
+            if self.form.list_keys:
                 path = prefix + key.replace("\\", "\\\\").replace(".", "\\.")
-                paths[path] = None
+                self.paths[path] = None
                 inner = path + "."
             mapping.pop(key, None)  # a repeated key moves to its last place
-            mapping[key] = convert(value, inner)
+            mapping[key] = self.convert(value, inner)
         return mapping
 
-    try:
-        root = loader.get_single_node()
-        if root is None or root.tag == NULL_TAG:
-            return None, None
-        if not isinstance(root, yaml.MappingNode):
-            raise ValueError("the root is not a mapping")
-        result = json.dumps(convert(root, ""), ensure_ascii=False)
-        result.encode("utf-8")
-        return result, list(paths) if form.list_keys else None
-    finally:
-        loader.dispose()
+
+class _AliasReader(_Reader):
+    """As above where nodes may be met again: each is converted once, and its value reused.
+
+    What aliases stand for is counted, as the JSON text will write it out.
+    """
+
+    def __init__(self, loader, form: Form) -> None:
+        super().__init__(loader, form)
+        self.known: dict[int, tuple[object, int, list[str]]] = {}
+        self.open: set[int] = set()
+        self.values = 0
+
+    def convert(self, node, prefix):
+        self.count(1)
+        return super().convert(node, prefix)
+
+    def collection(self, node, prefix):
+        if id(node) in self.open:
+            raise ValueError("an alias stands inside what it names")
+        # The paths below a sequence follow its own name, without the dot.
+        own = prefix[:-1] if isinstance(node, yaml.SequenceNode) else prefix
+        if id(node) in self.known:
+            value, size, below = self.known[id(node)]
+            self.count(size)
+            self.paths.update((own + path, None) for path in below)
+            return value
+        outside, self.paths = self.paths, {}
+        before = self.values
+        self.open.add(id(node))
+        value = super().collection(node, prefix)
+        self.open.discard(id(node))
+        below = [path[len(own):] for path in self.paths]
+        self.known[id(node)] = (value, self.values - before, below)
+        outside.update(self.paths)
+        self.paths = outside
+        return value
+
+    def count(self, values: int) -> None:
+        self.values += values
+        if self.values > MAX_EXPANDED_VALUES:
+            raise ValueError(f"its aliases stand for over {MAX_EXPANDED_VALUES} values")
 
 
 def _convert_batch(texts: pa.Array, loader_class, form: Form) -> pa.StructArray:

@@ -57,9 +57,11 @@ def cache_cycle(spark: SparkSession, names: Iterable[str], rounds: int = 5) -> D
     for number in range(1, rounds + 1):
         for name in names:
             rows = None
-            if spark.catalog.tableExists(name):
-                cache_table(spark, name)
-                rows = count_rows(spark, name)
-            table, status, message = _uncache(spark, name)
+            try:
+                if spark.catalog.tableExists(name):
+                    cache_table(spark, name)
+                    rows = count_rows(spark, name)
+            finally:
+                table, status, message = _uncache(spark, name)
             outcome.append((number, table, rows, status, message))
     return spark.createDataFrame(outcome, CYCLE_SCHEMA)

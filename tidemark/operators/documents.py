@@ -3,8 +3,13 @@
 Every reader adds the parsed column ``into`` and treats bad documents by
 ``on_error``:
 
-``fail``        a bad document fails the job, as soon as its value is used;
+``fail``        a bad document fails the job, also where its value is not used;
+``lazy``        a bad document fails the job once its value is used;
 ``quarantine``  the value is NULL and ``<into>_error`` says why; see ``split_bad``.
+
+The failure names the row by ``key``, if a column is given, and the document by
+its length; ``show_payload`` puts its whole text in the message. ``fail`` also checks
+rows that a later filter removes: filter first, or read ``lazy``.
 """
 
 from __future__ import annotations
@@ -32,18 +37,28 @@ _TEMPORARY = ("__variant", "__record", "__yaml", "__read", "__foreign")
 NO_PAYLOAD = "no document"
 NOT_AN_OBJECT = "not a JSON object"
 NOT_OF_SHAPE = "not a JSON object of the declared shape"
+TEXT_AFTER = "text after the JSON object"
 
 
 def read_json(
-    df: DataFrame, column: str, into: str = "doc", on_error: str = "fail"
+    df: DataFrame,
+    column: str,
+    into: str = "doc",
+    on_error: str = "fail",
+    key: str | None = None,
+    show_payload: bool = False,
 ) -> DataFrame:
     """JSON objects as VARIANT."""
     text = F.col(column)
     with session_conf(df.sparkSession, _LAST_KEY_WINS):
         parsed = df.withColumn("__variant", F.try_parse_json(text))
     is_object = F.col("__variant").isNotNull() & text.rlike(r"^\s*\{")
-    reason = F.when(text.isNull(), NO_PAYLOAD).when(~is_object, NOT_AN_OBJECT)
-    return _finish(parsed, column, F.col("__variant"), reason, into, on_error)
+    reason = (
+        F.when(text.isNull(), NO_PAYLOAD)
+        .when(~is_object, NOT_AN_OBJECT)
+        .when(~_ends_with_object(text), TEXT_AFTER)
+    )
+    return _finish(parsed, column, F.col("__variant"), reason, into, on_error, key, show_payload)
 
 
 def read_json_record(
@@ -54,6 +69,8 @@ def read_json_record(
     case_insensitive: bool = False,
     allow_foreign: bool = True,
     on_error: str = "fail",
+    key: str | None = None,
+    show_payload: bool = False,
 ) -> DataFrame:
     """JSON objects as the declared record, from one native parse.
 
@@ -67,20 +84,27 @@ def read_json_record(
     wire = T.StructType([*without_metadata(shape), T.StructField(_CORRUPT, T.StringType())])
     parsed = df.withColumn("__record", F.from_json(F.col(column), wire, _STRICT_JSON))
     record = F.col("__record")
-    reason = F.when(F.col(column).isNull(), NO_PAYLOAD).when(
-        record.isNull() | record.getField(_CORRUPT).isNotNull(), NOT_OF_SHAPE
+    reason = (
+        F.when(F.col(column).isNull(), NO_PAYLOAD)
+        .when(record.isNull() | record.getField(_CORRUPT).isNotNull(), NOT_OF_SHAPE)
+        .when(~_ends_with_object(F.col(column)), TEXT_AFTER)
     )
-    return _finish(parsed, column, with_defaults(record, shape), reason, into, on_error)
+    return _finish(parsed, column, with_defaults(record, shape), reason, into, on_error, key, show_payload)
 
 
 def read_yaml(
-    df: DataFrame, column: str, into: str = "doc", on_error: str = "fail"
+    df: DataFrame,
+    column: str,
+    into: str = "doc",
+    on_error: str = "fail",
+    key: str | None = None,
+    show_payload: bool = False,
 ) -> DataFrame:
     """YAML mappings as VARIANT; an empty document is NULL."""
     parsed = df.withColumn("__yaml", yaml_to_json(F.col(column)))
     parsed = parsed.withColumn("__variant", F.parse_json("__yaml.json"))
     reason = F.when(F.col(column).isNull(), NO_PAYLOAD).otherwise(F.col("__yaml.error"))
-    return _finish(parsed, column, F.col("__variant"), reason, into, on_error)
+    return _finish(parsed, column, F.col("__variant"), reason, into, on_error, key, show_payload)
 
 
 def read_yaml_record(
@@ -91,6 +115,8 @@ def read_yaml_record(
     case_insensitive: bool = True,
     allow_foreign: bool = True,
     on_error: str = "fail",
+    key: str | None = None,
+    show_payload: bool = False,
 ) -> DataFrame:
     """YAML mappings as the declared record, under both key policies at every level.
 
@@ -115,7 +141,7 @@ def read_yaml_record(
             F.size("__foreign") > 0,
             F.concat(F.lit("undeclared key "), F.array_join("__foreign", ", ")),
         )
-    return _finish(parsed, column, value, reason, into, on_error)
+    return _finish(parsed, column, value, reason, into, on_error, key, show_payload)
 
 
 def split_bad(df: DataFrame, payload: str, into: str = "doc") -> tuple[DataFrame, DataFrame]:
@@ -132,8 +158,23 @@ def split_bad(df: DataFrame, payload: str, into: str = "doc") -> tuple[DataFrame
     return good, bad
 
 
+def _ends_with_object(text: Column) -> Column:
+    """Nothing but white space stands after the object ``text`` begins with.
+
+    Spark's parsers stop at the end of the object. In brackets, text after it
+    makes a broken array or a second item, unless it begins with a bracket of its
+    own; then, as a member of an object, it breaks that.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    member = F.get_json_object(
+        F.concat(F.lit('{"first":'), text, F.lit(',"second":0}')), "$.second")
+    return F.coalesce(
+        alone & F.when(text.rlike(r"\}\s*\]"), member.isNotNull()).otherwise(True), F.lit(False))
+
+
 def _finish(
-    df: DataFrame, column: str, value: Column, reason: Column, into: str, on_error: str
+    df: DataFrame, column: str, value: Column, reason: Column, into: str, on_error: str,
+    key: str | None, show_payload: bool,
 ) -> DataFrame:
     kept = [F.col(c) for c in df.columns if c not in _TEMPORARY and c != into]
     if on_error == "quarantine":
@@ -142,10 +183,20 @@ def _finish(
             F.when(reason.isNull(), value).alias(into),
             reason.alias(f"{into}_error"),
         )
-    if on_error != "fail":
-        raise ValueError("on_error is 'fail' or 'quarantine'")
-    message = F.concat(
-        F.lit("Failed to read "), F.coalesce(F.col(column), F.lit("null")), F.lit(": "), reason
-    )
+    if on_error not in ("fail", "lazy"):
+        raise ValueError("on_error is 'fail', 'lazy' or 'quarantine'")
+    name = [] if key is None else [
+        F.lit(f" of {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))]
+    text = F.coalesce(F.col(column), F.lit("null")) if show_payload else F.concat(
+        F.coalesce(F.length(column), F.lit(0)).cast("string"), F.lit(" characters"))
+    message = F.concat(F.lit("Failed to read "), F.lit(column), *name, F.lit(" ("), text,
+                       F.lit("): "), reason)
     passed = F.when(reason.isNull(), True).otherwise(F.raise_error(message).isNull())
-    return df.select(*kept, F.when(passed, value).alias(into))
+    if on_error == "lazy":
+        return df.select(*kept, F.when(passed, value).alias(into))
+    # A filter stays in the plan when its columns are not asked for. It is kept above
+    # the parse by a column Spark takes for changing, or each column it uses would be
+    # parsed once more for it.
+    checked = df.withColumns({"__value": value, "__passed": passed, "__task": F.spark_partition_id()})
+    return checked.where(F.col("__passed") & (F.col("__task") >= 0)).select(
+        *kept, F.col("__value").alias(into))

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-SALTS = 32
+ROW_BYTES = 16
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: fixed for numbers, by length for text, as JSON for what is nested."""
+    size = F.lit(ROW_BYTES * len(df.columns)).cast("bigint")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "variant" or kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return size
 
 
 def lookup_bytes(lookup: DataFrame, key: str) -> int:
-    """Rough in-memory size of ``lookup``; refuses one that repeats a key.
+    """Rough in-memory size of ``lookup``; refuses one that repeats a key that is not null.
 
     One job on the cluster, of which a single row comes back.
     """
-    size = F.lit(16 * len(lookup.columns)).cast("bigint")
-    for name, kind in lookup.dtypes:
-        if kind in ("string", "binary"):
-            size = size + F.coalesce(F.octet_length(name), F.lit(0))
-    keys = lookup.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
+    keys = lookup.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(lookup)).alias("bytes"))
     found = keys.agg(F.max("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
     if (found["rows"] or 0) > 1:
         raise ValueError(f"the lookup has several rows for one {key}")
@@ -28,16 +36,19 @@ def lookup_bytes(lookup: DataFrame, key: str) -> int:
 def join_lookup(
     df: DataFrame, lookup: DataFrame, key: str, limit_bytes: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
-    """Left join ``df`` to ``lookup``, which has at most one row per ``key``.
+    """Left join ``df`` to ``lookup``, which has at most one row per ``key``; null keys join nothing.
 
     ``lookup`` is measured first and broadcast only within ``limit_bytes``.
-    Beyond that both sides are shuffled by key and salt: each lookup row goes to
-    every salt, so the rows of a hot key meet it in many tasks. The salt is a hash
-    of the row and not drawn, so a retried task sends it the same way.
+    Beyond that both sides are shuffled by key, once. The rows of a hot key then
+    fill one partition, which adaptive execution splits, equal rows too, as it
+    deals out the blocks that the map tasks wrote.
     """
-    if lookup_bytes(lookup, key) <= limit_bytes:
-        return df.join(F.broadcast(lookup), key, "left")
-    hashable = [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    return join_measured(df, lookup, key, lookup_bytes(lookup, key), limit_bytes)
+
+
+def join_measured(
+    df: DataFrame, lookup: DataFrame, key: str, size: int, limit_bytes: int = BROADCAST_LIMIT_BYTES
+) -> DataFrame:
+    """``join_lookup`` where the lookup's size is known and its keys are single."""
+    lookup = lookup.where(F.col(key).isNotNull())
+    return df.join(F.broadcast(lookup) if size <= limit_bytes else lookup, key, "left")

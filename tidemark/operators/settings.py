@@ -9,22 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.render import render
-from tidemark.operators.joins import join_lookup
+from tidemark.operators.joins import BROADCAST_LIMIT_BYTES, join_measured, row_bytes
 
 
 def restrict_keys(settings: DataFrame, *key_sources: DataFrame) -> DataFrame:
     """Rows of ``settings`` whose (scope, key) occurs in one of ``key_sources``.
 
-    The keys are made distinct within their source, so a hot key leaves the map
-    side once. The join then shuffles both sides for itself, which is what lets
-    adaptive execution split a partition that a hot key of ``settings`` fills.
+    A semi join needs no distinct keys, so each side is shuffled once. That shuffle
+    is the join's own, which lets adaptive execution split a partition that a hot
+    key of ``settings`` fills.
     """
-    keys = [
-        source.select("scope", "key", F.lit(number).alias("__source"))
-        for number, source in enumerate(key_sources)
-    ]
-    allowed = reduce(DataFrame.unionByName, keys).distinct().drop("__source")
-    return settings.join(allowed, ["scope", "key"], "left_semi")
+    keys = reduce(DataFrame.unionByName, [source.select("scope", "key") for source in key_sources])
+    return settings.join(keys, ["scope", "key"], "left_semi")
 
 
 def merge_layers(layers: Sequence[DataFrame]) -> DataFrame:
@@ -88,13 +84,6 @@ def filter_names(
     return df.where(reduce(Column.__or__, kept))
 
 
-def render_documents(
-    df: DataFrame, column: str, variables: Mapping[str, Column | str], into: str | None = None
-) -> DataFrame:
-    """Fill the placeholders of every document in ``column``; see ``render``."""
-    return df.withColumn(into or column, render(F.col(column), variables))
-
-
 def render_from_table(
     df: DataFrame,
     column: str,
@@ -102,19 +91,27 @@ def render_from_table(
     names: Sequence[str],
     into: str | None = None,
     extra: Mapping[str, Column | str] | None = None,
+    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Fill placeholders from rows (``scope``, ``name``, ``value``) of the document's scope.
 
-    A scope holds a name once; a name it lacks prints "null". ``extra`` holds
-    placeholders that need no table. Joins after the first find the documents
-    partitioned by scope already, where they are not broadcast joins anyway.
+    A scope holds a name once, or the call is refused; a name it lacks prints
+    "null". ``extra`` holds placeholders that need no table. The rows become one
+    row per scope, which is measured, and checked for repeats, by one job and
+    joined once, however many names there are.
     """
-    values: dict[str, Column | str] = {}
-    joined = df
-    for number, name in enumerate(names):
-        found = f"__value{number}"
-        of_name = variables.where(F.col("name") == name)
-        joined = join_lookup(joined, of_name.select("scope", F.col("value").alias(found)), "scope")
-        values[name] = F.col(found)
-    filled = joined.withColumn(into or column, render(F.col(column), {**values, **(extra or {})}))
-    return filled.drop(*[f"__value{number}" for number in range(len(names))])
+    found = [f"__value{number}" for number in range(len(names))]
+    of_name = [F.when(F.col("name") == name, F.struct("value")) for name in names]
+    wide = (
+        variables.where(F.col("name").isin(list(names)) & F.col("scope").isNotNull())
+        .groupBy("scope").agg(
+            *[F.max(one)["value"].alias(into_name) for one, into_name in zip(of_name, found)],
+            F.greatest(*[F.count(one) for one in of_name], F.lit(0)).alias("__repeats"))
+    )
+    size, repeats = wide.agg(F.sum(row_bytes(wide)), F.max("__repeats")).first()
+    if (repeats or 0) > 1:
+        raise ValueError("the variables have several rows for one scope and name")
+    joined = join_measured(df, wide.drop("__repeats"), "scope", size or 0, limit_bytes)
+    values = {name: F.col(one) for name, one in zip(names, found)}
+    return joined.withColumn(
+        into or column, render(F.col(column), {**values, **(extra or {})})).drop(*found)

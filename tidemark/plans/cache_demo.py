@@ -1,6 +1,8 @@
 """The cache demonstration job: settings file → session settings → five cache cycles.
 
-    python -m tidemark.plans.cache_demo settings.yaml
+    python -m tidemark.plans.cache_demo settings.yaml GIT_ROOT=/repos/one
+
+Each name=value fills the placeholder of that name; line ends in the value are removed.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.render import render
+from tidemark.functions.render import render, without_newlines
 from tidemark.operators.cache import cache_cycle
 from tidemark.operators.documents import read_yaml
 from tidemark.operators.settings_record import read_settings
@@ -51,9 +53,15 @@ def main(arguments: Sequence[str]) -> int:
     if not arguments:
         print("give the path of a settings file", file=sys.stderr)
         return 1
+    path, *given = arguments
+    if not all("=" in one for one in given):
+        print("give placeholders as name=value", file=sys.stderr)
+        return 1
+    values = {name: without_newlines(F.lit(value))
+              for name, _, value in (one.partition("=") for one in given)}
     spark = configure(SparkSession.builder.getOrCreate())
     try:
-        settings_from_files(spark, arguments[0], {}).show(truncate=False)
+        settings_from_files(spark, path, values).show(truncate=False)
         cache_demo(spark).show(truncate=False)
     finally:
         spark.stop()

@@ -13,6 +13,7 @@ from tidemark.operators.documents import (
     read_json_record,
     read_yaml,
     read_yaml_record,
+    split_bad,
 )
 from tidemark.plans.tables import load
 
@@ -89,6 +90,50 @@ def json_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_split_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and bad rows of one read: errors have text after the object, signups are cut."""
+    kind = F.col("event_type")
+    payload = (
+        F.when(kind == "error", F.concat("props", F.lit("] {}")))
+        .when(kind == "signup", F.regexp_replace("props", r"\}$", ""))
+        .when(kind == "view", F.concat("props", F.lit(" {}")))
+        .otherwise(F.concat("props", F.lit(" \n")))
+    )
+    events = load(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    good, bad = split_bad(
+        read_json_record(events, "payload", PROPS, on_error="quarantine"), "payload")
+    return good.select("payload", F.col("doc.k").alias("k"), F.lit(None).cast("string").alias("reason")).union(
+        bad.select("payload", F.lit(None).cast("bigint"), "reason"))
+
+
+def json_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read in fail mode of which only the keys are used: every document is checked."""
+    events = load(spark, sf_dir, "events").select("event_id", "props")
+    return read_json(events, "props", key="event_id").select("event_id")
+
+
+INTEGERS = record(*[
+    field(name, LongType()) for name in ("hex", "octal", "binary", "sixties", "padded", "negative")
+])
+
+
+def yaml_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers of all notations, most behind more zeros than a number has digits."""
+    number = F.col("event_id")
+    zeros = F.lit("0" * 70)
+    payload = F.concat(
+        F.lit("hex: 0x"), zeros, F.hex(number),
+        F.lit("\noctal: 0"), zeros, F.conv(number.cast("string"), 10, 8),
+        F.lit("\nbinary: 0b"), zeros, F.bin(number),
+        F.lit("\nsixties: "), (number + 1).cast("string"), F.lit(":0:"), (number % 60).cast("string"),
+        F.lit("\npadded: +0x"), zeros, F.hex(number + (1 << 40)),
+        F.lit("\nnegative: -0b"), F.bin(number), F.lit("\n"),
+    )
+    events = load(spark, sf_dir, "events", spread=True).select("event_id", payload.alias("payload"))
+    return read_yaml_record(events, "payload", INTEGERS).select(
+        "event_id", *[F.col(f"doc.{one.name}").alias(one.name) for one in INTEGERS])
+
+
 def _yaml_events(spark: SparkSession, sf_dir: str, shouting: Column, extra: Column) -> DataFrame:
     """Events as YAML blocks; ``shouting`` rows have their keys in capitals."""
 
@@ -194,6 +239,9 @@ QUERIES = {
     "json_variant": json_variant,
     "json_documents": json_documents,
     "json_struct": json_struct,
+    "json_split_bad": json_split_bad,
+    "json_checked": json_checked,
+    "yaml_integers": yaml_integers,
     "yaml_variant": yaml_variant,
     "yaml_documents": yaml_documents,
     "yaml_struct_ci": yaml_struct_ci,
@@ -222,6 +270,25 @@ ORACLES = {
                event_type = 'error' AS is_bad
         FROM events
     """,
+    "json_split_bad": """
+        SELECT payload, CASE WHEN reason IS NULL THEN k END AS k, reason
+        FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+                     CASE event_type WHEN 'error' THEN props || '] {}' WHEN 'view' THEN props || ' {}'
+                          WHEN 'signup' THEN props[:-2] ELSE props || ' ' || chr(10) END AS payload,
+                     CASE WHEN event_type IN ('error', 'view') THEN 'text after the JSON object'
+                          WHEN event_type = 'signup'
+                          THEN 'not a JSON object of the declared shape' END AS reason
+              FROM events)
+    """,
+    "json_checked": """
+        SELECT event_id FROM events
+    """,
+    "yaml_integers": """
+        SELECT event_id, event_id AS hex, event_id AS octal, event_id AS binary,
+               (event_id + 1) * 3600 + event_id % 60 AS sixties,
+               event_id + 1099511627776 AS padded, -event_id AS negative
+        FROM events
+    """,
     "yaml_variant": """
         SELECT event_id, event_id AS id, event_type AS kind, value AS amount,
                event_type = 'purchase' AS is_paid, user_id

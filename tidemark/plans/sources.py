@@ -21,8 +21,10 @@ def range_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_view(rows, view)
     try:
         cache_table(spark, view)
-        cached = count_rows(spark, view)
-        uncache_tables(spark, [view])
+        try:
+            cached = count_rows(spark, view)
+        finally:
+            uncache_tables(spark, [view])
         return spark.table(view).agg(
             F.lit(cached).cast("bigint").alias("n_cached"),
             F.count(F.lit(1)).alias("n"),
