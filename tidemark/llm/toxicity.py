@@ -30,8 +30,8 @@ PARTS = sum(WIDTHS)
 PAD = max(WIDTHS)
 TRAIN_ROWS = 12_000
 TRAIN_TEXT_BYTES = 1 << 20
-EPOCHS = 6
-LEAST_STEPS = 1500
+EPOCHS = 3
+LEAST_STEPS = 800
 LEAST_DOCS = 2
 BATCH = 32
 FOLDS = 4
