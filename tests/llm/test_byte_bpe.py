@@ -1,0 +1,81 @@
+"""Byte-level BPE against the tokenizer library and exact round trips."""
+
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from tidemark.llm.byte_bpe import (
+    Encoder, Merges, encode_documents, exact_pattern, merge_one, merge_side_by_side, read_ranks,
+)
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+RANKS = read_ranks(PATH)
+THEIRS = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return Encoder(RANKS, public_tokenizers.PATTERN, exact_pattern(public_tokenizers.PATTERN))
+
+
+def ids_of(raw):
+    return np.frombuffer(raw, "<u4").tolist()
+
+
+def test_every_character_is_split_alike(encoder):
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}" for c in codes[at:at + 2000]) for at in range(0, len(codes), 2000)]
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert ids_of(raw) == THEIRS.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_texts(encoder, seed):
+    rng = random.Random(seed)
+    letters = [*" \t\n\r'abstredvm.,!0123éßñ漢字​😀́\x1c\x85\xa0 "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    texts += ["".join(rng.choice("abctheing") for _ in range(rng.randrange(100, 900))) for _ in range(40)]
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert ids_of(raw) == THEIRS.encode_ordinary(text)
+        assert encoder.decode(raw) == text.encode()
+
+
+def test_one_endless_piece(encoder):
+    for text in ("a" * 300_000, "ab" * 50_000, "thereof" * 3000):
+        [raw] = encoder.encode([text])
+        assert encoder.decode(raw).decode() == text
+    assert ids_of(encoder.encode(["ab" * 500])[0]) == THEIRS.encode_ordinary("ab" * 500)
+
+
+def test_both_trees_agree():
+    rng = random.Random(3)
+    merges = Merges(RANKS)
+    pieces = [bytes(rng.choice(b"theandr \xc3\xa9") for _ in range(rng.randrange(2, 17))) for _ in range(500)]
+    assert [ids_of(one) for one in merge_side_by_side(pieces, 4, merges)] == [
+        merge_one(piece, merges) for piece in pieces]
+    with pytest.raises(ValueError):
+        Merges({b"a": 0})
+
+
+def test_rows(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{path}'").fetchall()
+    rows += [(-1, None), (-1, None), (-2, ""), (None, "<|endoftext|>"), (-3, "word " * 200_000)]
+    df = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, ids binary")
+    found = encode_documents(df, PATH, public_tokenizers.PATTERN,
+                             results=("ids", "decoded", "ids_sha256", "decoded_sha256")).collect()
+    want = []
+    for ident, text in rows:
+        raw = np.array(THEIRS.encode_ordinary(text or ""), "<u4").tobytes()
+        plain = (text or "").encode()
+        want.append((ident, len(raw) // 4, raw, plain, hashlib.sha256(raw).hexdigest(),
+                     hashlib.sha256(plain).hexdigest()))
+    assert sorted(map(repr, map(tuple, [(r[0], r[1], bytes(r[2]), bytes(r[3]), r[4], r[5]) for r in found]))) == (
+        sorted(map(repr, want)))
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert encode_documents(none, PATH, public_tokenizers.PATTERN).collect() == []

@@ -284,6 +284,7 @@ def train(
                 held.append((ident, zlib.crc32(text), buckets, label, fold, lang,
                              text if fold == CALIBRATION else b""))
         held.sort(key=lambda row: row[:2])
+
         def fit_on(rows: list[tuple]) -> Model:
             return fit([row[2] for row in rows], np.array([row[3] for row in rows], np.float32))
 
@@ -297,6 +298,8 @@ def train(
             names=["model"])
 
     found = rows.repartition(1).mapInArrow(fitted, "model binary").first()
+    if found is None:  # no labelled row at all
+        return fit([], np.zeros(0))._replace(thresholds=calibrate(np.zeros(0), np.zeros(0), []))
     return pickle.loads(bytes(found["model"]))
 
 
