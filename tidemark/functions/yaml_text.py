@@ -91,13 +91,14 @@ def _to_json(text: str, loader_class, form: Form) -> tuple[str | None, list[str]
     """
     loader = loader_class(text)
     try:
-        root = loader.get_single_node()
-        if root is None or root.tag == NULL_TAG:
+        # Only aliases and merges need the document as a tree of nodes.
+        reader = (_NodeReader if "*" in text or "<<" in text else _EventReader)(loader, form)
+        value = reader.document()
+        if value is None:
             return None, None
-        if not isinstance(root, yaml.MappingNode):
+        if not isinstance(value, dict):
             raise ValueError("the root is not a mapping")
-        reader = (_AliasReader if "*" in text else _Reader)(loader, form)
-        result = json.dumps(reader.convert(root, ""), ensure_ascii=False)
+        result = json.dumps(value, ensure_ascii=False)
         result.encode("utf-8")
         return result, list(reader.paths) if form.list_keys else None
     finally:
@@ -105,55 +106,81 @@ def _to_json(text: str, loader_class, form: Form) -> tuple[str | None, list[str]
 
 
 class _Reader:
-    """Values of a document's nodes; the paths of its keys, if the form lists them."""
+    """What both readers share: scalars, and the paths of keys if the form lists them."""
 
     def __init__(self, loader, form: Form) -> None:
         self.loader, self.form = loader, form
         self.paths: dict[str, None] = {}
 
-    def scalar(self, node):
-        if node.tag == NULL_TAG:
+    def scalar(self, tag: str, value: str):
+        if not tag.startswith(STANDARD_TAG):
+            raise ValueError(f"unknown tag {tag}")
+        if tag == NULL_TAG:
             return None
         if self.form.marked:
-            return SCALAR_MARK + node.value
-        if node.tag not in RESOLVED_TAGS:
-            return node.value
-        if node.value.isdecimal() and node.value[0] != "0":
-            return int(node.value)
-        value = self.loader.construct_object(node)
-        if isinstance(value, float) and value - value != 0:
-            return node.value  # JSON has no infinity
+            return SCALAR_MARK + value
+        if tag not in RESOLVED_TAGS:
+            return value
+        if value.isdecimal() and value[0] != "0":
+            return int(value)
+        number = self.loader.construct_object(yaml.ScalarNode(tag, value))
+        if isinstance(number, float) and number - number != 0:
+            return value  # JSON has no infinity
+        return number
+
+    def key(self, value: str, prefix: str) -> tuple[str, str]:
+        """The key as it counts, and the prefix of the paths below it."""
+        key = value.lower() if self.form.fold_keys else value
+        if not self.form.list_keys:
+            return key, prefix
+        path = prefix + key.replace("\\", "\\\\").replace(".", "\\.")
+        self.paths[path] = None
+        return key, path + "."
+
+
+class _EventReader(_Reader):
+    """Values straight from the parser's events, without a tree in between."""
+
+    def document(self):
+        take, loader = self.loader.get_event, self.loader
+        take()  # the stream's start
+        if loader.check_event(yaml.StreamEndEvent):
+            return None
+        take()
+        value = self.value(take(), "")
+        take()
+        if not loader.check_event(yaml.StreamEndEvent):
+            raise ValueError("more than one document")
         return value
 
-    def convert(self, node, prefix):
-        if not node.tag.startswith(STANDARD_TAG):
-            raise ValueError(f"unknown tag {node.tag}")
-        if isinstance(node, yaml.ScalarNode):
-            return self.scalar(node)
-        return self.collection(node, prefix)
-
-    def collection(self, node, prefix):
-        if isinstance(node, yaml.SequenceNode):
+    def value(self, event, prefix):
+        kind = type(event)
+        if kind is yaml.ScalarEvent:
+            tag = event.tag
+            if tag is None or tag == "!":
+                tag = self.loader.resolve(yaml.ScalarNode, event.value, event.implicit)
+            return self.scalar(tag, event.value)
+        if event.tag is not None and event.tag != "!" and not event.tag.startswith(STANDARD_TAG):
+            raise ValueError(f"unknown tag {event.tag}")
+        take, value = self.loader.get_event, self.value
+        if kind is yaml.SequenceStartEvent:
             inner = prefix and prefix[:-1] + "[]."
-            return [self.convert(item, inner) for item in node.value]
-        self.loader.flatten_mapping(node)
+            items = []
+            while type(event := take()) is not yaml.SequenceEndEvent:
+                items.append(value(event, inner))
+            return items
         mapping = {}
-        for key_node, value in node.value:
-            if not isinstance(key_node, yaml.ScalarNode):
+        while type(event := take()) is not yaml.MappingEndEvent:
+            if type(event) is not yaml.ScalarEvent:
                 raise ValueError("a mapping key is not a scalar")
-            key = key_node.value.lower() if self.form.fold_keys else key_node.value
-            inner = prefix
-            if self.form.list_keys:
-                path = prefix + key.replace("\\", "\\\\").replace(".", "\\.")
-                self.paths[path] = None
-                inner = path + "."
+            key, inner = self.key(event.value, prefix)
             mapping.pop(key, None)  # a repeated key moves to its last place
-            mapping[key] = self.convert(value, inner)
+            mapping[key] = value(take(), inner)
         return mapping
 
 
-class _AliasReader(_Reader):
-    """As above where nodes may be met again: each is converted once, and its value reused.
+class _NodeReader(_Reader):
+    """Values of a tree in which nodes may be met again: each is converted once, then reused.
 
     What aliases stand for is counted, as the JSON text will write it out.
     """
@@ -164,11 +191,16 @@ class _AliasReader(_Reader):
         self.open: set[int] = set()
         self.values = 0
 
-    def convert(self, node, prefix):
-        self.count(1)
-        return super().convert(node, prefix)
+    def document(self):
+        root = self.loader.get_single_node()
+        return None if root is None else self.value(root, "")
 
-    def collection(self, node, prefix):
+    def value(self, node, prefix):
+        self.count(1)
+        if isinstance(node, yaml.ScalarNode):
+            return self.scalar(node.tag, node.value)
+        if not node.tag.startswith(STANDARD_TAG):
+            raise ValueError(f"unknown tag {node.tag}")
         if id(node) in self.open:
             raise ValueError("an alias stands inside what it names")
         # The paths below a sequence follow its own name, without the dot.
@@ -181,7 +213,7 @@ class _AliasReader(_Reader):
         outside, self.paths = self.paths, {}
         before = self.values
         self.open.add(id(node))
-        value = super().collection(node, prefix)
+        value = self.collection(node, prefix)
         self.open.discard(id(node))
         below = [path[len(own):] for path in self.paths]
         self.known[id(node)] = (value, self.values - before, below)
@@ -189,6 +221,20 @@ class _AliasReader(_Reader):
         self.paths = outside
         return value
 
+    def collection(self, node, prefix):
+        if isinstance(node, yaml.SequenceNode):
+            inner = prefix and prefix[:-1] + "[]."
+            return [self.value(item, inner) for item in node.value]
+        self.loader.flatten_mapping(node)
+        mapping = {}
+        for key_node, value in node.value:
+            if not isinstance(key_node, yaml.ScalarNode):
+                raise ValueError("a mapping key is not a scalar")
+            key, inner = self.key(key_node.value, prefix)
+            mapping.pop(key, None)
+            mapping[key] = self.value(value, inner)
+        return mapping
+
     def count(self, values: int) -> None:
         self.values += values
         if self.values > MAX_EXPANDED_VALUES:
