@@ -18,7 +18,15 @@ from tidemark.session import (
     scratch_path,
     session_conf,
 )
-from tidemark.sources.files import read_parquet, read_whole_text, write_parquet
+from tidemark import session as session_module
+from tidemark.sources import files as files_module
+from tidemark.sources.files import (
+    read_parquet,
+    read_whole_text,
+    split_documents,
+    write_documents,
+    write_parquet,
+)
 from tidemark.sources.ranges import range_rows, register_view
 from tidemark.sources.tables import drop_table, save_table
 
@@ -99,15 +107,34 @@ def test_whole_text(spark):
     assert one.count() == 2
 
 
-def test_spread_deals_out_short_scans_only(spark):
+def test_documents_share_files(spark):
+    path = scratch_path(spark, "shared")
+    texts = [f"a: {n}\nb: ---\n--- c" for n in range(95)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    write_documents(df, "t", path, per_file=20)
+    files = read_whole_text(spark, path)
+    assert files.count() == 6
+    assert sorted(r["content"] for r in split_documents(files).collect()) == sorted(f"{t}\n" for t in texts[:-1])
+    with pytest.raises(PySparkException, match="holds a line"):
+        write_documents(spark.createDataFrame([("a\n---\nb",)], "t string"), "t", scratch_path(spark, "refused"))
+
+
+def test_spread_deals_out_small_tables_only(spark, monkeypatch):
     path = scratch_path(spark, "spread")
     spark.range(1000).coalesce(1).write.parquet(path)
     assert read_parquet(spark, path).rdd.getNumPartitions() == 1
     assert read_parquet(spark, path, spread=True).rdd.getNumPartitions() == 8
-    wide = scratch_path(spark, "wide")
-    with session_conf(spark, {"spark.sql.files.openCostInBytes": "134217728"}):
-        spark.range(1000).repartition(9).write.parquet(wide)
-        assert read_parquet(spark, wide, spread=True).rdd.getNumPartitions() == 9
+    monkeypatch.setattr(files_module, "SPREAD_BELOW_BYTES", 100)
+    assert read_parquet(spark, path, spread=True).rdd.getNumPartitions() == 1
+
+
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session_module, "shared_root", lambda spark: str(tmp_path))
+    spark.range(3).write.parquet(session_module.scratch_path(spark, "one"))
+    (tmp_path / "of another application").mkdir()
+    assert len(list(tmp_path.iterdir())) == 2
+    session_module.clear_scratch(spark)
+    assert [one.name for one in tmp_path.iterdir()] == ["of another application"]
 
 
 def test_tables(spark):

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.documents import read_yaml_record
 from tidemark.operators.exchange import observed
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, session_conf
 from tidemark.streaming.joins import chain_within, once_per_period
-from tidemark.streaming.runner import finish, observed_total, run_stream, start_stream
-from tidemark.streaming.sources import stream_parquet
+from tidemark.plans.streams import chain_run
+from tidemark.streaming.runner import finish, run_stream, start_stream
+from tidemark.streaming.sources import arrange_by_time, stream_parquet
 
 START = datetime(2024, 1, 1)
 
@@ -50,11 +51,11 @@ def micros(hour):
 
 
 def run(spark, path, files=None, delay="1 hour", **options):
-    output, query = run_stream(
+    output, done = run_stream(
         chain(stream_parquet(spark, path, files_per_trigger=files), delay), "t", timeout=120, **options
     )
     rows = {tuple(r) for r in output.select("user_id", "v", "c", "b").collect()}
-    return rows, output.count(), query
+    return rows, output.count(), done
 
 
 EVENTS = hours(
@@ -73,10 +74,10 @@ def test_chain_in_one_batch(spark):
 
 def test_chain_over_batches_in_order(spark):
     ordered = sorted(EVENTS, key=lambda e: e[2])
-    rows, count, query = run(spark, write_batches(spark, ordered[:5], ordered[5:9], ordered[9:]), files=1)
+    rows, count, done = run(spark, write_batches(spark, ordered[:5], ordered[5:9], ordered[9:]), files=1)
     assert rows == EXPECTED and count == len(EXPECTED)
-    assert len(query.recentProgress) >= 3
-    state = query.recentProgress[-1].stateOperators
+    assert done.batches >= 3 and done.dropped == 0
+    state = done.query.recentProgress[-1].stateOperators
     assert len(state) == 5  # three distinct steps, two joins
 
 
@@ -88,11 +89,13 @@ def test_late_rows_within_the_delay_count_and_later_ones_are_dropped(spark):
     advance = hours((9, "view", 30), (9, "click", 30), (9, "buy", 30))
     # Late rows are measured against the watermark of the batch before.
     later = hours((9, "view", 31), (9, "click", 40), (9, "buy", 50))
-    lost, _, query = run(spark, write_batches(spark, first[:4], advance, later, late), files=1)
-    assert lost == {(9, micros(30), micros(30), micros(30))}
-    assert sum(
-        o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators
-    ) > 0
+    path = write_batches(spark, first[:4], advance, later, late)
+    lost, _, done = run(spark, path, files=1, on_late="report")
+    assert lost == {(9, micros(30), micros(30), micros(30))} and done.dropped > 0
+    with pytest.raises(RuntimeError, match="dropped"):
+        run(spark, path, files=1)
+    with pytest.raises(ValueError):
+        run(spark, path, on_late="ignore")
 
 
 def test_hot_user(spark):
@@ -118,7 +121,7 @@ def test_restart_goes_on_from_the_checkpoint(spark):
 
 def test_runner_options(spark):
     before = spark.sql("SET").collect()
-    rows, _, query = run(
+    rows, _, _ = run(
         spark, write_batches(spark, EVENTS),
         state_provider="org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
         retention={"minBatchesToRetain": 2, "minDeltasForSnapshot": 2, "maintenanceInterval": "10s"},
@@ -129,12 +132,54 @@ def test_runner_options(spark):
         run(spark, write_batches(spark, EVENTS), retention={"unknown": 1})
 
 
-def test_observed_metrics_of_a_stream(spark):
-    path = write_batches(spark, EVENTS[:6], EVENTS[6:])
+def test_observed_metrics_over_more_batches_than_spark_remembers(spark):
+    path = write_batches(spark, *[[event] for event in EVENTS])
     watched, _name = stream_parquet(spark, path, files_per_trigger=1), "watched"
     watched = watched.observe(_name, F.sum("user_id").alias("total"))
-    _, query = run_stream(watched, "observed", timeout=60)
-    assert observed_total(query, _name, "total") == sum(e[0] for e in EVENTS)
+    with session_conf(spark, {"spark.sql.streaming.numRecentProgressUpdates": "2"}):
+        _, done = run_stream(watched, "observed", timeout=120)
+        assert len(done.query.recentProgress) <= 2 and done.batches >= len(EVENTS)
+    assert done.total(_name, "total") == sum(e[0] for e in EVENTS)
+
+
+def test_given_events_in_batches_by_time(spark):
+    one, alone = chain_run(spark, "/root/testdata/sf0.01", 1)
+    several, steps = chain_run(spark, "/root/testdata/sf0.01", 5)
+    assert steps.batches > alone.batches and steps.dropped == 0
+    assert steps.peak_state < alone.peak_state
+    assert sorted(one.collect()) == sorted(several.collect())
+
+
+@pytest.mark.parametrize("name", ["one.parquet", "a,b.parquet", "{x}.parquet", "[y]*.parquet", "z?.parquet"])
+def test_files_and_folders_of_any_name(spark, name, monkeypatch):
+    path = write_batches(spark, EVENTS)
+    os.rename(f"{path}/batch-0.parquet", f"{path}/{name}")
+    odd = f"{path}/in {name}"
+    os.makedirs(odd)
+    os.link(f"{path}/{name}", f"{odd}/part.parquet")
+    for place in (f"{path}/{name}", odd):
+        output, _ = run_stream(stream_parquet(spark, place), "names", timeout=60)
+        assert output.count() == len(EVENTS)
+
+
+def test_relative_and_missing_paths(spark):
+    path = os.path.relpath(write_batches(spark, EVENTS))
+    output, _ = run_stream(stream_parquet(spark, f"{path}/batch-0.parquet"), "relative", timeout=60)
+    assert output.count() == len(EVENTS)
+    with pytest.raises(FileNotFoundError):
+        stream_parquet(spark, f"{path}/other.parquet")
+
+
+def test_files_arranged_by_time(spark):
+    path = scratch_path(spark, "arranged")
+    rows = spark.createDataFrame(EVENTS, "user_id long, kind string, ts timestamp")
+    arrange_by_time(rows, "ts", path, 4)
+    folder = path.removeprefix("file:")
+    names = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
+    names.sort(key=lambda n: os.stat(f"{folder}/{n}").st_mtime)
+    spans = [spark.read.parquet(f"{path}/{n}").agg(F.min("ts"), F.max("ts")).first() for n in names]
+    assert len(names) > 1
+    assert all(before[1] <= after[0] for before, after in zip(spans, spans[1:]))
 
 
 def test_documents_on_a_stream(spark):
@@ -149,5 +194,5 @@ def test_documents_on_a_stream(spark):
         read.select(F.col("doc.someDriver.engine.maxThreads").alias("n"), "doc_error"), "docs", timeout=60
     )
     rows = output.orderBy("n").collect()
-    assert [r["n"] for r in rows] == [None, 8]
+    assert [r["n"] for r in rows] == [None, 6]
     assert rows[0]["doc_error"] and rows[1]["doc_error"] is None

@@ -18,7 +18,7 @@ from tidemark.operators.cache import cache_cycle
 from tidemark.operators.documents import read_yaml
 from tidemark.operators.settings_record import read_settings
 from tidemark.session import configure, fresh_name
-from tidemark.sources.files import read_whole_text
+from tidemark.sources.files import read_whole_text, split_documents
 from tidemark.sources.ranges import range_rows, register_view
 
 # Rows of the demonstration table and rounds.
@@ -31,9 +31,15 @@ def settings_from_files(
     paths: str | Sequence[str],
     variables: Mapping[str, Column | str],
     driver: str | None = None,
+    several: bool = False,
 ) -> DataFrame:
-    """(``path``, ``settings``) of YAML settings files, placeholders filled."""
+    """(``path``, ``settings``) of YAML settings files, placeholders filled.
+
+    ``several`` says that a file may hold many documents.
+    """
     files = read_whole_text(spark, paths)
+    if several:
+        files = split_documents(files)
     rendered = files.select("path", render(F.col("content"), variables).alias("content"))
     record = read_settings(read_yaml(rendered, "content"), "doc", driver=driver)
     return record.select("path", "settings")

@@ -18,6 +18,7 @@ from tidemark.operators.settings import (
 from tidemark.plans.cache_demo import settings_from_files
 from tidemark.plans.tables import load
 from tidemark.session import scratch_path
+from tidemark.sources.files import write_documents
 
 RUN_ID = "r1"
 
@@ -103,9 +104,9 @@ def path_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A settings file per supplier, from the written file to the typed record."""
+    """A settings document per supplier, from the written files to the typed record."""
     balance = F.col("s_acctbal").cast("string")
-    documents = load(spark, sf_dir, "supplier", spread=True).select(
+    documents = load(spark, sf_dir, "supplier").select(
         F.concat(
             F.lit("# settings\nspark:\n  local: "),
             F.when(F.col("s_acctbal") < 5000, "true").otherwise("false"),
@@ -117,8 +118,8 @@ def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("value")
     )
     path = scratch_path(spark, "settings-files")
-    documents.write.option("maxRecordsPerFile", 1).text(path)
-    read = settings_from_files(spark, path, {ROOT_PLACEHOLDER: "/repos/$1"})
+    write_documents(documents, "value", path)
+    read = settings_from_files(spark, path, {ROOT_PLACEHOLDER: "/repos/$1"}, several=True)
     return read.select(
         F.col("settings.driverCore").alias("s_suppkey"),
         F.col("settings.local").alias("is_local"),

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.operators.cache import cache_table, count_rows, uncache_tables
 from tidemark.plans.tables import UTC, load
 from tidemark.session import fresh_name, scratch_path, session_conf
-from tidemark.sources.files import read_whole_text, write_parquet
+from tidemark.sources.files import (
+    read_whole_text,
+    split_documents,
+    write_documents,
+    write_parquet,
+)
 from tidemark.sources.ranges import range_rows, register_view
 from tidemark.sources.settings_table import columns_as_settings
 from tidemark.sources.tables import drop_table, save_table
@@ -44,24 +49,19 @@ def config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One settings file per supplier, written and read back whole.
-
-    A file per key is the shape this source is for. Creating a file costs far
-    more than its row, so a short scan is dealt out to all cores.
-    """
-    suppliers = load(spark, sf_dir, "supplier", spread=True)
+    """One settings document per supplier, written to files and read back whole."""
+    suppliers = load(spark, sf_dir, "supplier")
     documents = suppliers.select(
         F.concat(
             F.lit("supplier:\n  key: "), F.col("s_suppkey").cast("string"),
             F.lit("\n  name: "), "s_name",
             F.lit("\n  nation: "), F.col("s_nationkey").cast("string"),
-        ).alias("value"),
+        ).alias("document"),
     )
     path = scratch_path(spark, "whole-text")
-    documents.write.option("maxRecordsPerFile", 1).text(path)
-    files = read_whole_text(spark, path)
+    write_documents(documents, "document", path)
     key = F.regexp_extract("content", r"key: (\d+)", 1).cast("bigint")
-    return files.select(key.alias("s_suppkey"), "content")
+    return split_documents(read_whole_text(spark, path)).select(key.alias("s_suppkey"), "content")
 
 
 def _events_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:

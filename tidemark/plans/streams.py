@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.settings import filter_names
-from tidemark.plans.tables import UTC, table_path
-from tidemark.session import fresh_name, session_conf
+from tidemark.plans.tables import UTC, load, table_path
+from tidemark.session import fresh_name, scratch_path, session_conf
 from tidemark.streaming.joins import chain_within, once_per_period
-from tidemark.streaming.runner import observed_total, run_stream
-from tidemark.streaming.sources import stream_parquet
+from tidemark.streaming.runner import Run, run_stream
+from tidemark.streaming.sources import arrange_by_time, stream_parquet
 
 
 def _state_partitions(spark: SparkSession) -> int | None:
@@ -19,28 +19,39 @@ def _state_partitions(spark: SparkSession) -> int | None:
     return context.defaultParallelism if context.master.startswith("local") else None
 
 
+CHAIN = ("view", "click", "purchase")
+CHAIN_BATCHES = 3
+
+
 def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which a user viewed, then clicked, then purchased, each within two days.
+    """Hours in which a user viewed, then clicked, then purchased, each within two days."""
+    return chain_run(spark, sf_dir, CHAIN_BATCHES)[0]
+
 
-    Two stateful joins in a row, over the distinct days of each step.
+def chain_run(
+    spark: SparkSession, sf_dir: str, batches: int, period: str = "hour"
+) -> tuple[DataFrame, Run]:
+    """Two stateful joins in a row over the distinct periods of each step, and how they ran.
+
+    The events are first laid out by time, so they can be taken in ``batches``
+    steps of which none holds rows the watermark has passed. State older than
+    the bounds goes with each step.
     """
     with session_conf(spark, UTC):
-        events = stream_parquet(spark, table_path(sf_dir, "events"))
+        used = load(spark, sf_dir, "events").where(F.col("event_type").isin(*CHAIN)).select(
+            "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+        path = scratch_path(spark, "chain-events")
+        arrange_by_time(used, "ts", path, batches)
+        events = stream_parquet(spark, path, files_per_trigger=1)
 
-        def step(kind: str, day: str) -> tuple[DataFrame, str]:
+        def step(kind: str) -> tuple[DataFrame, str]:
             rows = events.where(F.col("event_type") == kind).select(
-                "user_id", F.col("ts").cast("timestamp").alias(day)
-            )
-            return once_per_period(rows, "user_id", day, "day", "3 days"), day
+                "user_id", F.col("ts").alias(f"{kind}_time"))
+            return once_per_period(rows, "user_id", f"{kind}_time", period, "3 days"), f"{kind}_time"
 
-        chain = chain_within(
-            [step("view", "view_day"), step("click", "click_day"), step("purchase", "purchase_day")],
-            "user_id", "2 DAYS",
-        )
-        output, _ = run_stream(
-            chain, "stream-chain", state_partitions=_state_partitions(spark)
-        )
-        return output.select("user_id", "view_day", "click_day", "purchase_day")
+        chain = chain_within([step(kind) for kind in CHAIN], "user_id", "2 DAYS")
+        output, run = run_stream(chain, "stream-chain", state_partitions=_state_partitions(spark))
+        return output.select("user_id", *[f"{kind}_time" for kind in CHAIN]), run
 
 
 def stream_name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +72,9 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     watched = events.observe(
         name, F.sum(F.col("event_id") * 10).alias("total"), F.count(F.lit(1)).alias("n")
     )
-    _, query = run_stream(watched, "stream-report")
+    _, run = run_stream(watched, "stream-report")
     return spark.createDataFrame(
-        [tuple(observed_total(query, name, metric) for metric in ("total", "n"))],
+        [tuple(run.total(name, metric) for metric in ("total", "n"))],
         "total bigint, n bigint",
     )
 
@@ -76,15 +87,15 @@ QUERIES = {
 
 ORACLES = {
     "stream_chain": """
-        WITH days AS (
-            SELECT DISTINCT user_id, event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d
+        WITH hours AS (
+            SELECT DISTINCT user_id, event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h
             FROM events
         )
-        SELECT v.user_id, epoch_us(v.d) AS view_day, epoch_us(c.d) AS click_day,
-               epoch_us(p.d) AS purchase_day
-        FROM days v
-        JOIN days c ON c.user_id = v.user_id AND c.d BETWEEN v.d AND v.d + INTERVAL 2 DAY
-        JOIN days p ON p.user_id = v.user_id AND p.d BETWEEN c.d AND c.d + INTERVAL 2 DAY
+        SELECT v.user_id, epoch_us(v.h) AS view_time, epoch_us(c.h) AS click_time,
+               epoch_us(p.h) AS purchase_time
+        FROM hours v
+        JOIN hours c ON c.user_id = v.user_id AND c.h BETWEEN v.h AND v.h + INTERVAL 2 DAY
+        JOIN hours p ON p.user_id = v.user_id AND p.h BETWEEN c.h AND c.h + INTERVAL 2 DAY
         WHERE v.event_type = 'view' AND c.event_type = 'click' AND p.event_type = 'purchase'
     """,
     "stream_name_filter": """

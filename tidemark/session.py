@@ -38,6 +38,8 @@ def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[S
 
     Spark reads most SQL settings while a plan is analysed or a job starts, so
     the block must enclose the building of the DataFrame or the write itself.
+    The settings are the session's: threads that share one need a session each
+    (``spark.newSession()``) to keep theirs apart.
     """
     before = {key: spark.conf.get(key, None) for key in settings}
     try:
@@ -70,13 +72,23 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, grouped by application.
 
-    Results may be read lazily, so nothing is removed here; the application's
-    folder can go once the application has ended.
+    Results may be read lazily, so nothing is removed here; ``clear_scratch``
+    removes it all once they are no longer needed.
     """
     application = spark.sparkContext.applicationId
     return f"{shared_root(spark)}/{application}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application has written under the shared folder.
+
+    For the end of a job, as tables that queries returned may still be read from there.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_name(stem: str) -> str:
     """A view or table name no other query uses."""
     return f"{stem}_{uuid.uuid4().hex[:12]}"

@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from tidemark.session import PARQUET_TIMESTAMP_SETTINGS, session_conf
 
 
+# Spark cuts no scan into parts of under a few MB, so smaller tables sit in a few tasks.
+SPREAD_BELOW_BYTES = 256 * 1024 * 1024
+
+
 def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
     """Read a parquet file or folder.
 
     ``spread`` is for work that costs far more per row than moving the row: a
-    scan with fewer splits than the cluster has cores is then dealt out to all
-    of them. A scan with enough splits is left as it is, without a shuffle.
+    table of under ``SPREAD_BELOW_BYTES`` is then dealt out to all cores. Of a
+    larger one Spark's own splits are kept, without a shuffle.
     """
     df = spark.read.parquet(path)
     if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size < SPREAD_BELOW_BYTES:
+            df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -54,3 +58,29 @@ def read_whole_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     return content.select(
         F.input_file_name().alias("path"), F.col("value").alias("content"), *extra
     )
+
+
+# Fixed value: the line that ends a document in a file of several.
+DOCUMENT_END = "---"
+
+
+def write_documents(df: DataFrame, column: str, path: str, per_file: int = 10_000) -> None:
+    """Write the texts of ``column`` to text files of at most ``per_file`` documents each.
+
+    The number of files follows from the splits of ``df`` and that bound, not
+    from the number of documents. A text must not hold a line of its own that
+    ends a document; one that does fails the job.
+    """
+    text = F.col(column)
+    ends_early = text.rlike(rf"(?m)^{DOCUMENT_END}$")
+    whole = F.concat(text, F.lit(f"\n{DOCUMENT_END}"))
+    refused = F.raise_error(F.lit(f"a document holds a line {DOCUMENT_END}"))
+    df.select(F.when(ends_early, refused).otherwise(whole).alias("value")).where(
+        F.col("value").isNotNull()
+    ).write.option("maxRecordsPerFile", per_file).text(path)
+
+
+def split_documents(files: DataFrame) -> DataFrame:
+    """Each document of whole files (``path``, ``content``) as a row of its own."""
+    documents = F.split("content", rf"(?m)^{DOCUMENT_END}$\n?")
+    return files.withColumn("content", F.explode(documents)).where("content <> ''")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +21,8 @@ STATE_SETTINGS = {
     "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
-# How many batches of a run keep their progress, and with it their observed metrics.
-PROGRESS_KEPT = 10_000
+# Spark keeps the progress of its last batches only; a run is read far more often.
+POLL_SECONDS = 0.02
 
 # Settings of state retention a caller may pass, by short name.
 RETENTION_SETTINGS = {
@@ -51,7 +53,6 @@ def start_stream(
         **PARQUET_TIMESTAMP_SETTINGS,
         **STATE_SETTINGS,
         "spark.sql.streaming.stateStore.providerClass": state_provider,
-        "spark.sql.streaming.numRecentProgressUpdates": str(PROGRESS_KEPT),
     }
     if state_provider != STATE_STORE_PROVIDER:
         # One store for a whole join needs column families, which only RocksDB has.
@@ -73,38 +74,76 @@ def start_stream(
         return writer.start()
 
 
-def finish(query: StreamingQuery, timeout: float | None = None) -> StreamingQuery:
-    """Wait for the query; a failure is raised, an overrun stops it and is raised."""
-    if timeout is None:
-        query.awaitTermination()
-    elif not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream {query.name or query.id} ran over {timeout} s")
-    return query
+class Run:
+    """Running sums of a query's batches, taken while it runs.
 
+    ``dropped`` rows came after the watermark had passed them; ``batches``
+    counts batches, ``peak_state`` and ``last_state`` are rows of state.
+    """
 
-def run_stream(
-    df: DataFrame, name: str, timeout: float | None = None, **options
-) -> tuple[DataFrame, StreamingQuery]:
-    """Run ``df`` into fresh shared folders; its output as a table, and the query."""
-    spark: SparkSession = df.sparkSession
-    output = scratch_path(spark, f"{name}-output")
-    query = start_stream(df, output, scratch_path(spark, f"{name}-state"), **options)
-    finish(query, timeout)
-    return spark.read.schema(df.schema).parquet(output), query
+    def __init__(self, query: StreamingQuery, first_batch: int | None = None) -> None:
+        self.query = query
+        self.next_batch = first_batch
+        self.batches = self.dropped = self.peak_state = self.last_state = 0
+        self._totals: dict[tuple[str, str], int] = {}
+
+    def take(self) -> None:
+        """Add the batches that ended since the last call; refuses a gap between them."""
+        for progress in self.query.recentProgress:
+            if self.next_batch is not None and progress.batchId < self.next_batch:
+                continue
+            if self.next_batch is not None and progress.batchId > self.next_batch:
+                raise RuntimeError(f"the progress of batch {self.next_batch} was not seen")
+            self.next_batch = progress.batchId + 1
+            self.batches += 1
+            self.dropped += sum(one.numRowsDroppedByWatermark for one in progress.stateOperators)
+            self.last_state = sum(one.numRowsTotal for one in progress.stateOperators)
+            self.peak_state = max(self.peak_state, self.last_state)
+            for name, row in progress.observedMetrics.items():
+                for metric, value in row.asDict().items():
+                    if isinstance(value, (int, float)):
+                        held = self._totals.get((name, metric), 0)
+                        self._totals[name, metric] = held + value
+
+    def total(self, name: str, metric: str) -> int:
+        """The sum of one observed metric over all batches of this run."""
+        return self._totals.get((name, metric), 0)
+
+
+def finish(
+    query: StreamingQuery, timeout: float | None = None, first_batch: int | None = None
+) -> Run:
+    """Wait for the query and sum up its batches.
+
+    A failure is raised; an overrun stops the query and is raised. Sums are
+    taken from Spark's short history of batches as the query goes on, so a run
+    may have any number of them.
+    """
+    run = Run(query, first_batch)
+    end = None if timeout is None else time.monotonic() + timeout
+    while not query.awaitTermination(POLL_SECONDS):
+        run.take()
+        if end is not None and time.monotonic() > end:
+            query.stop()
+            raise TimeoutError(f"stream {query.name or query.id} ran over {timeout} s")
+    run.take()
+    return run
 
 
-def observed_total(query: StreamingQuery, name: str, metric: str) -> int:
-    """The sum of one observed metric over all batches of this run.
+def run_stream(
+    df: DataFrame, name: str, timeout: float | None = None, on_late: str = "fail", **options
+) -> tuple[DataFrame, Run]:
+    """Run ``df`` into fresh shared folders; its output as a table, and the run's sums.
 
-    Refuses a run so long that Spark may have let go of its first batches.
+    Rows that came too late for the watermark are missing from the output. They
+    fail the run, unless ``on_late`` is "report"; then ``dropped`` counts them.
     """
-    batches = query.recentProgress
-    if len(batches) >= PROGRESS_KEPT:
-        raise RuntimeError(f"only the last {PROGRESS_KEPT} batches kept their metrics")
-    total = 0
-    for progress in batches:
-        row = progress.observedMetrics.get(name)
-        if row is not None and row[metric] is not None:
-            total += row[metric]
-    return total
+    if on_late not in ("fail", "report"):
+        raise ValueError("on_late is 'fail' or 'report'")
+    spark: SparkSession = df.sparkSession
+    output = scratch_path(spark, f"{name}-output")
+    query = start_stream(df, output, scratch_path(spark, f"{name}-state"), **options)
+    run = finish(query, timeout, first_batch=0)
+    if run.dropped and on_late == "fail":
+        raise RuntimeError(f"stream {name} dropped {run.dropped} rows that came after the watermark")
+    return spark.read.schema(df.schema).parquet(output), run
