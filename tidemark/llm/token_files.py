@@ -7,7 +7,10 @@ that all runs of a block are decoded side by side, one table lookup per id.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import zlib
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -15,20 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import as_bytes, column, id_and_text, slices
+from tidemark.llm.common import as_bytes, id_and_text, slices
 from tidemark.session import scratch_path
 
 MAX_BITS = 16
 RUN = 128
 BLOCK_IDS = 1 << 16
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 700_000
 TEXT_BYTES = 4 << 20
 BLOCKS = (
-    "shard int, block long, n_ids long, doc_ids array<long>, sizes array<long>, "
+    "shard int, block long, earlier long, n_ids long, doc_ids array<long>, sizes array<long>, "
     "payload binary, checkpoints binary"
 )
 
@@ -137,44 +139,76 @@ def decode_ids(payload: bytes, sizes: np.ndarray, starts: np.ndarray, code: Code
     return ids
 
 
+# The characters that byte-level vocabularies write bytes as: printable ones for themselves,
+# all others, in order, from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [byte for byte in range(256) if byte not in _PRINTABLE]
+_AS_CHARACTERS = {byte: byte if byte in _PRINTABLE else 0x100 + _OTHERS.index(byte) for byte in range(256)}
+
+_ABOVE_LATIN_1 = bytes(range(0xC4))
+_LONE_MARK = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)")
+_PLAIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class _Chunks:
     """Ids of texts by the tokenizers library; chunks between white space are remembered.
 
-    White space takes part in no piece, so a text's ids are those of its chunks.
-    Nor does a comma or full stop after an ASCII letter touch what stands before
-    it, and the tokenizer itself puts ASCII letters in lower case; so a chunk
-    not met before may still have a known body.
+    White space takes part in no piece, so a text's ids are those of its chunks,
+    and a comma or full stop between a letter and white space is a piece of its
+    own. The tokenizer puts letters in lower case; ASCII ones can be beforehand
+    where no combining mark, which they might be composed with, is in the text.
+    A chunk of small Latin-1 letters is one piece that no step before the merges
+    changes, and goes to the model alone.
     """
 
-    def __init__(self, tokenizer: str, lower_case: bool) -> None:
+    def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True
-        self.lower_case = lower_case
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        known = self.known
-        cut = {}
-        for chunk in chunks:
-            body, tail = chunk, b""
-            if chunk[-1:] in b",." and chunk[-2:-1].isalpha() and len(chunk) > 1:
-                body, tail = chunk[:-1], chunk[-1:]
-            if self.lower_case and body.isascii():
-                body = body.lower()
-            cut[chunk] = body, tail
-        new = [one for one in {part for pair in cut.values() for part in pair} - known.keys() if one]
-        found = self.tokenizer.encode_batch([one.decode() for one in new], add_special_tokens=False)
-        known.update((one, np.array(each.ids, "<u4").tobytes()) for one, each in zip(new, found))
-        known.update((chunk, known[body] + (known[tail] if tail else b""))
-                     for chunk, (body, tail) in cut.items())
+        self.known = _Known(Tokenizer.from_str(tokenizer))
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        split = [text.split() for text in texts]
-        self._learn(set().union(*split) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        return [b"".join(map(self.known.__getitem__, _split(text))) for text in texts]
+
+
+class _Known(dict):
+    """Ids by chunk; a chunk not met before is encoded when it is asked for."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        tokenizer.encode_special_tokens = True
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.decode()
+        if _PLAIN_WORD.fullmatch(word):
+            pieces = self.model.tokenize(chunk.decode("latin-1").translate(_AS_CHARACTERS))
+            ids = [piece.id for piece in pieces]
+        else:
+            ids = self.encode(word, add_special_tokens=False).ids
+        found = self[chunk] = b"".join([one.to_bytes(4, "little") for one in ids])
+        return found
+
+
+def _split(text: bytes) -> list[bytes]:
+    if not text.translate(None, _ABOVE_LATIN_1):
+        text = text.lower()
+    return _LONE_MARK.sub(rb" \1", text).split()
+
+
+def _must_fit(tokenizer: Tokenizer) -> None:
+    """Refuse a tokenizer whose steps are not the ones that ``_Chunks`` relies on."""
+    steps = json.loads(tokenizer.to_str())
+    normal = [one["type"] for one in (steps["normalizer"] or {}).get("normalizers", ())]
+    before = [one["type"] for one in (steps["pre_tokenizer"] or {}).get("pretokenizers", ())]
+    if normal != ["NFC", "Replace", "Lowercase"] or before != ["Split", "ByteLevel"]:
+        raise ValueError("this tokenizer does not work on lower-case pieces between white space")
+    for probe in ("ab ,. c", "Ab, c. d", "it's, x."):
+        whole = tokenizer.encode(probe, add_special_tokens=False).ids
+        parts = [one for chunk in _split(probe.encode())
+                 for one in tokenizer.encode(chunk.decode(), add_special_tokens=False).ids]
+        if whole != parts:
+            raise ValueError("this tokenizer does not cut its pieces at white space and marks")
 
 
 def tokenize(
@@ -183,17 +217,12 @@ def tokenize(
     """``id`` and ``ids`` (little-endian, 32 bits, with the end id) of each row."""
     with open(tokenizer_path, encoding="utf-8") as file:
         text = file.read()
-    lower = Tokenizer.from_str(text).normalizer is not None and "Lowercase" in text
-    spaces = Tokenizer.from_str(text).encode("a b", add_special_tokens=False).ids == [
-        one for part in ("a", "b")
-        for one in Tokenizer.from_str(text).encode(part, add_special_tokens=False).ids]
-    if not spaces:
-        raise ValueError("this tokenizer's pieces take in white space")
+    _must_fit(Tokenizer.from_str(text))
     shared = docs.sparkSession.sparkContext.broadcast(text)
     end = end_id.to_bytes(4, "little")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(shared.value, lower)
+        chunks = _Chunks(shared.value)
         for batch in batches:
             for part in slices(batch, TEXT_BYTES):
                 found = chunks.encode(as_bytes(part.column("text")))
@@ -265,7 +294,7 @@ def write_token_files(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) ->
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         held: list[tuple] = []
-        number = size = 0
+        number = size = earlier = 0
 
         def flush() -> pa.RecordBatch:
             ids, sizes, payloads, starts = zip(*held)
@@ -273,10 +302,11 @@ def write_token_files(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) ->
             marks = [np.frombuffer(one, "<u4") + np.uint64(8 * cut) for one, cut in zip(starts, cuts)]
             return pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([number], pa.int64()),
-                pa.array([sum(sizes)], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                pa.array([earlier], pa.int64()), pa.array([sum(sizes)], pa.int64()),
+                pa.array([ids], pa.list_(pa.int64())),
                 pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(payloads)], pa.binary()),
                 pa.array([np.concatenate(marks).astype("<u8").tobytes()], pa.binary()),
-            ], names=["shard", "block", "n_ids", "doc_ids", "sizes", "payload", "checkpoints"])
+            ], names=["shard", "block", "earlier", "n_ids", "doc_ids", "sizes", "payload", "checkpoints"])
 
         for batch in batches:
             for row in zip(*(batch.column(name).to_pylist()
@@ -285,7 +315,7 @@ def write_token_files(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) ->
                 size += row[1]
                 if size >= BLOCK_IDS:
                     yield flush()
-                    held, size, number = [], 0, number + 1
+                    held, size, number, earlier = [], 0, number + 1, earlier + size
         if held:
             yield flush()
 
@@ -298,56 +328,46 @@ def write_token_files(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) ->
     )
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, crc32: bool = False) -> DataFrame:
     """Each document of the files under ``path``, in any order.
 
     ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and
-    ``ids`` (little-endian, 32 bits).
+    ``ids`` (little-endian, 32 bits); with ``crc32`` their unsigned CRC-32 as
+    ``ids_crc32`` in place of the ids. A block knows the ids before it in its
+    shard; those before the shard are a prefix sum over the shards, of which
+    there are as many as tasks that wrote. Nothing is shuffled but those sums.
     """
     code = spark.read.schema("token long, length long").parquet(f"{path}/code").collect()
     lengths = np.zeros(max((row["token"] for row in code), default=0) + 1, np.int64)
     for row in code:
         lengths[row["token"]] = row["length"]
-    shared = spark.sparkContext.broadcast(make_code(lengths))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    before, total = {}, 0
+    for row in sorted(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).collect()):
+        before[row["shard"]] = total
+        total += row["n_ids"]
+    shared = spark.sparkContext.broadcast((make_code(lengths), before))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, before = shared.value
         for batch in batches:
             for at in range(batch.num_rows):
-                row = {name: batch.column(name)[at] for name in batch.schema.names}
-                sizes = np.array(row["sizes"].as_py(), np.int64)
-                starts = np.frombuffer(row["checkpoints"].as_py(), "<u8")
-                ids = decode_ids(row["payload"].as_py(), sizes, starts, shared.value)
-                raw = ids.astype("<u4").tobytes()
+                row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+                sizes = np.array(row["sizes"], np.int64)
+                starts = np.frombuffer(row["checkpoints"], "<u8")
+                raw = decode_ids(row["payload"], sizes, starts, code).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
                 cuts = [0, *(4 * ends).tolist()]
+                own = [raw[i:j] for i, j in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(sizes), row["shard"].as_py(), np.int32)),
-                    pa.array(np.full(len(sizes), row["block"].as_py(), np.int64)),
-                    pa.array(row["doc_ids"].as_py(), pa.int64()), pa.array(ends - sizes),
-                    pa.array(sizes), pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary()),
-                ], names=["shard", "block", "doc_id", "offset", "n_tokens", "ids"])
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(before[row["shard"]] + row["earlier"] + ends - sizes), pa.array(sizes),
+                    pa.array(list(map(zlib.crc32, own)), pa.int64()) if crc32
+                    else pa.array(own, pa.binary()),
+                ], names=["doc_id", "start", "n_tokens", "ids_crc32" if crc32 else "ids"])
 
-    docs = blocks.select("shard", "block", "doc_ids", "sizes", "payload", "checkpoints").mapInArrow(
-        decoded, "shard int, block long, doc_id long, offset long, n_tokens long, ids binary")
-    return docs.join(_block_starts(blocks), ["shard", "block"]).select(
-        "doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
-
-
-def _block_starts(blocks: DataFrame) -> DataFrame:
-    """Ids before each block: a prefix sum inside the shard, and one over the shards' sums.
-
-    The second has a row for each shard, so its one task holds as many rows as
-    the files were written by tasks.
-    """
-    sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
-    until = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    shards = sums.select("shard", F.coalesce(F.sum("n_ids").over(until), F.lit(0)).alias("earlier"))
-    inside = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    own = blocks.select("shard", "block",
-                        F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("within"))
-    return own.join(shards, "shard").select(
-        "shard", "block", (F.col("earlier") + F.col("within")).alias("before"))
+    return blocks.select("shard", "earlier", "doc_ids", "sizes", "payload", "checkpoints").mapInArrow(
+        decoded, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if crc32 else "ids binary"))
 
 
 def token_file_round_trip(
@@ -356,6 +376,7 @@ def token_file_round_trip(
     end_id: int,
     id_column: str = "doc_id",
     text_column: str = "text",
+    crc32: bool = False,
 ) -> DataFrame:
     """Tokenize, write to files in the shared folder, and read them: what ``read_token_files`` gives.
 
@@ -370,9 +391,4 @@ def token_file_round_trip(
     made.write.option("compression", "zstd").parquet(f"{path}/ids")
     tokens = spark.read.schema("id long, ids binary").parquet(f"{path}/ids")
     write_token_files(tokens, f"{path}/coded")
-    return read_token_files(spark, f"{path}/coded")
-
-
-def with_crc32(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with ``ids_crc32`` in place of ``ids``."""
-    return tokens.withColumn("ids_crc32", F.crc32(column("ids"))).drop("ids")
+    return read_token_files(spark, f"{path}/coded", crc32)
