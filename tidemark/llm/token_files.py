@@ -79,14 +79,14 @@ def code_lengths(counts: np.ndarray, bits: int) -> np.ndarray:
 def make_code(lengths: np.ndarray) -> Code:
     """Canonical codes: in the order of length, then id."""
     bits = max(1, int(lengths.max(initial=1)))
-    codes = np.zeros(len(lengths), np.int64)
+    codes = np.zeros(len(lengths), np.uint64)
     table_ids = np.zeros(1 << bits, np.int64)
     table_lengths = np.ones(1 << bits, np.int64)
     used = np.flatnonzero(lengths)
     used = used[np.lexsort((used, lengths[used]))]
     spans = np.int64(1) << (bits - lengths[used])
     starts = np.cumsum(spans) - spans
-    codes[used] = starts >> (bits - lengths[used])
+    codes[used] = (starts >> (bits - lengths[used])).astype(np.uint64)
     full = int(spans.sum())
     table_ids[:full] = np.repeat(used, spans)
     table_lengths[:full] = np.repeat(lengths[used], spans)
@@ -106,15 +106,17 @@ def encode_ids(ids: np.ndarray, sizes: np.ndarray, code: Code) -> tuple[bytes, n
     stops = np.cumsum((bits + 7) >> 3)
     base = 8 * (stops - ((bits + 7) >> 3)) - (ends[first] - own[first])
     place = ends - own + np.repeat(base, sizes)
-    byte = place >> 3
-    value = code.codes[ids] << (32 - (place & 7) - own)
-    total = int(stops[-1])
-    out = np.zeros(total + 4, np.int64)
-    for step in range(4):
-        part = value >> (24 - 8 * step) & 255
-        out += np.bincount(byte + step, part, total + 4).astype(np.int64)
+    # Codes that start in one word of 32 bits are joined; its last may run into the next.
+    word = place >> 5
+    value = code.codes[ids] << (64 - (place & 31) - own).astype(np.uint64)
+    start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    stop = np.append(start[1:], len(word)) - 1
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    out[word[start]] = np.bitwise_or.reduceat(value >> np.uint64(32), start)
+    out[word[stop] + 1] |= value[stop] & np.uint64(0xFFFFFFFF)
+    payload = out.astype(">u4").tobytes()[:int(stops[-1])]
     runs = np.arange(len(ids)) - np.repeat(first, sizes)
-    return out[:total].astype(np.uint8).tobytes(), stops, place[runs % RUN == 0]
+    return payload, stops, place[runs % RUN == 0]
 
 
 def decode_ids(payload: bytes, sizes: np.ndarray, starts: np.ndarray, code: Code) -> np.ndarray:
@@ -234,9 +236,10 @@ def tokenize(
 
 
 def _laid(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    rows = part.column("ids").to_pylist()
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-    return np.frombuffer(b"".join(rows), "<u4").astype(np.int64), sizes
+    column = part.column("ids").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view("<u4"), np.diff(ends) // 4
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
@@ -246,7 +249,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, TEXT_BYTES, "ids"):
-                own = np.bincount(_laid(part)[0], minlength=len(total))
+                own = np.bincount(_laid(part)[0].astype(np.int32), minlength=len(total))
                 own[:len(total)] += total
                 total = own
         used = np.flatnonzero(total)
