@@ -27,17 +27,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import as_bytes, column, kept, remainder, slices, spaced_words
 from tidemark.session import fresh_name
 
-SEGMENTS = 512
+SEGMENTS = 384
 SEGMENT_BITS = 1 << 20
 PROBES = 2
 LEVELS_PER_DOUBLING = 2
 MAX_LEVEL = 96
 ORDER = 2
 MIXED = 0.3
-FREQUENT_WORDS = 500_000
-HELD_COUNTS = 400_000
-HELD_GRAMS = 1 << 21
-TEXT_BYTES = 4 << 20
+FREQUENT_WORDS = 200_000
+HELD_COUNTS = 150_000
+HELD_GRAMS = 1 << 20
+TEXT_BYTES = 1 << 20
 SEED = 7
 END = b"\n"
 SCHEMA = (
@@ -152,6 +152,13 @@ def _source(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                        F.xxhash64(text).alias("text_key"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """Ids and texts, of which few are taken out of Arrow's memory at a time."""
+    for batch in batches:
+        for part in slices(batch, TEXT_BYTES):
+            yield from zip(part.column("id").to_pylist(), as_bytes(part.column("text")))
+
+
 def word_counts(source: DataFrame, split: Split) -> DataFrame:
     """``word``, ``taught`` (its count in training documents) and ``seen`` (in all); ends included."""
 
@@ -170,13 +177,12 @@ def word_counts(source: DataFrame, split: Split) -> DataFrame:
             other.clear()
             return found
 
-        for batch in batches:
-            for ident, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text"))):
-                held = taught if _teaches(ident, split) else other
-                held.update(spaced_words(text))
-                held[END] += 1
-                if len(taught) + len(other) > HELD_COUNTS:
-                    yield flush()
+        for ident, text in _rows(batches):
+            held = taught if _teaches(ident, split) else other
+            held.update(spaced_words(text))
+            held[END] += 1
+            if len(taught) + len(other) > HELD_COUNTS:
+                yield flush()
         yield flush()
 
     return (
@@ -204,17 +210,16 @@ def _packed(batches: Iterator[pa.RecordBatch], split: Split, order: int) -> Iter
             pa.array([counts[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
         ], names=["segment", "grams", "counts"])
 
-    for batch in batches:
-        for ident, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text"))):
-            if not _teaches(ident, split):
-                continue
-            words = np.concatenate((_START, hashes.of(spaced_words(text)), _START))
-            grams = [gram_hashes(words, n) for n in range(1, order + 1)]
-            held += grams
-            size += sum(map(len, grams))
-            if size > HELD_GRAMS:
-                yield flush()
-                held, size = [], 0
+    for ident, text in _rows(batches):
+        if not _teaches(ident, split):
+            continue
+        words = np.concatenate((_START, hashes.of(spaced_words(text)), _START))
+        grams = [gram_hashes(words, n) for n in range(1, order + 1)]
+        held += grams
+        size += sum(map(len, grams))
+        if size > HELD_GRAMS:
+            yield flush()
+            held, size = [], 0
     if held:
         yield flush()
 
@@ -420,7 +425,7 @@ def _score_part(
     yield pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
         # White space is in no word, so these meet no count; each goes its own way.
-        pa.array([b" %d" % key for key in keys], pa.binary()),
+        pa.array([f" {one} {key}".encode() for one, key in zip(ids, keys)], pa.binary()),
         pa.array(np.zeros(count)), pa.array(np.ones(count, np.int64)), pa.array(lengths),
         pa.array(np.add.reduceat((known > 0).astype(np.int64), starts)),
         pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mine, starts)),
