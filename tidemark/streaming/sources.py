@@ -24,7 +24,10 @@ def literal_path(spark: SparkSession, path: str) -> str:
     escaped = "".join("\\" + one if one in _GLOB else one for one in full)
     if escaped == full and not system.getFileStatus(found).isDirectory():
         parent, _, name = full.rpartition("/")
-        escaped = f"{parent}/\\{name}"
+        # A class of one letter makes it a pattern; braces do where there is no letter.
+        at = next((at for at, one in enumerate(name) if one.isalnum()), None)
+        name = f"{{{name}}}" if at is None else f"{name[:at]}[{name[at]}]{name[at + 1:]}"
+        escaped = f"{parent}/{name}"
     return escaped
 
 
