@@ -1,0 +1,87 @@
+"""Links by five-word shingles against brute-force Jaccard."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from tidemark.llm import edited_copies
+from tidemark.llm.simhash import simhash_groups
+
+
+def made(seed=5):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    line = [word() for _ in range(40)]
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randrange(20, 300))]
+        if rng.random() < 0.4:
+            base[5:5] = line
+        texts.append(base)
+        for _ in range(rng.randrange(4)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 1 + max(1, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    crowd = [word() for _ in range(90)]
+    for _ in range(60):
+        copy = list(crowd)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(90)] = word()
+        texts.append(copy)
+    texts += [["a", "b"], ["a", "b"], ["a", "c"], [], line]
+    rng.shuffle(texts)
+    return [(i, " ".join(words)) for i, words in enumerate(texts)]
+
+
+def sets_of(rows):
+    return {i: {tuple(w[at:at + 5]) for at in range(max(1, len(w) - 4))} if w else set()
+            for i, w in ((i, t.split()) for i, t in rows)}
+
+
+def brute(rows, extra):
+    """Smallest id that each id reaches over pairs of Jaccard 0.8 and the given (id, id)."""
+    sets, root = sets_of(rows), {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for a in sets:
+        for b in sets:
+            if a < b:
+                both = len(sets[a] & sets[b])
+                if 5 * both >= 4 * len(sets[a] | sets[b]):
+                    pairs += 1
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    for a, b in extra:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in root}, pairs
+
+
+@pytest.mark.parametrize("few,piece", [(16, 1 << 19), (2, 6000), (100, 1 << 19)])
+def test_all_pairs_of_the_similarity_are_linked(spark, monkeypatch, few, piece):
+    monkeypatch.setattr(edited_copies, "FEW", few)
+    monkeypatch.setattr(edited_copies, "PIECE", piece)
+    rows = made()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    thin = [(r["id"], r["component_id"]) for r in simhash_groups(docs).collect()]
+    want, pairs = brute(rows, thin)
+    assert pairs > 100
+    got = {r["id"]: r["component_id"] for r in edited_copies.copy_groups(docs).collect()}
+    assert got == want
+    assert len(set(want.values())) < len({root for _, root in thin})
+
+
+def test_the_stage_drops_edited_copies(spark):
+    rows = made(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    thin = [(r["id"], r["component_id"]) for r in simhash_groups(docs).collect()]
+    want, _ = brute(rows, thin)
+    left = {r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()}
+    assert left == set(want.values())

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import kept
 
 
-def pair_tasks(members: DataFrame, keys: Sequence[str], spread_by: str, limit: int) -> DataFrame:
+def pair_tasks(
+    members: DataFrame, keys: Sequence[str], spread_by: str, limit: int, weight: str | None = None
+) -> DataFrame:
     """Deal the pairs of each group out to tasks of at most about ``2 * limit`` members.
 
     A group of up to ``limit`` members is one task. A larger one is cut by a hash
     into pieces, and each two pieces (and each piece with itself) are a task, so
     that every pair of members meets in at least one task and no task grows
     with the group. Adds ``task_a``, ``task_b`` and ``second`` (the member is of
-    the second piece). Groups of one member are kept.
+    the second piece). Groups of one member are kept. With ``weight``, a column,
+    its sum counts in place of the members.
     """
     sizes = (
-        members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+        members.groupBy(*keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("size"))
         .where(F.col("size") > limit)
         .select(*keys, F.ceil(F.col("size") / limit).cast("int").alias("pieces"))
     )

@@ -1,0 +1,334 @@
+"""Near copies by shared words: pairs of texts whose five-word shingles have Jaccard 0.8 or more.
+
+The links are exact. Put the shingles of every text in one order that is the same
+for all; two texts of similarity ``0.8`` then share one of their first
+``n - ceil(0.8 n) + 1``. Any order will do, so common shingles, which would bring
+many texts together, come last. Texts that meet at a shingle few others have are
+pairs; texts that meet at one that many have are one crowd, and crowds are cut in
+pieces whose pairs are verified inside a task and never become rows.
+
+These links are joined with those of the SimHash trie (``simhash``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import as_bytes, id_and_text, kept, slices, spaced_words
+from tidemark.llm.components import components, pair_tasks, spanning_edges
+from tidemark.llm.simhash import (
+    BUDGET, SHINGLE, TEXT_BYTES, fingerprint, grouped, keep_lowest, links, text_key)
+
+WORDS = 5
+SEED = 11
+FEW = 16
+HOT_SAMPLE = 4
+HOT_SHINGLES = 1 << 17
+HELD_POSTINGS = 1 << 18
+SEGMENT_POSTINGS = 1 << 19
+# A piece of a crowd holds about 1,024 sets, or 4 MB of shingles.
+PIECE = 1 << 19
+SET_WEIGHT = 512
+COLUMNS_AT_ONCE = 2048
+LEAST_BITS, MOST_BITS = 256, 8192
+BROADCAST_IDS = 1 << 20
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the runs of five words, sorted; a shorter text is one run."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    count = max(1, len(words) - WORDS + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:count].tolist()
+    stops = (ends[min(WORDS, len(words)) - 1:] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter(
+        (digest(line[start:stop], SEED) for start, stop in zip(starts, stops)), np.uint64, count))
+
+
+def alike(shared: np.ndarray | int, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of these sizes that share so many have Jaccard 0.8 or more, in whole numbers."""
+    return 9 * shared >= 4 * (left + right)
+
+
+def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(0.8 n) + 1`` shingles by hash, those of ``hot`` (sorted) last."""
+    count = len(own) - (4 * len(own) + 4) // 5 + 1
+    if not len(own) or not len(hot):
+        return own[:count]
+    common = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+    return np.concatenate((own[~common], own[common]))[:count]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """Bits that say whether an odd number of shingles fall on them.
+
+    Sets differ in at least as many shingles as their bits do.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(own) - 1).bit_length()))
+    return np.packbits(np.bincount(
+        (own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(left: bytes, right: bytes) -> int:
+    """No more than the shingles by which the sets of these parities differ."""
+    if len(left) > len(right):
+        left, right = right, left
+    while len(right) > len(left):
+        half = len(right) // 2
+        right = (int.from_bytes(right[:half]) ^ int.from_bytes(right[half:])).to_bytes(half)
+    return (int.from_bytes(left) ^ int.from_bytes(right)).bit_count()
+
+
+def prints_and_sets(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Of each row the columns of ``simhash.fingerprints``, and its set of shingles."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, TEXT_BYTES):
+                prints, names, sizes, signs, sets = [], [], [], [], []
+                for text in as_bytes(part.column("text")):
+                    words = spaced_words(text)
+                    own = shingles(words)
+                    raw = own.tobytes()
+                    prints.append(fingerprint(words, SHINGLE))
+                    names.append(xxhash.xxh64_intdigest(raw, SEED))
+                    sizes.append(len(own))
+                    signs.append(parities(own))
+                    sets.append(raw)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("id"), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    part.column("text_key"), pa.array(np.array(names, np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(sets, pa.binary()),
+                ], names=["id", "fingerprint", "text_key", "set", "size", "sign", "shingles"])
+
+    source = id_and_text(docs, id_column, text_column).withColumn("text_key", text_key(F.col("text")))
+    return source.mapInArrow(of, "id long, fingerprint long, text_key long, set long, size int, "
+                                 "sign binary, shingles binary")
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(raw, np.uint64) for raw in batch.column("shingles").to_pylist()]
+
+
+def _hot(sets: DataFrame) -> np.ndarray:
+    """Shingles met often at the head of a part of the texts; at most ``HOT_SHINGLES``.
+
+    They only set the order, so a sample serves: no link depends on it.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        for batch in batches:
+            found = [prefix(own, none) for own in _arrays(batch)]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    often = (
+        sets.where(F.pmod("set", F.lit(HOT_SAMPLE)) == 0).select("shingles")
+        .mapInArrow(heads, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
+        .where(F.col("size") > FEW // HOT_SAMPLE)
+        .orderBy(F.desc("size"), "shingle").limit(HOT_SHINGLES)
+    )
+    return np.sort(np.array([row["shingle"] for row in often.collect()], np.int64).view(np.uint64))
+
+
+def meetings(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``high``, ``low`` and ``crowd``: the pairs that meet at a shingle of at most ``FEW``
+    texts, and for one of more an edge from each text to the first.
+
+    The shingles are packed by a segment of their hashes, so one shuffle of plain
+    numbers brings equal ones together.
+    """
+    total = sets.agg(F.sum(F.floor(F.col("size") / 5) + 1)).first()[0] or 0
+    segments = max(64, total // SEGMENT_POSTINGS)
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, int, int]] = []
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            lengths = [len(one[0]) for one in held]
+            heads = np.concatenate([one[0] for one in held])
+            names = np.repeat(np.array([one[1] for one in held], np.int64), lengths)
+            sizes = np.repeat(np.array([one[2] for one in held], np.int32), lengths)
+            where = (heads % np.uint64(segments)).astype(np.int32)
+            by = np.argsort(where, kind="stable")
+            where, heads, names, sizes = where[by], heads[by], names[by], sizes[by]
+            own = np.unique(where)
+            cuts = np.append(np.searchsorted(where, own), len(where)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(own)] + [
+                pa.array([values[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())
+                for values in (heads, names, sizes)], names=["segment", "heads", "sets", "sizes"])
+
+        for batch in batches:
+            for own, name in zip(_arrays(batch), batch.column("set").to_pylist()):
+                if len(own):
+                    head = prefix(own, shared.value)
+                    held.append((head, name, len(own)))
+                    count += len(head)
+                    if count > HELD_POSTINGS:
+                        yield flush()
+                        held, count = [], 0
+        if held:
+            yield flush()
+
+    def met(table: pa.Table) -> pa.Table:
+        heads, names, sizes = (
+            np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+            for name, kind in (("heads", np.uint64), ("sets", np.int64), ("sizes", np.int32)))
+        by = np.lexsort((names, heads))
+        heads, names, sizes = heads[by], names[by], sizes[by].astype(np.int64)
+        once = np.append(True, (heads[1:] != heads[:-1]) | (names[1:] != names[:-1]))
+        heads, names, sizes = heads[once], names[once], sizes[once]
+        starts = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
+        lengths = np.diff(np.append(starts, len(heads)))
+        run = np.repeat(lengths, lengths)
+        first = np.repeat(starts, lengths)
+        crowd = np.flatnonzero((run > FEW) & (np.arange(len(heads)) != first))
+        low, high = [names[first[crowd]]], [names[crowd]]
+        few = np.flatnonzero((run > 1) & (run <= FEW))
+        for step in range(1, FEW):
+            left = few[few + step < first[few] + run[few]]
+            right = left + step
+            near = 5 * np.minimum(sizes[left], sizes[right]) >= 4 * np.maximum(sizes[left], sizes[right])
+            low.append(names[left[near]])
+            high.append(names[right[near]])
+        is_crowd = np.zeros(sum(map(len, low)), bool)
+        is_crowd[:crowd.size] = True
+        return pa.table({"high": np.concatenate(high), "low": np.concatenate(low), "crowd": is_crowd})
+
+    return (
+        sets.select("set", "shingles")
+        .mapInArrow(packed, "segment int, heads binary, sets binary, sizes binary")
+        .groupBy("segment").applyInArrow(met, "high long, low long, crowd boolean").distinct()
+    )
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    count = len(sets)
+    values, owners = np.concatenate(sets), np.repeat(np.arange(count), [len(one) for one in sets])
+    by = np.argsort(values, kind="stable")
+    values, owners = values[by], owners[by]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    lengths = np.diff(np.append(starts, len(values)))
+    shared = np.zeros((count, count), np.int64)
+    rest = np.repeat(np.where(lengths <= FEW, lengths, 0), lengths) - (
+        np.arange(len(values)) - np.repeat(starts, lengths))
+    for step in range(1, FEW):
+        left = np.flatnonzero(rest > step)
+        if not left.size:
+            break
+        shared += np.bincount(owners[left] * count + owners[left + step], minlength=count * count
+                              ).reshape(count, count)
+    many = lengths > FEW
+    starts, lengths = starts[many], lengths[many]
+    for at in range(0, len(starts), COLUMNS_AT_ONCE):
+        begin, size = starts[at:at + COLUMNS_AT_ONCE], lengths[at:at + COLUMNS_AT_ONCE]
+        held = np.zeros((count, len(begin)), np.float32)
+        places = np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        held[owners[places], np.repeat(np.arange(len(begin)), size)] = 1
+        shared += np.triu(held @ held.T, 1).astype(np.int64)
+    return shared
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """Edges that connect the alike sets of one task."""
+    sets = _arrays(table)
+    names = table.column("set").to_numpy()
+    if len(sets) > 1:
+        sizes = np.array([len(one) for one in sets])
+        left, right = np.nonzero(np.triu(alike(overlaps(sets), sizes[:, None], sizes[None, :]), 1))
+        high, low = spanning_edges(names[left], names[right])
+    else:
+        high = low = names[:0]
+    return pa.table({"high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64())})
+
+
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities leave it open that they are alike."""
+    for batch in batches:
+        yield batch.filter(pa.array([
+            9 * least_difference(a, b) <= n + m for a, b, n, m in zip(*(
+                batch.column(name).to_pylist() for name in ("sign_a", "sign_b", "size_a", "size_b")))
+        ], pa.bool_())).select(["high", "low"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for one, two in zip(batch.column("set_a"), batch.column("set_b")):
+            a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+            keep.append(bool(alike(np.intersect1d(a, b, assume_unique=True).size, a.size, b.size)))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["high", "low"])
+
+
+def _both(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``pairs`` with columns of both their sets, by new names that end in ``_a`` and ``_b``."""
+    for end, side in (("a", "high"), ("b", "low")):
+        pairs = pairs.join(sets.select(F.col("set").alias(side), *[
+            F.col(name).alias(f"{to}_{end}") for name, to in columns.items()]), side)
+    return pairs
+
+
+def jaccard_links(sets: DataFrame) -> DataFrame:
+    """Edges (high, low) of ``set`` names that connect all sets of Jaccard 0.8 or more.
+
+    ``sets`` has ``set``, ``size``, ``sign`` and ``shingles``; equal rows may be repeated.
+    """
+    met = kept(meetings(sets, _hot(sets)), "meetings")
+    pairs, crowds = (met.where(F.col("crowd") == is_crowd).select("high", "low")
+                     for is_crowd in (False, True))
+    # Names of at most BROADCAST_IDS sets go to where the sets are; more are joined.
+    names = met.select(F.explode(F.array("high", "low")).alias("set")).distinct()
+    names = kept(names, "names")
+    chosen = kept(sets.select("set", "size", "sign", "shingles").join(
+        F.broadcast(names) if names.count() <= BROADCAST_IDS else names, "set", "left_semi"
+    ).dropDuplicates(["set"]), "sets")
+    open_pairs = _both(pairs, chosen, {"sign": "sign", "size": "size"}).mapInArrow(
+        _maybe, "high long, low long")
+    linked = _both(kept(open_pairs, "pairs"), chosen, {"shingles": "set"}).select(
+        "high", "low", "set_a", "set_b").mapInArrow(_verified, "high long, low long")
+    roots = components(crowds)
+    members = roots.union(roots.select("root", "root").distinct()).toDF("set", "crowd")
+    members = members.join(chosen.select("set", (F.col("size") + SET_WEIGHT).alias("weight")), "set")
+    tasks = pair_tasks(members, ["crowd"], "set", PIECE, "weight").join(
+        chosen.select("set", "shingles"), "set")
+    inside = tasks.groupBy("crowd", "task_a", "task_b").applyInArrow(_within, "high long, low long")
+    return linked.union(inside)
+
+
+def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``simhash_groups`` with more links: texts of five-word Jaccard 0.8 or more as well.
+
+    A text of fewer than five words is one shingle; wordless texts are alike.
+    """
+    prints = kept(prints_and_sets(docs, id_column, text_column), "fingerprints")
+    named = prints.groupBy("set").agg(F.min("fingerprint").alias("own"))
+    found = kept(jaccard_links(prints), "jaccard")
+    distinct = prints.select("fingerprint").distinct()
+    # A set of shingles stands for the smallest fingerprint of its rows.
+    alike_sets = (
+        found.join(named.select(F.col("set").alias("high"), F.col("own").alias("a")), "high")
+        .join(named.select(F.col("set").alias("low"), F.col("own").alias("b")), "low").select("a", "b"))
+    same_set = prints.select("set", "fingerprint").distinct().join(named, "set").select("fingerprint", "own")
+    more = alike_sets.union(same_set).toDF("a", "b").where("a <> b").select(
+        F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
+    return grouped(prints, links(distinct, BUDGET).union(more))
+
+
+def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with all its columns, one row of each of ``copy_groups``, chosen as by
+    ``simhash.drop_near_copies``."""
+    return keep_lowest(docs, copy_groups(docs, id_column, text_column), id_column, text_column)

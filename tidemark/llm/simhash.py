@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, shingle: int
                     [part.column("id"), pa.array(np.array(found, np.uint64).view(np.int64)),
                      part.column("text_key")], names=["id", "fingerprint", "text_key"])
 
-    source = id_and_text(docs, id_column, text_column).withColumn("text_key", _text_key(F.col("text")))
+    source = id_and_text(docs, id_column, text_column).withColumn("text_key", text_key(F.col("text")))
     return source.mapInArrow(of, "id long, fingerprint long, text_key long")
 
 
@@ -206,8 +206,13 @@ def simhash_groups(
     read.
     """
     prints = kept(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
+    return grouped(prints, links(prints.select("fingerprint").distinct(), budget))
+
+
+def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``simhash_groups`` for these fingerprints, linked by ``edges`` (high, low)."""
     distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    roots = components(links(distinct.select("fingerprint"), budget))
+    roots = components(edges)
     named = (
         distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
         .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
@@ -232,15 +237,20 @@ def drop_near_copies(
     without an id give way to rows with one.
     """
     groups = simhash_groups(docs, id_column, text_column, shingle, budget)
+    return keep_lowest(docs, groups, id_column, text_column)
+
+
+def keep_lowest(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of ``docs`` that stand for their ``groups``: the smallest id, then the text."""
     chosen = groups.groupBy("group").agg(F.min(F.struct(
         F.col("id").isNull().alias("last"), "id", "text_key")).alias("one"))
     key = fresh_name("row")
     stay = chosen.select(_row_key(F.col("one.id"), F.col("one.text_key")).alias(key))
-    own = docs.withColumn(key, _row_key(column(id_column).cast("long"), _text_key(column(text_column))))
+    own = docs.withColumn(key, _row_key(column(id_column).cast("long"), text_key(column(text_column))))
     return own.join(stay, key, "left_semi").dropDuplicates([key]).select(*map(column, docs.columns))
 
 
-def _text_key(text: Column) -> Column:
+def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
