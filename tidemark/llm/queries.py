@@ -8,6 +8,7 @@ from tidemark.llm import (
     query_embeddings,
     query_licences,
     query_lm,
+    query_runs,
     query_simhash,
     query_token_counts,
     query_token_files,
@@ -17,7 +18,7 @@ from tidemark.llm import (
 
 GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
           query_lm, query_token_files, query_embeddings, query_licences,
-          query_token_counts)
+          query_token_counts, query_runs)
 
 
 def all_queries() -> dict:
