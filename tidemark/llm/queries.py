@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm import (
     query_bpe,
+    query_conversations,
     query_decontaminate,
     query_embeddings,
     query_licences,
@@ -18,7 +19,7 @@ from tidemark.llm import (
 
 GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
           query_lm, query_token_files, query_embeddings, query_licences,
-          query_token_counts, query_runs)
+          query_token_counts, query_runs, query_conversations)
 
 
 def all_queries() -> dict:
