@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = {*all_queries(), "pipeline"}
     assert names <= set(driver.queries())
-    assert {name.split("_")[0] for name in all_queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in all_queries()} == {f"op{n}" for n in range(1, 14)}
     assert set(all_oracles()) <= names and "pipeline" not in driver.oracle_sql()
 
 

@@ -7,6 +7,7 @@ from tidemark.llm import (
     query_conversations,
     query_decontaminate,
     query_embeddings,
+    query_identifiers,
     query_licences,
     query_lm,
     query_runs,
@@ -19,7 +20,8 @@ from tidemark.llm import (
 
 GROUPS = (query_urls, query_bpe, query_decontaminate, query_simhash, query_toxicity,
           query_lm, query_token_files, query_embeddings, query_licences,
-          query_token_counts, query_runs, query_conversations)
+          query_token_counts, query_runs, query_conversations,
+          query_identifiers)
 
 
 def all_queries() -> dict:
