@@ -10,9 +10,12 @@ from tidemark.operators.documents import read_yaml_record
 from tidemark.operators.exchange import observed
 from tidemark.session import scratch_path, session_conf
 from tidemark.streaming.joins import chain_within, once_per_period
-from tidemark.plans.streams import chain_run
-from tidemark.streaming.runner import finish, run_stream, start_stream
+from tidemark.plans.streams import CHAIN, WITHIN, chain_events_run, chain_run
+from tidemark.streaming.chains import last_before
+from tidemark.streaming.manifest import lay_out, stream_manifest
+from tidemark.streaming.runner import STATE_ROWS, finish, run_stream, start_stream, state_partitions
 from tidemark.streaming.sources import arrange_by_time, stream_parquet
+from tidemark.streaming.state import state_rows, stateful_steps
 
 START = datetime(2024, 1, 1)
 
@@ -196,3 +199,160 @@ def test_documents_on_a_stream(spark):
     rows = output.orderBy("n").collect()
     assert [r["n"] for r in rows] == [None, 6]
     assert rows[0]["doc_error"] and rows[1]["doc_error"] is None
+
+
+def laid_out(spark, rows, batches, name="ts", **options):
+    df = spark.createDataFrame(rows, f"user_id long, kind string, {name} timestamp")
+    return lay_out(df, name, scratch_path(spark, "laid out"), batches, **options)
+
+
+def test_layout_by_time(spark):
+    rows = [(i, "k", START + timedelta(minutes=i % 700)) for i in range(3000)] + [(None, "n", None)] * 3
+    rows += [(1, "hot", START + timedelta(minutes=350))] * 1000
+    layout = laid_out(spark, rows, 6)
+    assert layout.rows == len(rows) and 1 < layout.batches <= 6
+    output, run = run_stream(
+        stream_manifest(spark, layout).withColumn("n", F.lit(1)), "laid", batches=layout.batches, timeout=120)
+    assert sorted(map(str, output.drop("n").collect())) == sorted(map(str, spark.createDataFrame(
+        rows, "user_id long, kind string, ts timestamp").collect()))
+    assert run.batches == layout.batches
+    only = stream_manifest(spark, layout, columns=["ts"])
+    assert only.columns == ["ts"]
+    output, _ = run_stream(only, "column", batches=layout.batches, timeout=120)
+    assert output.count() == len(rows)
+
+
+def test_batches_of_a_layout_follow_each_other(spark):
+    rows = [(i, "k", START + timedelta(minutes=i * 7 % 1000)) for i in range(1000)]
+    cuts = [micros(5), micros(10), micros(99)]
+    layout = laid_out(spark, rows, 1, cuts=cuts, closing=3600)
+    assert layout.batches == 4  # none begins at the last cut; the closing row is one
+    seen = stream_manifest(spark, layout).groupBy(F.lit(1)).agg(F.max("ts").alias("t"))
+    query = (seen.writeStream.format("memory").queryName("laid_times").outputMode("complete")
+             .option("checkpointLocation", scratch_path(spark, "times")).trigger(processingTime="0 seconds").start())
+    run = finish(query, 120, batches=layout.batches)
+    assert run.ends == [{"batch": 4}]
+    last = spark.table("laid_times").first()["t"]
+    assert last == max(row[2] for row in rows) + timedelta(hours=1)
+
+
+def test_a_layout_of_no_rows(spark):
+    layout = laid_out(spark, [], 3, closing=60)
+    assert layout[1:] == (0, 0)
+
+
+def test_restart_on_a_manifest(spark):
+    rows = [(1, "k", START + timedelta(minutes=i)) for i in range(400)]
+    layout = laid_out(spark, rows, 4)
+    output, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "state")
+    for batches in (2, 2, layout.batches, layout.batches):
+        stream = stream_manifest(spark, layout, position=f"{checkpoint}-position")
+        query = start_stream(stream, output, checkpoint, available_now=False)
+        finish(query, 120, batches=batches)
+        done = spark.read.parquet(output).count()
+        assert done == spark.read.parquet(output).distinct().count() >= 100 * batches - 20
+    assert done == len(rows)
+
+
+def plain_chains(rows, steps, within):
+    """For each last step, by going back from it."""
+    found = []
+    for user, kind, at in rows:
+        if user is None or at is None or kind != steps[-1]:
+            continue
+        chain, now = [at], at
+        for step in reversed(steps[:-1]):
+            earlier = [t for u, k, t in rows if u == user and k == step and t is not None and now is not None and t < now]
+            best = max(earlier, default=None)
+            now = best if best is not None and (now - best).total_seconds() <= within else None
+            chain.append(now)
+        found.append((user, *[None if t is None else micros((t - START).total_seconds() / 3600) for t in reversed(chain)]))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_chains_of_single_events(spark, batches):
+    import random
+
+    rng = random.Random(batches)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["view", "click", "buy", "other"]),
+             START + timedelta(minutes=rng.randrange(3000))) for _ in range(400)]
+    rows += [(7, "view", START), (7, "click", START), (7, "buy", START), (8, "buy", None), (9, "buy", START)]
+    steps, within = ("view", "click", "buy"), 5 * 3600
+    layout = laid_out(spark, rows, batches, closing=2 * within)
+    stream = stream_manifest(spark, layout).withWatermark("ts", "0 seconds")
+    output, run = run_stream(last_before(stream, "user_id", "ts", "kind", steps, within), "chains",
+                             batches=layout.batches, timeout=300, state_partitions=2)
+    assert output.columns == ["user_id", "view_time", "click_time", "buy_time"]
+    assert sorted(map(tuple, output.collect()), key=str) == plain_chains(rows, steps, within)
+    # All state has gone once the watermark has passed it.
+    assert run.dropped == 0 and run.peak_state > 0 and run.last_state == 0
+
+
+def test_chains_wait_for_late_rows(spark):
+    first = hours((1, "view", 0), (1, "buy", 3), (2, "click", 30))
+    late = hours((1, "click", 2), (1, "view", 1), (2, "buy", 60))
+    end = hours((5, "other", 200))
+    path = write_batches(spark, first, late, end)
+    stream = stream_parquet(spark, path, files_per_trigger=1).withWatermark("ts", "40 hours")
+    output, run = run_stream(last_before(stream, "user_id", "ts", "kind", ("view", "click", "buy"), 36_000),
+                             "late", timeout=300, state_partitions=1)
+    assert sorted(map(tuple, output.collect()), key=str) == [
+        (1, micros(1), micros(2), micros(3)), (2, None, None, micros(60))]
+
+
+def test_chains_of_a_hot_user(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 60_000
+    df = spark.range(n).select(
+        F.lit(1).cast("long").alias("user_id"),
+        F.element_at(F.array(*map(F.lit, CHAIN)), (F.col("id") % 3 + 1).cast("int")).alias("kind"),
+        F.timestamp_micros((F.col("id") * 7_919_333) % (n * 1_000_003) + 1_704_067_200_000_000).alias("ts"))
+    layout = lay_out(df, "ts", scratch_path(spark, "hot"), 3, closing=2 * WITHIN)
+    stream = stream_manifest(spark, layout).withWatermark("ts", "0 seconds")
+    output, run = run_stream(last_before(stream, "user_id", "ts", "kind", CHAIN, WITHIN), "hot",
+                             batches=layout.batches, timeout=300, state_partitions=2)
+    ids = np.arange(n)
+    at = (ids * 7_919_333) % (n * 1_000_003) + 1_704_067_200_000_000
+    view, click, buy = (np.sort(at[ids % 3 == kind]) for kind in range(3))
+    before = np.searchsorted(click, buy, "left") - 1
+    got = np.array(output.orderBy("purchase_time").select("purchase_time", "click_time").fillna(-1).collect())
+    assert np.array_equal(got[:, 0], buy)
+    assert np.array_equal(got[:, 1], np.where(before >= 0, click[np.maximum(before, 0)], -1))
+    assert run.peak_state < 20 and run.last_state == 0
+
+
+def test_chains_give_equal_rows_for_any_batches(spark):
+    runs = [chain_events_run(spark, "/root/testdata/sf0.001", batches) for batches in (1, 3, 12)]
+    rows = [sorted(map(tuple, output.collect()), key=str) for output, _ in runs]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 100
+    users = len({row[0] for row in rows[0]})
+    assert [run.batches >= n for (_, run), n in zip(runs, (1, 3, 12))] == [True] * 3
+    assert all(run.peak_state <= 3 * users and run.last_state == 0 for _, run in runs)
+
+
+def test_state_as_a_table(spark):
+    later = [hours((9, "view", at), (9, "click", at), (9, "buy", at)) for at in (90, 120)]
+    path = write_batches(spark, EVENTS, *later)
+    output, done = run_stream(
+        chain(stream_parquet(spark, path, files_per_trigger=1)), "t", timeout=120, state_partitions=2)
+    steps = stateful_steps(spark, done.checkpoint).select("operatorName").distinct().collect()
+    assert {row[0] for row in steps} == {"dedupe", "symmetricHashJoin"}
+    kinds = {row["operatorId"]: row["operatorName"] for row in stateful_steps(spark, done.checkpoint).collect()}
+    one = state_rows(spark, done.checkpoint, max(kinds), batch=0)
+    assert one.columns == ["step", "batch", "partition", "key", "value"]
+
+    def held(batch):
+        parts = [(step, side) for step, kind in kinds.items()
+                 for side in (("left", "right") if kind == "symmetricHashJoin" else (None,))]
+        return sum(state_rows(spark, done.checkpoint, step, batch, side=side).count() for step, side in parts)
+
+    assert held(0) > held(done.batches - 1) == held(None)
+
+
+def test_state_partitions_follow_the_rows(spark):
+    assert state_partitions(spark, 0) == state_partitions(spark, STATE_ROWS) == 1
+    assert state_partitions(spark, 3 * STATE_ROWS) == 3
+    assert state_partitions(spark, 10**12) == 8

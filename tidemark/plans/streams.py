@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from tidemark.operators.settings import filter_names
 from tidemark.plans.tables import UTC, load, table_path
 from tidemark.session import fresh_name, scratch_path, session_conf
+from tidemark.streaming.chains import last_before
 from tidemark.streaming.joins import chain_within, once_per_period
-from tidemark.streaming.runner import Run, run_stream
-from tidemark.streaming.sources import arrange_by_time, stream_parquet
-
-
-def _state_partitions(spark: SparkSession) -> int | None:
-    """One per core on a single machine; on a cluster the session's own number."""
-    context = spark.sparkContext
-    return context.defaultParallelism if context.master.startswith("local") else None
-
+from tidemark.streaming.manifest import lay_out, stream_manifest
+from tidemark.streaming.runner import Run, run_stream, state_partitions
+from tidemark.streaming.sources import stream_parquet
+from tidemark.streaming.state import state_rows
 
 CHAIN = ("view", "click", "purchase")
 CHAIN_BATCHES = 3
+# Two days in seconds: how long a step may come after the one before it.
+WITHIN = 2 * 86_400
+# 2024-01-11 and 2024-01-21, where the batches of the state query begin.
+STATE_CUTS = (1_704_931_200_000_000, 1_705_795_200_000_000)
 
 
 def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,8 @@ def chain_run(
     the bounds goes with each step.
     """
     with session_conf(spark, UTC):
-        used = load(spark, sf_dir, "events").where(F.col("event_type").isin(*CHAIN)).select(
-            "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-        path = scratch_path(spark, "chain-events")
-        arrange_by_time(used, "ts", path, batches)
-        events = stream_parquet(spark, path, files_per_trigger=1)
+        layout = lay_out(_steps(spark, sf_dir), "ts", scratch_path(spark, "chain-events"), batches)
+        events = stream_manifest(spark, layout)
 
         def step(kind: str) -> tuple[DataFrame, str]:
             rows = events.where(F.col("event_type") == kind).select(
@@ -50,10 +47,56 @@ def chain_run(
             return once_per_period(rows, "user_id", f"{kind}_time", period, "3 days"), f"{kind}_time"
 
         chain = chain_within([step(kind) for kind in CHAIN], "user_id", "2 DAYS")
-        output, run = run_stream(chain, "stream-chain", state_partitions=_state_partitions(spark))
+        output, run = run_stream(
+            chain, "stream-chain", batches=layout.batches,
+            state_partitions=state_partitions(spark, layout.rows))
         return output.select("user_id", *[f"{kind}_time" for kind in CHAIN]), run
 
 
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").where(F.col("event_type").isin(*CHAIN)).select(
+        "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+
+
+def stream_chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the user's last click before it, and the last view before that one."""
+    return chain_events_run(spark, sf_dir, CHAIN_BATCHES)[0]
+
+
+def chain_events_run(spark: SparkSession, sf_dir: str, batches: int) -> tuple[DataFrame, Run]:
+    """Single events chained by a keyed state processor, each within two days, and how it ran.
+
+    Batches follow each other in time, so the watermark needs no delay; a closing
+    row lets it pass the last events, whose state then goes too.
+    """
+    with session_conf(spark, UTC):
+        layout = lay_out(_steps(spark, sf_dir), "ts", scratch_path(spark, "chain-events"), batches,
+                         closing=2 * WITHIN)
+        events = stream_manifest(spark, layout).withWatermark("ts", "0 seconds")
+        chain = last_before(events, "user_id", "ts", "event_type", CHAIN, WITHIN)
+        return run_stream(
+            chain, "stream-events", batches=layout.batches,
+            state_partitions=state_partitions(spark, layout.rows))
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the distinct hours of users keep as state after each batch, before and after the
+    watermark has passed them."""
+    with session_conf(spark, UTC):
+        events = load(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+        layout = lay_out(events, "ts", scratch_path(spark, "state-events"), cuts=STATE_CUTS)
+        hours = once_per_period(stream_manifest(spark, layout), "user_id", "ts", "hour", "1 day")
+        _, run = run_stream(hours, "stream-state", batches=layout.batches,
+                            state_partitions=state_partitions(spark, layout.rows))
+        held = [state_rows(spark, run.checkpoint, batch=batch) for batch in range(run.batches)]
+        rows = held[0]
+        for one in held[1:]:
+            rows = rows.unionByName(one)
+        hour = F.unix_micros("key.ts")
+        return rows.groupBy("batch").agg(
+            F.count(F.lit(1)).alias("n_keys"), F.min(hour).alias("first_hour"), F.max(hour).alias("last_hour"))
+
+
 def stream_name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name filter on a stream."""
     events = stream_parquet(spark, table_path(sf_dir, "events"))
@@ -81,6 +124,8 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "stream_chain": stream_chain,
+    "stream_chain_events": stream_chain_events,
+    "stream_state": stream_state,
     "stream_name_filter": stream_name_filter,
     "stream_report": stream_report,
 }
@@ -98,6 +143,35 @@ ORACLES = {
         JOIN hours p ON p.user_id = v.user_id AND p.h BETWEEN c.h AND c.h + INTERVAL 2 DAY
         WHERE v.event_type = 'view' AND c.event_type = 'click' AND p.event_type = 'purchase'
     """,
+    "stream_chain_events": """
+        WITH clicks AS (
+            SELECT c.user_id, c.ts, CASE WHEN c.ts - v.ts <= INTERVAL 2 DAY THEN v.ts END AS view_ts
+            FROM (SELECT user_id, ts FROM events WHERE event_type = 'click') c
+            ASOF LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'view') v
+            ON c.user_id = v.user_id AND c.ts > v.ts
+        )
+        SELECT p.user_id,
+               epoch_us(CASE WHEN p.ts - c.ts <= INTERVAL 2 DAY THEN c.view_ts END) AS view_time,
+               epoch_us(CASE WHEN p.ts - c.ts <= INTERVAL 2 DAY THEN c.ts END) AS click_time,
+               epoch_us(p.ts) AS purchase_time
+        FROM (SELECT user_id, ts FROM events WHERE event_type = 'purchase') p
+        ASOF LEFT JOIN clicks c ON p.user_id = c.user_id AND p.ts > c.ts
+    """,
+    "stream_state": """
+        WITH hours AS (
+            SELECT DISTINCT user_id, date_trunc('hour', ts) AS h,
+                   CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0
+                        WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS b
+            FROM events
+        ), batches AS (
+            SELECT n.batch, (SELECT max(h) FROM hours WHERE b < n.batch) - INTERVAL 1 DAY AS passed
+            FROM (SELECT unnest([0, 1, 2, 3]) AS batch) n
+        )
+        SELECT CAST(batch AS INTEGER) AS batch, count(*) AS n_keys,
+               epoch_us(min(h)) AS first_hour, epoch_us(max(h)) AS last_hour
+        FROM batches JOIN hours ON b <= batch AND (passed IS NULL OR h > passed)
+        GROUP BY batch
+    """,
     "stream_name_filter": """
         SELECT event_id, event_type, value FROM events
         WHERE event_type = 'view' OR regexp_matches(event_type, '^p(.*)$')
