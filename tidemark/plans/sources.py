@@ -14,6 +14,7 @@ from tidemark.sources.files import (
     write_documents,
     write_parquet,
 )
+from tidemark.sources.framed import read_framed, write_framed
 from tidemark.sources.ranges import range_rows, register_view
 from tidemark.sources.settings_table import columns_as_settings
 from tidemark.sources.tables import drop_table, save_table
@@ -64,6 +65,21 @@ def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(read_whole_text(spark, path)).select(key.alias("s_suppkey"), "content")
 
 
+def whole_text_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All document texts through framed files: some null, empty, with CRLF, or lines of dashes."""
+    number = F.col("doc_id")
+    texts = load(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(number % 7 == 0, F.lit(None)).when(number % 7 == 1, "")
+        .when(number % 7 == 2, F.concat(F.lit("---\r\n"), "text", F.lit("\r\n")))
+        .when(number % 7 == 3, F.concat("text", F.lit("\n---\n---")))
+        .otherwise(F.col("text")).alias("content"),
+    )
+    path = scratch_path(spark, "framed")
+    write_framed(texts, "content", path, key="doc_id")
+    return read_framed(spark, path).select(F.col("key").cast("bigint").alias("doc_id"), "content")
+
+
 def _events_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch_path(spark, "events")
@@ -110,6 +126,7 @@ QUERIES = {
     "range_count": range_count,
     "config_table": config_table,
     "whole_text": whole_text,
+    "whole_text_exact": whole_text_exact,
     "parquet_ts_roundtrip": parquet_ts_roundtrip,
     "parquet_ts_range": parquet_ts_range,
     "catalog_roundtrip": catalog_roundtrip,
@@ -134,6 +151,14 @@ ORACLES = {
                || '  name: ' || s_name || chr(10) || '  nation: ' || s_nationkey || chr(10) AS content
         FROM supplier
     """,
+    "whole_text_exact": """
+        SELECT doc_id,
+               CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ''
+                    WHEN 2 THEN '---' || chr(13) || chr(10) || text || chr(13) || chr(10)
+                    WHEN 3 THEN text || chr(10) || '---' || chr(10) || '---'
+                    ELSE text END AS content
+        FROM documents
+    """,
     "parquet_ts_roundtrip": """
         SELECT event_id, ts, user_id, event_type, value, props FROM events
     """,

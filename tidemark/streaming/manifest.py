@@ -21,6 +21,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tidemark.session import fresh_name
 from tidemark.sources.files import write_parquet
+from tidemark.sources.framed import uri_of
 
 SOURCE = "tidemark_manifest"
 MICROS = 1_000_000
@@ -36,13 +37,6 @@ class Layout(NamedTuple):
     rows: int
 
 
-def _uri(spark: SparkSession, path: str) -> str:
-    """``path`` in full, escaped as Arrow's file systems take it."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.makeQualified(found).toUri().toString()
-
-
 def _write(uri: str, value: object) -> None:
     system, path = pyarrow.fs.FileSystem.from_uri(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -83,7 +77,7 @@ def lay_out(
     number = F.size(F.filter(F.array(*map(F.lit, steps)), lambda cut: cut <= micros)) if steps else F.lit(0)
     dealt = df.withColumn(batch, F.when(micros.isNull(), 0).otherwise(number)).hint("rebalance", batch)
     write_parquet(dealt, path, sort_within=[time], partition_by=[batch])
-    uri = _uri(spark, f"{path}-manifest")
+    uri = uri_of(spark, f"{path}-manifest")
     files: dict[int, list[str]] = {}
     for name in spark.read.schema(df.schema).parquet(path).inputFiles():
         files.setdefault(int(re.search(rf"/{batch}=(\d+)/", name).group(1)), []).append(name)
@@ -113,7 +107,7 @@ def stream_manifest(
     if columns is not None:
         reader = reader.option("columns", json.dumps(list(columns)))
     if position is not None:
-        reader = reader.option("position", _uri(spark, position))
+        reader = reader.option("position", uri_of(spark, position))
     return reader.load()
 
 
