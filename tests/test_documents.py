@@ -18,17 +18,20 @@ from pyspark.sql.types import (
 from shapes import EXPECTED, LOWEST_INT, driver_shape, yaml_payload
 from tidemark.functions.lookup import lookup, named_block
 from tidemark.functions.schema import field, record
+from tidemark.session import scratch_path
 from tidemark.operators.documents import (
     read_json,
     read_json_record,
     read_yaml,
     read_yaml_record,
     split_bad,
+    split_bad_written,
 )
 
-FOO = "  foo: bar\n"
-BLOCK = "otherDriver:\n  notAnEngine:\n    custom: blah\n"
+EXTRA_KEY = "  spare: part\n"
+EXTRA_BLOCK = "trailer:\n  axle:\n    count: two\n"
 
+# Which policies accept and refuse which documents.
 # payload, case-insensitive allowed, undeclared keys allowed, fails
 YAML_CASES = [
     (yaml_payload(), False, False, False),
@@ -36,14 +39,14 @@ YAML_CASES = [
     (yaml_payload("SomeDriver"), True, False, False),
     (yaml_payload(languages="SupportedLanguages"), False, False, True),
     (yaml_payload(languages="SupportedLanguages"), True, False, False),
-    (yaml_payload(inside=FOO), False, False, True),
-    (yaml_payload(inside=FOO), False, True, False),
-    (yaml_payload("SomeDriver", inside=FOO), False, False, True),
-    (yaml_payload("SomeDriver", inside=FOO), True, True, False),
-    (yaml_payload(languages="SupportedLanguages", inside=FOO), False, False, True),
-    (yaml_payload(languages="SupportedLanguages", inside=FOO), True, True, False),
-    (yaml_payload(languages="SupportedLanguages", inside=FOO, after=BLOCK), False, False, True),
-    (yaml_payload(languages="SupportedLanguages", inside=FOO, after=BLOCK), True, True, False),
+    (yaml_payload(inside=EXTRA_KEY), False, False, True),
+    (yaml_payload(inside=EXTRA_KEY), False, True, False),
+    (yaml_payload("SomeDriver", inside=EXTRA_KEY), False, False, True),
+    (yaml_payload("SomeDriver", inside=EXTRA_KEY), True, True, False),
+    (yaml_payload(languages="SupportedLanguages", inside=EXTRA_KEY), False, False, True),
+    (yaml_payload(languages="SupportedLanguages", inside=EXTRA_KEY), True, True, False),
+    (yaml_payload(languages="SupportedLanguages", inside=EXTRA_KEY, after=EXTRA_BLOCK), False, False, True),
+    (yaml_payload(languages="SupportedLanguages", inside=EXTRA_KEY, after=EXTRA_BLOCK), True, True, False),
 ]
 
 
@@ -72,8 +75,8 @@ def test_yaml_record(spark, case):
 JSON_CASES = [
     ({"driver": EXPECTED}, False, True, False),
     ({"Driver": EXPECTED}, True, True, True),
-    ({"driver": {**EXPECTED, "notAnEngine": "bar"}}, False, True, False),
-    ({"driver": {**EXPECTED, "notAnEngine": "bar"}}, False, False, True),
+    ({"driver": {**EXPECTED, "axle": "two"}}, False, True, False),
+    ({"driver": {**EXPECTED, "axle": "two"}}, False, False, True),
 ]
 
 
@@ -161,6 +164,24 @@ def test_split_bad_loses_no_row(spark):
     assert {r["payload"] for r in bad.collect()} == {"{", None}
 
 
+def test_split_bad_written_parses_once(spark, capsys):
+    texts = ['{"a": 1}', None, '{"a": 1} x', '{"a": [{}]}', "[]", "", '{"a": 1}', '{"a": 2']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    read = read_json(df, "text", on_error="quarantine")
+    shape = record(field("a", StringType()))
+    for one in (read, read_json_record(df, "text", shape, on_error="quarantine")):
+        good, bad = split_bad_written(one, "text", scratch_path(spark, "split"))
+        twice = split_bad(one, "text")
+        for got, want in zip((good, bad), twice):
+            assert got.columns == want.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            got.explain()
+            assert "json" not in capsys.readouterr().out.replace('json"', "")
+    none, _ = split_bad_written(read.where("false"), "text", scratch_path(spark, "split"))
+    assert none.collect() == []
+
+
+
 @pytest.mark.parametrize("text, expected", [
     ("a: 0x1F", 31), ("a: 0b11", 3), ("a: 017", 15), ("a: 1_000", 1000), ("a: -5", -5),
     ("a: '8'", 8), ("a: 1:30", 90), ("a: +0", 0), ("a: 2147483647", 2147483647), ("a:", 7),

@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType
 
 from tidemark.functions.schema import field, record
-from tidemark.operators.documents import read_json, read_yaml, read_yaml_record
+from tidemark.operators.documents import (
+    NOT_AN_OBJECT,
+    TEXT_AFTER,
+    read_json,
+    read_json_record,
+    read_yaml,
+    read_yaml_record,
+)
 from tidemark.operators.settings import merge_settings
 
 SHAPE = record(
@@ -108,3 +115,42 @@ def test_random_layers(spark):
     rows = merge_settings(*frames).collect()
     assert len(rows) == len(want)
     assert {(r["scope"], r["key"]): r["value"] for r in rows} == want
+
+
+def plain_json(text):
+    """The object that is all of ``text``, by Python's parser; else why there is none."""
+    def refused(name):
+        raise ValueError(name)
+
+    decoder = json.JSONDecoder(parse_constant=refused)
+    blanks = " \t\r\n"
+    body = text.lstrip(blanks)
+    if not body.startswith("{"):
+        return None, NOT_AN_OBJECT
+    try:
+        value, end = decoder.raw_decode(body)
+    except ValueError:
+        return None, NOT_AN_OBJECT
+    return (value, None) if not body[end:].strip(blanks) else (None, TEXT_AFTER)
+
+
+def test_random_texts_as_json(spark):
+    rng = random.Random(11)
+    pieces = ['{', '}', '[', ']', ',', ':', '"a"', '"}]"', '"b"', "1", "null", " ", '{"a": 1}', '{"a": {"b": [1, {}]}}',
+              '"x": 2', "] {}", "}]", '], [', '{}', "\n", '{"a": "}"}', '{"a": "{"}']
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7))) for _ in range(6000)]
+    texts += [start + rng.choice(pieces) + rng.choice(pieces) for start in ('{"a": 1}', '{"a": {"b": 2}}', '{"a": [{}]}')
+              for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    shape = record(field("a", StringType()), field("b", StringType()))
+    variants = read_json(df, "text", on_error="quarantine").select(
+        "id", F.to_json("doc").alias("doc"), "doc_error").collect()
+    records = {r["id"]: r["doc_error"] for r in read_json_record(
+        df, "text", shape, on_error="quarantine").collect()}
+    for row in variants:
+        value, reason = plain_json(texts[row["id"]])
+        assert row["doc_error"] == reason, (texts[row["id"]], row)
+        assert (records[row["id"]] is None) == (reason is None), (texts[row["id"]], records[row["id"]])
+        if reason is None:
+            assert json.loads(row["doc"]) == value
+    assert sum(row["doc_error"] is None for row in variants) > 200

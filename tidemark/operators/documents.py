@@ -9,7 +9,8 @@ Every reader adds the parsed column ``into`` and treats bad documents by
 
 The failure names the row by ``key``, if a column is given, and the document by
 its length; ``show_payload`` puts its whole text in the message. ``fail`` also checks
-rows that a later filter removes: filter first, or read ``lazy``.
+rows that a later filter removes, and keeps such a filter from the files' scan:
+filter first, or read ``lazy``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 from tidemark.functions.schema import with_defaults, without_metadata
 from tidemark.functions.typed_read import read_record, undeclared_keys
 from tidemark.functions.yaml_text import yaml_to_json, yaml_to_marked_json
-from tidemark.session import session_conf
+from tidemark.session import fresh_name, session_conf
+from tidemark.sources.files import write_parquet
 
 _CORRUPT = "_corrupt_record"
 _STRICT_JSON = {
@@ -32,7 +34,7 @@ _STRICT_JSON = {
 # A key written twice in one object: the last one counts.
 _LAST_KEY_WINS = {"spark.sql.variant.allowDuplicateKeys": "true"}
 
-_TEMPORARY = ("__variant", "__record", "__yaml", "__read", "__foreign")
+_TEMPORARY = ("__reason", "__array", "__variant", "__record", "__yaml", "__read", "__foreign")
 
 NO_PAYLOAD = "no document"
 NOT_AN_OBJECT = "not a JSON object"
@@ -48,17 +50,31 @@ def read_json(
     key: str | None = None,
     show_payload: bool = False,
 ) -> DataFrame:
-    """JSON objects as VARIANT."""
+    """JSON objects as VARIANT, from one parse: that of an array which has the text as its item.
+
+    Text after the object makes that array broken, or longer than one. Only
+    texts that are bad, or hold a brace before a bracket, are parsed again.
+    """
     text = F.col(column)
+    begins = text.rlike(r"^\s*\{")
+    broken = F.from_json(text, f"{_CORRUPT} string", _STRICT_JSON).getField(_CORRUPT).isNotNull()
+    # The setting holds for parses that are in the plan by the end of this block.
     with session_conf(df.sparkSession, _LAST_KEY_WINS):
-        parsed = df.withColumn("__variant", F.try_parse_json(text))
-    is_object = F.col("__variant").isNotNull() & text.rlike(r"^\s*\{")
-    reason = (
-        F.when(text.isNull(), NO_PAYLOAD)
-        .when(~is_object, NOT_AN_OBJECT)
-        .when(~_ends_with_object(text), TEXT_AFTER)
-    )
-    return _finish(parsed, column, F.col("__variant"), reason, into, on_error, key, show_payload)
+        array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        parsed = df.withColumn("__array", array).withColumn(
+            "__variant", F.try_variant_get("__array", "$[0]", "variant"))
+        single = F.col("__variant").isNotNull() & F.try_variant_get("__array", "$[1]", "variant").isNull()
+        reason = (
+            F.when(text.isNull(), NO_PAYLOAD)
+            .when(~begins, NOT_AN_OBJECT)
+            .when(single & (~text.rlike(_MAY_CLOSE) | _is_member(text)), F.lit(None))
+            .when(broken, NOT_AN_OBJECT)
+            .otherwise(TEXT_AFTER)
+        )
+        # A column of its own, so that the plan has it once.
+        parsed = parsed.withColumn("__reason", reason)
+        return _finish(
+            parsed, column, F.col("__variant"), F.col("__reason"), into, on_error, key, show_payload)
 
 
 def read_json_record(
@@ -74,7 +90,8 @@ def read_json_record(
 ) -> DataFrame:
     """JSON objects as the declared record, from one native parse.
 
-    Keys match with their case and undeclared keys are skipped; the opposite
+    A text in which other braces close before the last one is parsed once more,
+    for what may stand after the object. Keys match with their case and undeclared keys are skipped; the opposite
     policies are refused for JSON.
     """
     if case_insensitive or not allow_foreign:
@@ -87,7 +104,7 @@ def read_json_record(
     reason = (
         F.when(F.col(column).isNull(), NO_PAYLOAD)
         .when(record.isNull() | record.getField(_CORRUPT).isNotNull(), NOT_OF_SHAPE)
-        .when(~_ends_with_object(F.col(column)), TEXT_AFTER)
+        .when(~(F.col(column).rlike(_CLOSES_LAST) | _ends_with_object(F.col(column))), TEXT_AFTER)
     )
     return _finish(parsed, column, with_defaults(record, shape), reason, into, on_error, key, show_payload)
 
@@ -147,8 +164,8 @@ def read_yaml_record(
 def split_bad(df: DataFrame, payload: str, into: str = "doc") -> tuple[DataFrame, DataFrame]:
     """A quarantined read as (good rows, bad (``payload``, ``reason``)).
 
-    Two filters over one plan: where both are kept, write the undivided frame
-    once, partitioned by whether the error is null, rather than parse twice.
+    Two filters over one plan, each of which parses. Where both are used,
+    ``split_bad_written`` parses once.
     """
     error = f"{into}_error"
     good = df.where(F.col(error).isNull()).drop(error)
@@ -158,6 +175,34 @@ def split_bad(df: DataFrame, payload: str, into: str = "doc") -> tuple[DataFrame
     return good, bad
 
 
+def split_bad_written(
+    df: DataFrame, payload: str, path: str, into: str = "doc"
+) -> tuple[DataFrame, DataFrame]:
+    """``split_bad`` with one parse: all rows are written once under ``path``, by their outcome.
+
+    Both tables are then read from their own folder. The write needs no shuffle
+    and does not run again if an executor is lost later.
+    """
+    outcome = fresh_name("bad")
+    written = df.withColumn(outcome, F.col(f"{into}_error").isNotNull())
+    write_parquet(written, path, partition_by=[outcome])
+    read = df.sparkSession.read.schema(written.schema).parquet(path)
+    good, bad = (read.where(F.col(outcome) == value).drop(outcome) for value in (False, True))
+    return split_bad(good, payload, into)[0], split_bad(bad, payload, into)[1]
+
+
+# A brace that a bracket follows: it may close the array a text is put into.
+_MAY_CLOSE = r"\}\s*\]"
+# The only closing brace ends the text, so it ends the object too.
+_CLOSES_LAST = r"^[^}]*\}\s*$"
+
+
+def _is_member(text: Column) -> Column:
+    """``text`` is all of one member's value in an object."""
+    return F.get_json_object(
+        F.concat(F.lit('{"first":'), text, F.lit(',"second":0}')), "$.second").isNotNull()
+
+
 def _ends_with_object(text: Column) -> Column:
     """Nothing but white space stands after the object ``text`` begins with.
 
@@ -166,10 +211,7 @@ def _ends_with_object(text: Column) -> Column:
     own; then, as a member of an object, it breaks that.
     """
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    member = F.get_json_object(
-        F.concat(F.lit('{"first":'), text, F.lit(',"second":0}')), "$.second")
-    return F.coalesce(
-        alone & F.when(text.rlike(r"\}\s*\]"), member.isNotNull()).otherwise(True), F.lit(False))
+    return F.coalesce(alone & (~text.rlike(_MAY_CLOSE) | _is_member(text)), F.lit(False))
 
 
 def _finish(

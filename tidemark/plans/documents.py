@@ -13,9 +13,10 @@ from tidemark.operators.documents import (
     read_json_record,
     read_yaml,
     read_yaml_record,
-    split_bad,
+    split_bad_written,
 )
 from tidemark.plans.tables import load
+from tidemark.session import scratch_path
 
 PROPS = record(
     field("k", LongType(), default=-1),
@@ -100,8 +101,9 @@ def json_split_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat("props", F.lit(" \n")))
     )
     events = load(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
-    good, bad = split_bad(
-        read_json_record(events, "payload", PROPS, on_error="quarantine"), "payload")
+    good, bad = split_bad_written(
+        read_json_record(events, "payload", PROPS, on_error="quarantine"), "payload",
+        scratch_path(spark, "outcomes"))
     return good.select("payload", F.col("doc.k").alias("k"), F.lit(None).cast("string").alias("reason")).union(
         bad.select("payload", F.lit(None).cast("bigint"), "reason"))
 
