@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.render import RANDOM_PLACEHOLDER, ROOT_PLACEHOLDER, stable_id
 from tidemark.functions.runtime import runtime_of
+from tidemark.operators.bucketed_settings import merge_bucketed, restrict_bucketed
 from tidemark.operators.settings_record import read_settings
 from tidemark.operators.documents import read_json
 from tidemark.operators.settings import (
@@ -17,8 +18,9 @@ from tidemark.operators.settings import (
 )
 from tidemark.plans.cache_demo import settings_from_files
 from tidemark.plans.tables import load
-from tidemark.session import scratch_path
+from tidemark.session import fresh_name, scratch_path
 from tidemark.sources.files import write_documents
+from tidemark.sources.tables import save_bucketed
 
 RUN_ID = "r1"
 
@@ -171,6 +173,30 @@ def key_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict_keys(submitted, injected, default)
 
 
+SETTINGS_BUCKETS = 8
+
+
+def _bucketed_layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The layers as bucketed tables; the catalog forgets them, their files stay."""
+    tables = []
+    for layer in _layers(spark, sf_dir):
+        name = fresh_name("layer")
+        tables.append(save_bucketed(
+            layer, name, ["scope", "key"], SETTINGS_BUCKETS, scratch_path(spark, name)))
+    return tables
+
+
+def settings_merge_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``settings_merge`` over bucketed tables: no shuffle after they were written."""
+    return merge_bucketed(*_bucketed_layers(spark, sf_dir))
+
+
+def key_restriction_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key_restriction`` over bucketed tables."""
+    injected, submitted, default = _bucketed_layers(spark, sf_dir)
+    return restrict_bucketed(submitted, injected, default)
+
+
 def runtime_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = F.col("c_mktsegment")
     cluster = (
@@ -201,6 +227,8 @@ QUERIES = {
     "settings_files": settings_files,
     "settings_merge": settings_merge,
     "key_restriction": key_restriction,
+    "settings_merge_bucketed": settings_merge_bucketed,
+    "key_restriction_bucketed": key_restriction_bucketed,
     "runtime_class": runtime_class,
     "name_filter": name_filter,
     "name_match": name_match,
@@ -291,3 +319,6 @@ ORACLES = {
         SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'purchase')
     """,
 }
+
+# Other layouts of the same tables give the same rows.
+ORACLES |= {f"{name}_bucketed": ORACLES[name] for name in ("settings_merge", "key_restriction")}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.cache import cache_table, count_rows, uncache_tables
 from tidemark.plans.tables import UTC, load
 from tidemark.session import fresh_name, scratch_path, session_conf
+from tidemark.sources.clustered import row_groups, skipping, write_clustered
 from tidemark.sources.files import (
     read_whole_text,
     split_documents,
@@ -110,6 +111,33 @@ def parquet_ts_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
 
+# The week and the users of the skipping report.
+WEEK = (1_704_672_000_000_000, 1_705_276_799_999_999)
+USERS = (20, 34)
+CLUSTERED_FILES = 144
+
+
+def parquet_skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events clustered by time and user: the rows of one week and some users, and whether a
+    reader of them may skip over nine tenths of the row groups."""
+    with session_conf(spark, UTC):
+        events = load(spark, sf_dir, "events").select(
+            "event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+        path = scratch_path(spark, "clustered")
+        total = events.count()
+        write_clustered(events, ["ts", "user_id"], path, rows_per_file=-(-total // CLUSTERED_FILES))
+        groups = skipping(row_groups(spark, path, ["ts", "user_id"]), {"ts": WEEK, "user_id": USERS})
+        share = groups.agg(
+            (F.sum(F.col("kept").cast("int")) * 10 < F.count(F.lit(1))).alias("skips_nine_tenths"),
+            (F.sum("rows") == total).alias("all_rows_in_groups")).first()
+        first, last = (F.timestamp_micros(F.lit(at)) for at in WEEK)
+        return spark.read.parquet(path).where(
+            F.col("ts").between(first, last) & F.col("user_id").between(*USERS)
+        ).agg(
+            F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")
+        ).withColumns({name: F.lit(value) for name, value in share.asDict().items()})
+
+
 def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders saved as a catalog table, counted from it by status, and dropped."""
     name = fresh_name("orders_saved")
@@ -129,6 +157,7 @@ QUERIES = {
     "whole_text_exact": whole_text_exact,
     "parquet_ts_roundtrip": parquet_ts_roundtrip,
     "parquet_ts_range": parquet_ts_range,
+    "parquet_skip_report": parquet_skip_report,
     "catalog_roundtrip": catalog_roundtrip,
 }
 
@@ -168,6 +197,13 @@ ORACLES = {
         WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'
         GROUP BY event_type
     """,
+    "parquet_skip_report": """
+        SELECT count(*) AS n, min(event_id) AS first_event, true AS skips_nine_tenths,
+               (SELECT count(*) FROM events) > 0 AS all_rows_in_groups
+        FROM events
+        WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'
+          AND user_id BETWEEN 20 AND 34
+    """,
     "catalog_roundtrip": """
         SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus
     """,
