@@ -24,8 +24,9 @@ STATE_SETTINGS = {
 
 # Spark keeps the progress of its last batches only; whether there is more is asked far more often.
 POLL_SECONDS = 0.02
-# Batches of under this many rows of state need no second task for them.
-STATE_ROWS = 1 << 18
+# Rows of a stream that one task of its state takes well: each store of each step costs a
+# commit a batch, and each key of a Python processor some calls.
+STATE_ROWS = 1 << 13
 
 def state_partitions(spark: SparkSession, rows: int) -> int:
     """Tasks for the state of a stream of ``rows``: by its size, within what the session allows.
