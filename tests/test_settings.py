@@ -1,6 +1,8 @@
 """Settings as data."""
 
 import os
+import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -350,3 +352,32 @@ def test_equal_rows_of_a_hot_key_are_spread_in_a_large_lookup(spark):
         assert joined.count() == 30_000
         assert joined.where("v IS NOT NULL AND v <> k").count() == 0
         assert joined.where("v IS NULL").count() == rows.where("k >= 900").count()
+
+
+def test_placeholders_as_if_replaced_in_turn(spark):
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(20)] + ["a", "b", "ab", "NAME_X"]
+    pieces = [*("{" + name + "}" for name in names), "{", "}", "{a", "b}", "$1", "\\", " ", "text", "{unknown}", "{}", "local: true\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) + rng.choice(["", "local: true"])
+             for _ in range(1500)]
+    plain = ["v", "", "$2", "\\n", "null", "ü" * 9]
+    values = [{name: rng.choice([*plain, None]) for name in names} for _ in texts]
+    for value in values[::3]:  # some hold braces, placeholders among them
+        value[rng.choice(names)] = rng.choice(["{b}", "{", "}", "x{n3}y", "{a{b}}"])
+
+    def in_turn(text, value):
+        if not re.search(r"local:\s+true", text):
+            return text
+        for name in names:
+            text = text.replace("{" + name + "}", "null" if value[name] is None else value[name])
+        return text
+
+    schema = "id int, text string, " + ", ".join(f"`{name}` string" for name in names)
+    df = spark.createDataFrame(
+        [(i, text, *(value[name] for name in names)) for i, (text, value) in enumerate(zip(texts, values))], schema)
+    got = df.select("id", render(F.col("text"), {name: F.col(name) for name in names}).alias("text"))
+    assert {r["id"]: r["text"] for r in got.collect()} == {
+        i: in_turn(text, value) for i, (text, value) in enumerate(zip(texts, values))}
+    fixed = df.select(render(F.col("text"), {"a": "{b}", "b": "x", "c{": "y"}).alias("text")).collect()
+    assert all("{a}" not in r["text"] for r in fixed if re.search(r"local:\s+true", r["text"]))
+    assert spark.range(1).select(render(F.lit("local: true {a}"), {}).alias("t")).first()["t"] == "local: true {a}"
