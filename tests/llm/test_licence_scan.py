@@ -85,3 +85,30 @@ def test_rows(spark):
     assert got[6]["spans"][0].asDict() == {"label": "cc-by-nc", "first": 0, "last": 6}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert scan_licences(none, TEMPLATES, PHRASES).collect() == []
+
+
+def test_templates_within_templates():
+    inner, outer = "alpha beta gamma delta epsilon", "zeta alpha beta gamma delta epsilon eta theta iota kappa"
+    automaton = Automaton([Template("in", inner), Template("out", outer), Template("end", "eta theta iota kappa")], [])
+    found = scan(automaton, f"x {outer} y".encode())
+    assert [chain[:2] for chain in found.chains] == [(0, 5), (1, 10), (2, 4)]
+    assert found.chains[0][2:] == (2, 6) and found.chains[2][2:] == (7, 10)
+
+
+def test_phrases_of_one_word():
+    automaton = Automaton([Template("t", "one two three four")], [Template("p", "two"), Template("q", "lone")])
+    assert scan(automaton, b"x lone y two, one two lone").places == [(1, 1), (3, 0), (5, 0), (6, 1)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_each_template_as_if_it_were_alone(seed):
+    rng = random.Random(seed)
+    base = [rng.choice("abcdefg") for _ in range(30)]
+    cuts = [sorted(rng.sample(range(31), 2)) for _ in range(5)]
+    templates = [Template(str(n), " ".join(base[i:j])) for n, (i, j) in enumerate(cuts)]
+    words = [w for _ in range(6) for i, j in [sorted(rng.sample(range(31), 2))] for w in [*base[i:j], rng.choice(["x", "a"])]]
+    text = " ".join(words).encode()
+    together = {chain[0]: chain[1] for chain in scan(Automaton(templates, []), text).chains}
+    for number, template in enumerate(templates):
+        alone = scan(Automaton([template], []), text).chains
+        assert together.get(number, 0) == (alone[0][1] if alone else 0)

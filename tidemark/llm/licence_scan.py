@@ -64,6 +64,8 @@ class Automaton:
             for word in words:
                 last = self._extend(last, self.numbers.setdefault(word, len(self.numbers) + 1))
             self.phrases[last].append((len(words), number))
+        # Runs of fewer known words hold neither a phrase nor a run that counts.
+        self.least = min([LEAST_RUN, *(len(alnum_words(one.text.encode())) for one in phrases)])
         by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
         for state in reversed(by_length):
             self.ends[self.link[state]] |= self.ends[state]
@@ -102,6 +104,21 @@ class Automaton:
             self.link[added] = self._split(state, word, self.next[state][word])
         return added
 
+    def matches(self, state: int, length: int, least: int) -> dict[int, tuple[int, frozenset[int]]]:
+        """Of each template its own longest run of ``least`` words or more that ends here, and
+        the places in it where that run ends. Shorter runs, down the suffix links, are those of
+        templates that do not have the longer ones."""
+        found: dict[int, tuple[int, frozenset[int]]] = {}
+        while state > 0 and length >= least:
+            own: dict[int, set[int]] = {}
+            for template, end in self.ends[state]:
+                if template not in found:
+                    own.setdefault(template, set()).add(end)
+            found |= {template: (length, frozenset(ends)) for template, ends in own.items()}
+            state = self.link[state]
+            length = self.length[state]
+        return found
+
     def stream(self, numbers: list[int], first: int) -> Iterator[tuple[int, int, int]]:
         """(place, state, length) of the longest known run ending at each word."""
         state = length = 0
@@ -131,29 +148,47 @@ def scan(automaton: Automaton, text: bytes) -> Found:
     known = np.concatenate(([False], numbers > 0, [False])).astype(np.int8)
     steps = np.diff(known)
     starts, stops = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-    long = stops - starts > 1
+    long = stops - starts >= automaton.least
     places: list[tuple[int, int]] = []
-    runs: list[tuple[int, int, int]] = []
+    runs: list[tuple[int, int, int, frozenset[int]]] = []
     phrases = automaton.phrases
     for start, stop in zip(starts[long].tolist(), stops[long].tolist()):
-        before = (0, 0, 0)
+        before: dict[int, tuple[int, frozenset[int]]] = {}
         for place, state, length in automaton.stream(numbers[start:stop].tolist(), start):
             if phrases[state]:
                 places += [(place + 1 - size, phrase) for size, phrase in phrases[state] if size <= length]
-            if before[2] >= LEAST_RUN and length <= before[2]:
-                runs.append(before)
-            before = (place, state, length)
-        if before[2] >= LEAST_RUN:
-            runs.append(before)
+            now = automaton.matches(state, length, LEAST_RUN) if length >= LEAST_RUN else {}
+            if before:
+                runs += _closed(before, now, place - 1)
+            before = now
+        if before:
+            runs += _closed(before, {}, stop - 1)
     return Found(len(words), places, _chains(automaton, runs))
 
 
-def _chains(automaton: Automaton, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+def _closed(
+    before: dict[int, tuple[int, frozenset[int]]], now: dict[int, tuple[int, frozenset[int]]], place: int
+) -> Iterator[tuple[int, int, int, frozenset[int]]]:
+    """(template, place, length, ends) of the runs that ended at ``place``: those not made longer."""
+    for template, (length, ends) in before.items():
+        after = now.get(template)
+        if after is None or after[0] != length + 1:
+            yield template, place, length, ends
+        else:
+            # Where the template has the run more often, only some of its places go on.
+            over = frozenset(end for end in ends if end + 1 not in after[1])
+            if over:
+                yield template, place, length, over
+
+
+def _chains(
+    automaton: Automaton, runs: list[tuple[int, int, int, frozenset[int]]]
+) -> list[tuple[int, int, int, int]]:
     """For each template the chain of runs, rising in text and template, with most words."""
     by_template: dict[int, list[tuple[int, int, int]]] = {}
-    for place, state, length in runs:
-        for template, end in automaton.ends[state]:
-            by_template.setdefault(template, []).append((place + 1 - length, end - length, length))
+    for template, place, length, ends in runs:
+        by_template.setdefault(template, []).extend(
+            (place + 1 - length, end - length, length) for end in ends)
     found = []
     for template, matches in by_template.items():
         matches.sort()
