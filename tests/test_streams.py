@@ -239,6 +239,10 @@ def test_batches_of_a_layout_follow_each_other(spark):
 def test_a_layout_of_no_rows(spark):
     layout = laid_out(spark, [], 3, closing=60)
     assert layout[1:] == (0, 0)
+    stream = stream_manifest(spark, layout).withWatermark("ts", "0 seconds")
+    output, run = run_stream(last_before(stream, "user_id", "ts", "kind", ("view", "click"), 60), "none",
+                             batches=layout.batches, timeout=120, state_partitions=1)
+    assert output.collect() == [] and run.last_state == 0
 
 
 def test_restart_on_a_manifest(spark):

@@ -156,7 +156,7 @@ def finish(
     end = None if timeout is None else time.monotonic() + timeout
     while not query.awaitTermination(POLL_SECONDS):
         run.take()
-        if batches is not None and run.ends and all(at["batch"] >= batches for at in run.ends):
+        if batches == 0 or batches and run.ends and all(at["batch"] >= batches for at in run.ends):
             query.processAllAvailable()
             run.take()
             query.stop()
