@@ -297,7 +297,7 @@ def encode_documents(
     read once on the driver and broadcast, as it does not grow with the data.
     """
     ranks = read_ranks(ranks_path)
-    key = hashlib.sha256(repr((pattern, len(ranks), ranks_path)).encode()).digest()
+    key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).digest()
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, exact_pattern(pattern), key))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,16 +161,32 @@ class _Chunks:
     where no combining mark, which they might be composed with, is in the text.
     A chunk of small Latin-1 letters is one piece that no step before the merges
     changes, and goes to the model alone.
+
+    Added tokens are found first, as written; the text between two of them is a
+    text of its own. A chunk that only becomes one in lower case is not one.
     """
 
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.known = _Known(Tokenizer.from_str(tokenizer))
+        made = Tokenizer.from_str(tokenizer)
+        self.known = _Known(made)
+        self.added = {one.content.encode(): ident.to_bytes(4, "little")
+                      for ident, one in made.get_added_tokens_decoder().items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if longest else None
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        return [b"".join(map(self.known.__getitem__, _split(text))) for text in texts]
+        return [self._one(text) for text in texts]
+
+    def _one(self, text: bytes) -> bytes:
+        parts = self.cut(text) if self.cut else [text]
+        if len(parts) == 1:
+            return b"".join(map(self.known.__getitem__, _split(text)))
+        return b"".join([self.added[part] if at % 2 else
+                         b"".join(map(self.known.__getitem__, _split(part)))
+                         for at, part in enumerate(parts)])
 
 
 class _Known(dict):
@@ -178,6 +194,7 @@ class _Known(dict):
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
+        # What comes here holds no added token as the text has it.
         tokenizer.encode_special_tokens = True
         self.encode, self.model = tokenizer.encode, tokenizer.model
 
@@ -205,6 +222,9 @@ def _must_fit(tokenizer: Tokenizer) -> None:
     before = [one["type"] for one in (steps["pre_tokenizer"] or {}).get("pretokenizers", ())]
     if normal != ["NFC", "Replace", "Lowercase"] or before != ["Split", "ByteLevel"]:
         raise ValueError("this tokenizer does not work on lower-case pieces between white space")
+    if any(one[flag] for one in steps["added_tokens"]
+           for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("this tokenizer's added tokens depend on what is around them")
     for probe in ("ab ,. c", "Ab, c. d", "it's, x."):
         whole = tokenizer.encode(probe, add_special_tokens=False).ids
         parts = [one for chunk in _split(probe.encode())
@@ -383,7 +403,8 @@ def token_file_round_trip(
 ) -> DataFrame:
     """Tokenize, write to files in the shared folder, and read them: what ``read_token_files`` gives.
 
-    A null or empty text is its end id alone. Texts of any length are encoded
+    A null or empty text is its end id alone. The tokenizer's added tokens are
+    found in texts, as the library does unless told otherwise. Texts of any length are encoded
     whole; repeated rows each give a document, next to each other; rows without
     an id come first. An empty table gives files without blocks and an empty
     result. Only the two named columns are read.
