@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 
 from tidemark.llm import bloom_lm
-from tidemark.llm.bloom_lm import Filter, fill, level, probe, score_documents, _segments
+from tidemark.llm.bloom_lm import Filter, _segments, fill, level, levels_of, score_documents
 
 
-def plain(rows):
+def plain(rows, order=2, prior=bloom_lm.PRIOR):
     def words(text):
         low = "".join(c.lower() if c.isascii() else c for c in text or "")
         return [w for w in re.split("[\x20\x09-\x0D]+", low) if w] + [None]
@@ -20,18 +20,28 @@ def plain(rows):
     held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows}
     counts = Counter(w for i, t in rows if not held[i] for w in words(t))
     whole = sum(counts.values()) + len(counts) + 1
-    pairs, befores = Counter(), Counter()
+    grams = Counter()
     for i, t in rows:
         if not held[i]:
             run = [None, *words(t)]
-            pairs.update(zip(run, run[1:]))
-            befores.update(run)
+            for n in (1, 2, 3):
+                grams.update(tuple(run[at:at + n]) for at in range(len(run) - n + 1))
+    middle = lambda c: float(bloom_lm.COUNT_OF_LEVEL[level(np.array([c]))[0]]) if c else 0.0
     found = []
     for i, t in rows:
         run = words(t)
         base = sum(math.log10((counts[w] + 1) / whole) for w in run)
+        score, laid = 0.0, [None, *run]
+        for at in range(1, len(laid)):
+            now = (counts[laid[at]] + 1) / whole
+            for n in range(1, min(order - 1, at) + 1):
+                history = tuple(laid[at - n:at])
+                before = middle(grams[history])
+                after = min(middle(grams[history + (laid[at],)]), before)
+                now = (after + prior * now) / (before + prior)
+            score += math.log10(now)
         found.append((i, held[i], len(run), sum(counts[w] > 0 for w in run),
-                      sum(counts.values()), round(base, 6)))
+                      sum(counts.values()), round(base, 6), round(score, 6)))
     return found
 
 
@@ -40,13 +50,46 @@ ROWS = [(i, f"the Cat{i % 5} sat on\tthe mat {i % 3}, é{i % 2}" * (1 + i % 4))
     (103, "only once here")]
 
 
-@pytest.mark.parametrize("frequent", [0, 20, 500_000])
-def test_base_equals_plain_counts(spark, monkeypatch, frequent):
+def scored(df, **how):
+    return sorted(((r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
+                    round(r["base_score"], 6), round(r["score"], 6))
+                   for r in score_documents(df, **how).collect()), key=str)
+
+
+@pytest.mark.parametrize("frequent, broadcast, grams, order", [
+    (0, 1 << 20, 1 << 20, 2), (20, 0, 50, 2), (500_000, 1 << 20, 20, 3), (20, 0, 20, 3), (20, 0, 50, 1)])
+def test_equals_plain_counts(spark, monkeypatch, frequent, broadcast, grams, order):
+    """Without false passes, by one broadcast or by way of the segments, hot ones in copies."""
     monkeypatch.setattr(bloom_lm, "FREQUENT_WORDS", frequent)
+    monkeypatch.setattr(bloom_lm, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(bloom_lm, "SEGMENT_GRAMS", grams)
+    monkeypatch.setattr(bloom_lm, "PROBED_BYTES", 64)
     df = spark.createDataFrame([(i, t, 1.0) for i, t in ROWS], "doc_id long, text string, score double")
-    got = [(r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
-            round(r["base_score"], 6)) for r in score_documents(df).collect()]
-    assert sorted(got, key=str) == sorted(plain(ROWS), key=str)
+    assert scored(df, order=order, false_pass=1e-6) == sorted(plain(ROWS, order), key=str)
+
+
+def test_both_ways_give_the_same_scores(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(bloom_lm, "SEGMENT_GRAMS", 1 << 12)
+    one = scored(df)
+    monkeypatch.setattr(bloom_lm, "BROADCAST_BYTES", 0)
+    assert scored(df) == one
+
+
+def test_long_words_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "FREQUENT_BYTES", 1000)
+    rows = [(1, "x" * 200_000 + " a b"), (2, "x" * 200_000), (3, "a b c " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert scored(df, false_pass=1e-6) == sorted(plain(rows), key=str)
+
+
+def test_copies_score_above_what_is_said_once(spark):
+    rows = [(i, f"t{i} u{i} v{i} w{i} x{i}") for i in range(300)] + [(900 + i, f"t{i} u{i} v{i} w{i} x{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in score_documents(df, false_pass=1e-6).collect() if not r["held_out"]}
+    twice = [i for i in range(9) if i in got and 900 + i in got]
+    once = [got[i]["score"] for i in range(9, 300) if i in got]
+    assert twice and all(got[i]["score"] > max(once) for i in twice)
 
 
 def test_model_likes_what_it_learnt(spark):
@@ -61,15 +104,27 @@ def test_no_rows(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_filter_gives_levels_back():
-    rng = np.random.default_rng(3)
-    grams = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
-    counts = rng.geometric(0.2, grams.size) ** 2
-    bits = np.zeros((bloom_lm.SEGMENTS, bloom_lm.SEGMENT_BITS >> 3), np.uint8)
-    for segment in np.unique(_segments(grams)):
-        own = _segments(grams) == segment
-        bits[segment] = fill(grams[own], counts[own])
-    found = probe(Filter(bits), grams)
-    exact = bloom_lm.COUNT_OF_LEVEL[level(counts)]
-    assert (found >= exact).all() and (found == exact).mean() > 0.99
-    assert (probe(Filter(bits), grams ^ np.uint64(1)) == 0).mean() > 0.99
+def built(grams, counts, segments, false_pass):
+    data, starts, sizes = [], [], []
+    for segment in range(segments):
+        own = _segments(grams, segments) == segment
+        size, bits = fill(grams[own], counts[own], false_pass)
+        starts.append(sum(map(len, data)))
+        sizes.append(size)
+        data.append(bits)
+    return Filter(np.concatenate(data), np.array(starts), np.array(sizes))
+
+
+@pytest.mark.parametrize("kinds", [2_000, 200_000])
+@pytest.mark.parametrize("false_pass", [0.0625, 0.01])
+def test_false_passes_stay_at_their_rate_at_every_size(kinds, false_pass):
+    rng = np.random.default_rng(kinds)
+    grams = np.unique(rng.integers(0, 1 << 64, kinds, dtype=np.uint64))
+    counts = rng.geometric(0.5, grams.size) ** 2
+    held = built(grams, counts, 16, false_pass)
+    found, exact = levels_of(held, grams), level(counts)
+    assert (found >= exact).all()
+    assert (found > exact).mean() < 1.3 * false_pass + 0.01
+    unseen = rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    assert (levels_of(held, unseen) > 0).mean() < 1.2 * false_pass + 0.003
+    assert 8 * len(held.data) < 12 * exact.sum() * math.log2(1 / false_pass) / 4 + 16 * 80

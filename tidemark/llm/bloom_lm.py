@@ -5,9 +5,14 @@ the filter once for each level up to its own. A reader probes level after level
 until one is missing; the last one found is the count's logarithm. Errors are
 one-sided and, as every level is a probe of its own, rare for high levels.
 
-The filter has a fixed number of bits, so its broadcast does not grow. It is
-built in segments: an n-gram's hash names the one segment all its probes fall in,
-segments are the key of the only shuffle, and each is filled by one task.
+The filter grows with the corpus. It is built in segments: an n-gram's hash names
+the one segment all its probes fall in, segments are the key of the only shuffle,
+and each is filled by one task, which sizes it by the levels that go into it for a
+given rate of false passes. There are as many segments as the corpus calls for.
+
+A filter within ``BROADCAST_BYTES`` is broadcast. A larger one stays where it is:
+the distinct n-grams of each slice of texts go to their segments, packed, and
+their levels come back to the slice. Both ways give the same scores.
 """
 
 from __future__ import annotations
@@ -21,35 +26,41 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, column, kept, remainder, slices, spaced_words
 from tidemark.session import fresh_name
 
-SEGMENTS = 384
-SEGMENT_BITS = 1 << 20
+SEGMENT_GRAMS = 1 << 20
 PROBES = 2
+FALSE_PASS = 0.0625
+BROADCAST_BYTES = 96 << 20
+PROBED_BYTES = 32 << 20
 LEVELS_PER_DOUBLING = 2
 MAX_LEVEL = 96
 ORDER = 2
-MIXED = 0.3
+PRIOR = 1.0
 FREQUENT_WORDS = 200_000
+FREQUENT_BYTES = 8 << 20
 HELD_COUNTS = 150_000
 HELD_GRAMS = 1 << 20
 TEXT_BYTES = 1 << 20
 SEED = 7
 END = b"\n"
-SCHEMA = (
-    "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-    "base_score double, score double"
+PARTIAL = (
+    "id long, text_key long, word binary, weight double, rest double, n_rows long, n_tokens long, "
+    "n_known long, base double, own double"
 )
 
 
 class Filter(NamedTuple):
-    """The bits of all segments, one row each."""
+    """All segments' bits one after another, and where each starts (bytes) and how many bits it has."""
 
-    bits: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
 
 
 class Split(NamedTuple):
@@ -85,45 +96,57 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
-def _places(grams: np.ndarray, at: int) -> Iterator[np.ndarray]:
-    """Bit places, inside their segments, of the probes of one level."""
+def _places(grams: np.ndarray, at: int, sizes: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+    """Bit places, inside segments of ``sizes`` bits, of the probes of one level."""
     mixed = _mix(grams + np.uint64(at * 0xD1B54A32D192ED03 % (1 << 64)))
+    low, step = mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)
     for probe in range(PROBES):
-        yield (mixed >> np.uint64(21 * probe)).astype(np.int64) & SEGMENT_BITS - 1
+        half = low + np.uint64(probe) * step & np.uint64(0xFFFFFFFF)
+        yield (half * sizes >> np.uint64(32)).astype(np.int64)
 
 
-def _segments(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(40)).astype(np.int64) % SEGMENTS
+def _segments(grams: np.ndarray, count: int) -> np.ndarray:
+    """The segment of each n-gram; ``count`` is a power of two, and hashes in order give segments in order."""
+    bits = count.bit_length() - 1
+    return (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
 
 
-def fill(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One segment's bits, from its n-grams and their counts."""
-    bits = np.zeros(SEGMENT_BITS >> 3, np.uint8)
+def segment_size(levels: int, false_pass: float) -> int:
+    """Bits for so many levels, of which one not put in passes all its probes at the given rate."""
+    return 64 + math.ceil(levels * PROBES / -math.log1p(-false_pass ** (1 / PROBES)))
+
+
+def fill(grams: np.ndarray, counts: np.ndarray, false_pass: float) -> tuple[int, np.ndarray]:
+    """One segment's number of bits, and the bits, from its n-grams and their counts."""
     levels = level(counts)
+    size = segment_size(int(levels.sum()), false_pass)
+    bits = np.zeros(size, bool)
     at = 1
     while grams.size:
-        for place in _places(grams, at):
-            np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        for place in _places(grams, at, np.uint64(size)):
+            bits[place] = True
         at += 1
-        grams, levels = grams[levels >= at], levels[levels >= at]
-    return bits
+        more = levels >= at
+        grams, levels = grams[more], levels[more]
+    return size, np.packbits(bits, bitorder="little")
 
 
-def probe(held: Filter, grams: np.ndarray) -> np.ndarray:
-    """The counts the filter gives back, by probing level after level."""
-    flat = held.bits.reshape(-1)
-    levels = np.zeros(len(grams), np.int64)
+def levels_of(held: Filter, grams: np.ndarray) -> np.ndarray:
+    """The levels the filter gives back, by probing one after another."""
+    levels = np.zeros(len(grams), np.uint8)
     alive = np.arange(len(grams))
-    base = _segments(grams) * (SEGMENT_BITS >> 3)
+    segment = _segments(grams, len(held.sizes))
+    base, size = held.starts[segment], held.sizes[segment].astype(np.uint64)
     for at in range(1, MAX_LEVEL + 1):
         there = np.ones(len(alive), bool)
-        for place in _places(grams[alive], at):
-            there &= (flat[base[alive] + (place >> 3)] >> (place & 7).astype(np.uint8) & 1) == 1
-        alive = alive[there]
+        for place in _places(grams, at, size):
+            there &= (held.data[base + (place >> 3)] >> (place & 7).astype(np.uint8) & 1) == 1
+        if not there.all():
+            alive, grams, base, size = alive[there], grams[there], base[there], size[there]
         if not alive.size:
             break
         levels[alive] = at
-    return COUNT_OF_LEVEL[levels]
+    return levels
 
 
 class _Hashes(dict):
@@ -191,7 +214,9 @@ def word_counts(source: DataFrame, split: Split) -> DataFrame:
     )
 
 
-def _packed(batches: Iterator[pa.RecordBatch], split: Split, order: int) -> Iterator[pa.RecordBatch]:
+def _packed(
+    batches: Iterator[pa.RecordBatch], split: Split, order: int, segments: int
+) -> Iterator[pa.RecordBatch]:
     """N-grams of training documents and their counts, packed by segment."""
     hashes = _Hashes()
     held: list[np.ndarray] = []
@@ -199,16 +224,7 @@ def _packed(batches: Iterator[pa.RecordBatch], split: Split, order: int) -> Iter
 
     def flush() -> pa.RecordBatch:
         grams, counts = np.unique(np.concatenate(held), return_counts=True)
-        segments = _segments(grams)
-        by = np.argsort(segments, kind="stable")
-        grams, counts = grams[by], counts[by].astype("<u4")
-        own = np.unique(segments)
-        cuts = np.append(np.searchsorted(segments[by], own), len(grams)).tolist()
-        return pa.RecordBatch.from_arrays([
-            pa.array(own.astype(np.int32)),
-            pa.array([grams[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
-            pa.array([counts[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
-        ], names=["segment", "grams", "counts"])
+        return _by_segment(grams, segments, counts=counts.astype("<u4"))
 
     for ident, text in _rows(batches):
         if not _teaches(ident, split):
@@ -224,76 +240,77 @@ def _packed(batches: Iterator[pa.RecordBatch], split: Split, order: int) -> Iter
         yield flush()
 
 
-def build_filter(source: DataFrame, split: Split, order: int, tokens: int) -> DataFrame:
-    """``segment`` and ``bits`` of the filter over the training documents' n-grams.
+def _by_segment(grams: np.ndarray, segments: int, **others: np.ndarray) -> pa.RecordBatch:
+    """Ascending hashes, and what belongs to them, as one packed row for each segment."""
+    of = _segments(grams, segments)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    cuts = [*first.tolist(), len(of)]
+    packed = {name: pa.array([all_[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())
+              for name, all_ in {"grams": grams, **others}.items()}
+    return pa.RecordBatch.from_pydict({"segment": pa.array(of[first]), **packed})
+
+
+def segment_count(tokens: int, order: int) -> int:
+    """A power of two, such that no segment has to add up much over ``SEGMENT_GRAMS`` n-grams."""
+    return 1 << max(0, math.ceil(order * tokens / SEGMENT_GRAMS) - 1).bit_length()
+
 
-    Each segment's n-grams are cut by hash into as many shares as ``tokens``
-    asks for, so that no task grows with the corpus; a share's counts are added
-    up and put in a copy of the segment, and the copies are merged.
+def build_filter(
+    source: DataFrame, split: Split, order: int, segments: int, false_pass: float
+) -> DataFrame:
+    """``segment``, ``size`` (in bits) and ``bits`` of the filter over the training documents' n-grams.
+
+    Counts are added up per Arrow slice, then per segment. With the number of
+    segments that ``segment_count`` gives, no task grows with the corpus.
     """
-    shares = 1 + order * tokens // (SEGMENTS * HELD_GRAMS)
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _packed(batches, split, order):
-            if shares == 1:
-                yield batch.append_column("share", pa.array(np.zeros(batch.num_rows, np.int32)))
-                continue
-            for segment, raw, counted in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                grams, counts = np.frombuffer(raw, np.uint64), np.frombuffer(counted, "<u4")
-                share = (_mix(grams) % np.uint64(shares)).astype(np.int32)
-                own = np.unique(share)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(own), segment, np.int32)),
-                    pa.array([grams[share == one].tobytes() for one in own], pa.binary()),
-                    pa.array([counts[share == one].tobytes() for one in own], pa.binary()),
-                    pa.array(own),
-                ], names=["segment", "grams", "counts", "share"])
 
     def filled(table: pa.Table) -> pa.Table:
         grams = np.frombuffer(b"".join(table.column("grams").to_pylist()), np.uint64)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
         own, where = np.unique(grams, return_inverse=True)
-        total = np.bincount(where, weights=counts)
-        return pa.table({"segment": table.column("segment")[:1],
-                         "bits": pa.array([fill(own, total).tobytes()], pa.binary())})
-
-    def merged(table: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT_BITS >> 3, np.uint8)
-        for one in table.column("bits").to_pylist():
-            bits |= np.frombuffer(one, np.uint8)
-        return pa.table({"segment": table.column("segment")[:1],
+        size, bits = fill(own, np.bincount(where, weights=counts), false_pass)
+        return pa.table({"segment": table.column("segment")[:1], "size": pa.array([size]),
                          "bits": pa.array([bits.tobytes()], pa.binary())})
 
     return (
         source.select("id", "text")
-        .mapInArrow(dealt, "segment int, grams binary, counts binary, share int")
-        .groupBy("segment", "share").applyInArrow(filled, "segment int, bits binary")
-        .groupBy("segment").applyInArrow(merged, "segment int, bits binary")
+        .mapInArrow(lambda batches: _packed(batches, split, order, segments),
+                    "segment long, grams binary, counts binary")
+        .groupBy("segment").applyInArrow(filled, "segment long, size long, bits binary")
     )
 
 
-def _gather(segments: DataFrame) -> Filter:
-    """The whole filter on the driver: at most ``SEGMENTS`` rows of fixed size."""
-    bits = np.zeros((SEGMENTS, SEGMENT_BITS >> 3), np.uint8)
-    for row in segments.toLocalIterator():
-        bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(bits)
+def _gather(kept_segments: DataFrame, segments: int, total: int) -> Filter:
+    """The whole filter on the driver, whose ``total`` bytes the caller has checked."""
+    data = np.zeros(total + 8, np.uint8)
+    # A segment without any n-gram reads as 64 clear bits.
+    starts, sizes = np.full(segments, total, np.int64), np.full(segments, 64, np.int64)
+    at = 0
+    for row in kept_segments.toLocalIterator():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        data[at:at + len(bits)] = bits
+        starts[row["segment"]], sizes[row["segment"]] = at, row["size"]
+        at += len(bits)
+    return Filter(data, starts, sizes)
 
 
 def _frequent(counts: DataFrame) -> list[tuple[bytes, bytes]]:
-    """Training counts of the words seen most, at most ``FREQUENT_WORDS``, packed by partition.
+    """Training counts of the words seen most, packed by partition.
+
+    At most ``FREQUENT_WORDS`` words of ``FREQUENT_BYTES`` in all.
 
     The least number of occurrences is read off a table of sizes, so the words
     need no global sort; the driver only passes the packed bytes on.
     """
     sizes = sorted(
-        ((row["size"], row["words"]) for row in
+        ((row["size"], row["words"], row["held"]) for row in
          counts.groupBy(F.floor(F.log2("seen") * 8).alias("size"))
-         .agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    least, total = None, 0
-    for size, words in sizes:
-        total += words
-        if total > FREQUENT_WORDS:
+         .agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("held"))
+         .collect()), reverse=True)
+    least, total, held = None, 0, 0
+    for size, words, own in sizes:
+        total, held = total + words, held + own
+        if total > FREQUENT_WORDS or held > FREQUENT_BYTES:
             break
         least = size
     if least is None:
@@ -332,14 +349,18 @@ def score_documents(
     text_column: str = "text",
     split: Split = Split(7, 2),
     order: int = ORDER,
+    false_pass: float = FALSE_PASS,
+    prior: float = PRIOR,
 ) -> DataFrame:
     """One row per input row: the base score of single words, and the model's score.
 
     ``base_score`` adds up ``log10((c + 1) / (N + V + 1))`` with exact counts. The
-    model mixes that share with the shares of a word after the words before it,
-    ``count(h, w) / count(h)``, both counts read from the filter; a longer
-    history weighs as much against all shorter ones. The text starts, like it ends,
-    with an end mark. Counts of the ``FREQUENT_WORDS`` words seen most are
+    model refines that share by the words before, one more at a time:
+    ``(count(h, w) + prior * lower) / (count(h) + prior)``, with ``lower`` what
+    the shorter history gives. Both counts are read from the filter, so they are
+    the middles of their levels; ``false_pass`` is the rate at which a level that
+    was not counted reads as if it were. The text starts, like it ends,
+    with an end mark. Counts of the words seen most (``FREQUENT_WORDS``, ``FREQUENT_BYTES``) are
     broadcast; the others meet their counts in a join, so no vocabulary is too
     large.
 
@@ -355,29 +376,45 @@ def score_documents(
     totals = counts.agg(F.sum("taught"), F.sum((F.col("taught") > 0).cast("long"))).first()
     tokens, kinds = totals[0] or 0, totals[1] or 0
     whole = tokens + kinds + 1
-    segments = kept(build_filter(source, split, order, tokens), "filter")
-    shared = spark.sparkContext.broadcast((fresh_name("words"), _gather(segments), _frequent(counts)))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, packed = shared.value
-        frequent = _vocabulary(key, packed)
-        hashes = _Hashes()
-        for batch in batches:
-            for part in slices(batch, TEXT_BYTES):
-                yield from _score_part(part, held, frequent, hashes, whole, order)
-
-    partial = source.mapInArrow(
-        scored, "id long, text_key long, word binary, weight double, n_rows long, n_tokens long, "
-                "n_known long, base double, own double")
+    segments = segment_count(tokens, order)
+    built = kept(build_filter(source, split, order, segments, false_pass), "filter")
+    held_bytes = built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast((fresh_name("words"), _frequent(counts)))
+    if held_bytes <= BROADCAST_BYTES:
+        gathered = spark.sparkContext.broadcast(_gather(built, segments, held_bytes))
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent = _vocabulary(*shared.value)
+            hashes = _Hashes()
+            for batch in batches:
+                for part in slices(batch, TEXT_BYTES):
+                    laid = _lay(part, hashes, order)
+                    yield from _score_part(
+                        part, laid, levels_of(gathered.value, laid.grams), frequent, whole, prior)
+
+        partial = source.mapInArrow(scored, PARTIAL)
+    else:
+        parted, answers = _ask_segments(source, built, segments, order)
+
+        def answered(texts: pa.Table, found: pa.Table) -> pa.Table:
+            row = texts.to_pylist()[0]
+            part = pa.RecordBatch.from_pydict({
+                "id": pa.array(row["ids"], pa.int64()), "text_key": pa.array(row["keys"], pa.int64()),
+                "text": pa.array(row["texts"], pa.large_binary())})
+            by = sorted(zip(found.column("segment").to_pylist(), found.column("levels").to_pylist()))
+            levels = np.frombuffer(b"".join([one for _, one in by]), np.uint8)
+            return pa.Table.from_batches(list(_score_part(
+                part, _lay(part, _Hashes(), order), levels, _vocabulary(*shared.value), whole, prior)))
+
+        partial = parted.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(answered, PARTIAL)
     rare = F.coalesce("taught", F.lit(0))
     share = (rare + 1) / F.lit(float(whole))
     is_word = F.col("n_rows") == 0
-    rest = F.lit((1 - MIXED) ** (order - 1))
     met = partial.join(counts.select("word", "taught"), "word", "left").select(
         "id", "text_key", "n_rows", "n_tokens",
         F.when(is_word, (rare > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
         F.when(is_word, F.log10(share)).otherwise(F.col("base")).alias("base"),
-        F.when(is_word, F.log10(F.col("weight") + rest * share)).otherwise(F.col("own")).alias("own"))
+        F.when(is_word, F.log10(F.col("weight") + F.col("rest") * share)).otherwise(F.col("own")).alias("own"))
     summed = met.groupBy("id", "text_key").agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("own").alias("own"))
@@ -398,35 +435,141 @@ def _fold(ident: Column, split: Split) -> Column:
     return remainder(ident, split.divisor)
 
 
-def _score_part(
-    part: pa.RecordBatch, held: Filter, frequent: dict[bytes, int], hashes: _Hashes,
-    whole: int, order: int,
-) -> Iterator[pa.RecordBatch]:
-    """A row of sums for each text, and a row for each word whose count has to be looked up."""
+class _Laid(NamedTuple):
+    """A slice's words, and the distinct n-grams their shares need.
+
+    ``places`` has, for each history's length, the words that have such a
+    history, and where the n-gram and the history stand in ``grams``.
+    """
+
+    words: list[bytes]
+    lengths: np.ndarray
+    grams: np.ndarray
+    places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _lay(part: pa.RecordBatch, hashes: _Hashes, order: int) -> _Laid:
     split = [spaced_words(text) for text in as_bytes(part.column("text"))]
     words = [word for one in split for word in (*one, END)]
     lengths = np.fromiter(map(len, split), np.int64, len(split)) + 1
+    starts = np.cumsum(lengths) - lengths
+    # Every text is laid out after an end mark; histories that reach before it are left out.
+    laid = np.insert(hashes.of(words), starts, _START[0])
+    text = np.repeat(np.arange(len(starts)), lengths)
+    at = np.arange(len(words)) + text + 1
+    room = at - (starts + np.arange(len(starts)))[text]
+    needed, wanted = [], []
+    for size in range(2, order + 1):
+        inside = np.flatnonzero(room >= size - 1)
+        begin = at[inside] - (size - 1)
+        needed += [gram_hashes(laid, size)[begin], gram_hashes(laid, size - 1)[begin]]
+        wanted.append(inside)
+    if not needed:
+        return _Laid(words, lengths, np.zeros(0, np.uint64), [])
+    grams, where = np.unique(np.concatenate(needed), return_inverse=True)
+    own = np.split(where, np.cumsum([len(one) for one in needed])[:-1])
+    return _Laid(words, lengths, grams, list(zip(wanted, own[::2], own[1::2])))
+
+
+def _ask_segments(
+    source: DataFrame, built: DataFrame, segments: int, order: int
+) -> tuple[DataFrame, DataFrame]:
+    """Slices of texts under a number each, and the levels of their n-grams by slice and segment.
+
+    A segment that is asked for over ``PROBED_BYTES`` is copied to as many tasks as
+    that takes, and each slice asks one of them.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, TEXT_BYTES):
+                yield pa.RecordBatch.from_pydict({
+                    "slice": pa.array([number]),
+                    "ids": pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
+                    "keys": pa.array([part.column("text_key").to_pylist()], pa.list_(pa.int64())),
+                    "texts": pa.array([as_bytes(part.column("text"))], pa.list_(pa.binary()))})
+                number += 1
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for number, texts in zip(*(batch.column(name).to_pylist() for name in ("slice", "texts"))):
+                part = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_binary())})
+                rows = _by_segment(_lay(part, hashes, order).grams, segments)
+                yield rows.append_column("slice", pa.array(np.full(rows.num_rows, number)))
+
+    def answered(rows: pa.Table, segment: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"slice": [], "segment": [], "levels": []}, schema=pa.schema(
+                [("slice", pa.int64()), ("segment", pa.int64()), ("levels", pa.binary())]))
+        packed = rows.column("grams").to_pylist()
+        grams = np.frombuffer(b"".join(packed), np.uint64)
+        if segment.num_rows:
+            levels = _levels_in(segment, grams).tobytes()
+        else:
+            levels = bytes(len(grams))
+        cuts = (np.cumsum([0, *map(len, packed)]) >> 3).tolist()
+        return pa.table({
+            "slice": rows.column("slice"), "segment": rows.column("segment"),
+            "levels": pa.array([levels[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())})
+
+    parted = kept(source.mapInArrow(
+        cut, "slice long, ids array<long>, keys array<long>, texts array<binary>"), "slices")
+    probes = kept(parted.select("slice", "texts").mapInArrow(
+        asked, "segment long, grams binary, slice long"), "probes")
+    copies = (
+        probes.groupBy("segment").agg(F.sum(F.octet_length("grams")).alias("asked"))
+        .select("segment", F.ceil(F.col("asked") / PROBED_BYTES).alias("copies"))
+        .where(F.col("copies") > 1)
+    )
+    many = F.coalesce("copies", F.lit(1))
+    rows = probes.join(copies, "segment", "left").select(
+        "segment", "grams", "slice", F.pmod(F.xxhash64("slice"), many).alias("copy"))
+    placed = built.join(copies, "segment", "left").select(
+        "segment", "size", "bits", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("copy"))
+    answers = rows.groupBy("segment", "copy").cogroup(placed.groupBy("segment", "copy")).applyInArrow(
+        answered, "slice long, segment long, levels binary")
+    return parted, answers
+
+
+def _levels_in(segment: pa.Table, grams: np.ndarray) -> np.ndarray:
+    bits = np.frombuffer(segment.column("bits")[0].as_py(), np.uint8)
+    one = Filter(bits, np.zeros(1, np.int64), np.array([segment.column("size")[0].as_py()]))
+    return levels_of(one, grams)
+
+
+def _score_part(
+    part: pa.RecordBatch, laid: _Laid, levels: np.ndarray, frequent: dict[bytes, int],
+    whole: int, prior: float,
+) -> Iterator[pa.RecordBatch]:
+    """A row of sums for each text, and a row for each word whose count has to be looked up."""
+    words, lengths = laid.words, laid.lengths
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    own = hashes.of(words)
-    weight = np.zeros(len(words))
-    for size in range(2, order + 1):
-        weight = MIXED * _after(own, starts, lengths, size, held) + (1 - MIXED) * weight
+    counts = COUNT_OF_LEVEL[levels]
+    # A word's probability is weight + rest * share, whatever its share turns out to be.
+    weight, rest = np.zeros(len(words)), np.ones(len(words))
+    for inside, gram, history in laid.places:
+        before = counts[history]
+        after = np.minimum(counts[gram], before)
+        weight[inside] = (after + prior * weight[inside]) / (before + prior)
+        rest[inside] *= prior / (before + prior)
     known = np.fromiter((frequent.get(word, -1) for word in words), np.int64, len(words))
     rare = np.flatnonzero(known < 0)
     share = (known + 1) / whole
-    rest = (1 - MIXED) ** (order - 1)
     with np.errstate(divide="ignore"):
         base, mine = np.log10(share), np.log10(weight + rest * share)
     base[rare] = mine[rare] = 0
     ids, keys = part.column("id").to_pylist(), part.column("text_key").to_pylist()
-    names = ["id", "text_key", "word", "weight", "n_rows", "n_tokens", "n_known", "base", "own"]
+    names = ["id", "text_key", "word", "weight", "rest", "n_rows", "n_tokens", "n_known", "base", "own"]
     count = part.num_rows
     yield pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
         # White space is in no word, so these meet no count; each goes its own way.
         pa.array([f" {one} {key}".encode() for one, key in zip(ids, keys)], pa.binary()),
-        pa.array(np.zeros(count)), pa.array(np.ones(count, np.int64)), pa.array(lengths),
+        pa.array(np.zeros(count)), pa.array(np.zeros(count)),
+        pa.array(np.ones(count, np.int64)), pa.array(lengths),
         pa.array(np.add.reduceat((known > 0).astype(np.int64), starts)),
         pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mine, starts)),
     ], names=names)
@@ -436,23 +579,6 @@ def _score_part(
         yield pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(keys, pa.int64()).take(pa.array(of)),
             pa.array([words[at] for at in rare.tolist()], pa.binary()), pa.array(weight[rare]),
-            none, none, none, pa.array(np.zeros(rare.size)), pa.array(np.zeros(rare.size)),
+            pa.array(rest[rare]), none, none, none,
+            pa.array(np.zeros(rare.size)), pa.array(np.zeros(rare.size)),
         ], names=names)
-
-
-def _after(
-    own: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int, held: Filter
-) -> np.ndarray:
-    """Each word's share after the ``size - 1`` words before it; 0 where that history is unknown."""
-    # Every text is laid out after an end mark; histories that reach before it are left out.
-    laid = np.insert(own, starts, _START[0])
-    first = starts + np.arange(len(starts))
-    at = np.arange(len(own)) + np.repeat(np.arange(len(starts)), lengths) + 1
-    inside = at - np.repeat(first, lengths) >= size - 1
-    begin = at[inside] - (size - 1)
-    grams, where = np.unique(gram_hashes(laid, size)[begin], return_inverse=True)
-    histories, before = np.unique(gram_hashes(laid, size - 1)[begin], return_inverse=True)
-    top, below = probe(held, grams)[where], probe(held, histories)[before]
-    found = np.zeros(len(own))
-    found[inside] = np.minimum(1.0, np.divide(top, below, out=np.zeros_like(top), where=below > 0))
-    return found
