@@ -38,7 +38,8 @@ def plain(rows, order=2, prior=bloom_lm.PRIOR):
                 history = tuple(laid[at - n:at])
                 before = middle(grams[history])
                 after = min(middle(grams[history + (laid[at],)]), before)
-                now = (after + prior * now) / (before + prior)
+                trust = bloom_lm.MIXED * before / (before + prior)
+                now = (trust * after / before if before else 0) + (1 - trust) * now
             score += math.log10(now)
         found.append((i, held[i], len(run), sum(counts[w] > 0 for w in run),
                       sum(counts.values()), round(base, 6), round(score, 6)))

@@ -41,6 +41,7 @@ PROBED_BYTES = 32 << 20
 LEVELS_PER_DOUBLING = 2
 MAX_LEVEL = 96
 ORDER = 2
+MIXED = 0.3
 PRIOR = 1.0
 FREQUENT_WORDS = 200_000
 FREQUENT_BYTES = 8 << 20
@@ -356,8 +357,9 @@ def score_documents(
 
     ``base_score`` adds up ``log10((c + 1) / (N + V + 1))`` with exact counts. The
     model refines that share by the words before, one more at a time:
-    ``(count(h, w) + prior * lower) / (count(h) + prior)``, with ``lower`` what
-    the shorter history gives. Both counts are read from the filter, so they are
+    ``trust * count(h, w) / count(h) + (1 - trust) * lower``, with ``lower`` what
+    the shorter history gives, and a ``trust`` that rises with the history's
+    count, ``MIXED * count(h) / (count(h) + prior)``. Both counts are read from the filter, so they are
     the middles of their levels; ``false_pass`` is the rate at which a level that
     was not counted reads as if it were. The text starts, like it ends,
     with an end mark. Counts of the words seen most (``FREQUENT_WORDS``, ``FREQUENT_BYTES``) are
@@ -553,8 +555,9 @@ def _score_part(
     for inside, gram, history in laid.places:
         before = counts[history]
         after = np.minimum(counts[gram], before)
-        weight[inside] = (after + prior * weight[inside]) / (before + prior)
-        rest[inside] *= prior / (before + prior)
+        lower = 1 - MIXED * before / (before + prior)
+        weight[inside] = MIXED * after / (before + prior) + lower * weight[inside]
+        rest[inside] *= lower
     known = np.fromiter((frequent.get(word, -1) for word in words), np.int64, len(words))
     rare = np.flatnonzero(known < 0)
     share = (known + 1) / whole
