@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -148,7 +150,8 @@ _OTHERS = [byte for byte in range(256) if byte not in _PRINTABLE]
 _AS_CHARACTERS = {byte: byte if byte in _PRINTABLE else 0x100 + _OTHERS.index(byte) for byte in range(256)}
 
 _ABOVE_LATIN_1 = bytes(range(0xC4))
-_LONE_MARK = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)")
+_LONE_MARK = re.compile(
+    rb"[,.](?:(?<=[a-z][,.])|(?<=\xc3[\x9f-\xb6\xb8-\xbf][,.]))(?=\s|$)")
 _PLAIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -157,8 +160,8 @@ class _Chunks:
 
     White space takes part in no piece, so a text's ids are those of its chunks,
     and a comma or full stop between a letter and white space is a piece of its
-    own. The tokenizer puts letters in lower case; ASCII ones can be beforehand
-    where no combining mark, which they might be composed with, is in the text.
+    own. The tokenizer puts letters in lower case; that can be done beforehand
+    where all the text is Latin-1, so that no combining mark is in it.
     A chunk of small Latin-1 letters is one piece that no step before the merges
     changes, and goes to the model alone.
 
@@ -196,23 +199,41 @@ class _Known(dict):
         super().__init__()
         # What comes here holds no added token as the text has it.
         tokenizer.encode_special_tokens = True
-        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
 
     def __missing__(self, chunk: bytes) -> bytes:
         word = chunk.decode()
-        if _PLAIN_WORD.fullmatch(word):
-            pieces = self.model.tokenize(chunk.decode("latin-1").translate(_AS_CHARACTERS))
+        if chunk.isalpha() and chunk.islower():
+            ids = [piece.id for piece in self.tokenize(word)]
+        elif _PLAIN_WORD.fullmatch(word):
+            pieces = self.tokenize(chunk.decode("latin-1").translate(_AS_CHARACTERS))
             ids = [piece.id for piece in pieces]
         else:
             ids = self.encode(word, add_special_tokens=False).ids
-        found = self[chunk] = b"".join([one.to_bytes(4, "little") for one in ids])
+        packed = array("I", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        found = self[chunk] = packed.tobytes()
         return found
 
 
 def _split(text: bytes) -> list[bytes]:
-    if not text.translate(None, _ABOVE_LATIN_1):
+    if text.isascii():
         text = text.lower()
-    return _LONE_MARK.sub(rb" \1", text).split()
+    elif not text.translate(None, _ABOVE_LATIN_1):
+        text = text.decode().lower().encode()
+    return _LONE_MARK.sub(rb" \g<0>", text).split()
+
+
+_CHUNKS: dict[str, _Chunks] = {}
+
+
+def _chunks(tokenizer: str) -> _Chunks:
+    """What a worker process has met so far, for the tasks it runs in turn."""
+    if tokenizer not in _CHUNKS:
+        _CHUNKS.clear()
+        _CHUNKS[tokenizer] = _Chunks(tokenizer)
+    return _CHUNKS[tokenizer]
 
 
 def _must_fit(tokenizer: Tokenizer) -> None:
@@ -244,7 +265,7 @@ def tokenize(
     end = end_id.to_bytes(4, "little")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(shared.value)
+        chunks = _chunks(shared.value)
         for batch in batches:
             for part in slices(batch, TEXT_BYTES):
                 found = chunks.encode(as_bytes(part.column("text")))
