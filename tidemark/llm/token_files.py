@@ -307,7 +307,8 @@ def write_token_files(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) ->
     Rows are dealt to shards by ranges of id, so the shards in turn hold the ids
     in ascending order, nulls first; rows of one id follow a hash of their
     codes, which also lets many of them fall in several shards. Only the
-    counts of ids come to the driver, as many as the vocabulary has.
+    counts of ids come to the driver, as many as the vocabulary has. The codes
+    stay under ``path`` as they were before the deal, too.
     """
     spark = tokens.sparkSession
     found = id_counts(tokens).collect()
@@ -363,8 +364,11 @@ def write_token_files(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) ->
         if held:
             yield flush()
 
+    # The range shuffle reads its input twice, once for the bounds; the coding is done once.
+    shape = "id long, size long, payload binary, checkpoints binary"
+    tokens.mapInArrow(coded, shape).write.parquet(f"{path}/unsorted")
     (
-        tokens.mapInArrow(coded, "id long, size long, payload binary, checkpoints binary")
+        spark.read.schema(shape).parquet(f"{path}/unsorted")
         .withColumn("tie", F.xxhash64("payload"))
         .repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "payload")
         .select("id", "size", "payload", "checkpoints")
