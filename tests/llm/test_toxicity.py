@@ -97,3 +97,51 @@ def test_the_slope_leads_down():
     scores = Scorer(model).scores([b" ".join(one) for one in docs])
     assert ((scores > 0.5) == labels).all()
     assert alnum_words(b"Vile, w1") == [b"vile", b"w1"]
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    import tidemark.llm.toxicity as toxicity
+
+    rows = made(1200)
+    docs = spark.createDataFrame([(i, t, l) for i, t, l, _ in rows] + [(1, "w1 vile " * 200_000, "en")],
+                                 "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 250)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 80)
+    shards = toxicity._shards(docs, labels, "doc_id", "text", "lang", "doc_id", "toxic")
+    written = shards.collect()
+    used = [i for i, _, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    extra = int(zlib.crc32(b"1") % 4 != 2)  # a text over 1 MB, of an id that another row has too
+    assert len({row["shard"] for row in written}) > 3 and len(written) == len(used) + extra
+    assert max(len(row["buckets"]) for row in written) == 6 * (400_000 if extra else 59)
+    model = train(docs, labels)
+    assert set(model.thresholds) == {None, "en", "de"}
+    score = dict(score_toxicity(docs.where("length(text) < 9999"), model).select("id", "score").collect())
+    held = [(i, y) for i, _, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(score[i] >= 0.3) == bool(y) for i, y in held]) > 0.95
+
+
+def test_thresholds_by_spark_are_those_of_all_rows(spark):
+    import tidemark.llm.toxicity as toxicity
+
+    rng = random.Random(4)
+    for count in (0, 1, 40, 3000):
+        rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([0.0, 1.0, 0.25, rng.random() ** 8]))
+                for _ in range(count)]
+        rows = [(lang, score, 0 if lang == "c" else int(rng.random() < score)) for lang, score in rows]
+        found = toxicity.best_thresholds(
+            spark, spark.createDataFrame(rows, "lang string, score double, label int"))
+        langs, scores, labels = zip(*rows) if rows else ((), (), ())
+        assert found == calibrate(np.array(scores), np.array(labels), list(langs))
+
+
+def test_a_long_text_is_trained_in_pieces(monkeypatch):
+    import tidemark.llm.toxicity as toxicity
+
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 90, (size, 3)) for size in (0, 1, 700, 40, 64, 3)]
+    labels = np.array([0, 1, 1, 0, 1, 0], np.float32)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 40)
+    whole = fit(docs, labels)
+    monkeypatch.setattr(toxicity, "RUN_WORDS", 64)
+    assert np.allclose(whole.vectors, fit(docs, labels).vectors, atol=1e-3)

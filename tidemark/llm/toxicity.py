@@ -3,12 +3,13 @@
 A word is embedded as the sum of hashed vectors of the word and of its first
 four and six bytes, so that forms of one stem share what is learnt. Filters of
 one, two and three words slide over the text, each filter's largest answer is
-kept, and a logistic layer weighs them. Training takes a bounded sample of
-labelled rows; scoring reads every text whole.
+kept, and a logistic layer weighs them. Training takes every labelled row, in
+shards; scoring reads every text whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
 import zlib
@@ -17,10 +18,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alnum_words, as_bytes, column, remainder, slices
+from tidemark.llm.common import alnum_words, as_bytes, column, kept, remainder, slices
+from tidemark.session import scratch_path
 
 BUCKETS = 1 << 16
 SIZE = 12
@@ -28,8 +31,14 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 PARTS = sum(WIDTHS)
 PAD = max(WIDTHS)
-TRAIN_ROWS = 12_000
-TRAIN_TEXT_BYTES = 1 << 20
+# A shard of the labelled rows is what one task trains on at a time.
+SHARD_ROWS = 12_000
+SHARD_BYTES = 128 << 20
+# Labels up to this many are broadcast to the documents, more are joined by a shuffle.
+BROADCAST_LABELS = 1 << 21
+RUN_WORDS = 1 << 15
+# Ranges of score that are counted apart, for each unit of the log of its odds.
+CELLS = 32
 EPOCHS = 3
 LEAST_STEPS = 800
 LEAST_DOCS = 2
@@ -72,90 +81,170 @@ def _responses(parts: np.ndarray, count: int) -> list[np.ndarray]:
     return found
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
-    """Train on documents given as (words x 3) bucket arrays; without thresholds.
+class State(NamedTuple):
+    """A model under training: word vectors and their step sizes, the dense weights
+    (filters, bias, weight, offset) with their running moments, and the steps taken."""
+
+    vectors: np.ndarray
+    spread: np.ndarray
+    dense: list[np.ndarray]
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    step: int
+    rng: np.random.Generator
+
+
+def begin(met: np.ndarray, share: float, seed: int = 1) -> State:
+    """Where training starts: ``met`` tells in how many documents each bucket occurs.
 
     Buckets met in fewer than ``LEAST_DOCS`` documents can teach nothing about
     others; they, and buckets never met, have a vector of zeros.
-    With labels of one kind only, or none, the score is that kind's share for
-    every text (one half if there are none).
     """
     rng = np.random.default_rng(seed)
-    met = np.zeros(BUCKETS, np.int64)
-    for one in docs:
-        met[np.unique(one)] += 1
-    docs = [np.where(met[one] >= LEAST_DOCS, one, BUCKETS) for one in docs]
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
     vectors = rng.normal(0, 0.1, (BUCKETS + 1, SIZE)).astype(np.float32)
     vectors[np.append(met < LEAST_DOCS, True)] = 0
     filters = rng.normal(0, 0.3, (SIZE, PARTS * FILTERS)).astype(np.float32)
     bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
     weight = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
-    offset = np.array([math.log(share / (1 - share))], np.float32)
-    if len(set(labels.tolist())) < 2:
-        return Model(vectors, filters, bias, 0 * weight, float(offset[0]), {})
-    dense = [filters, bias, weight, offset]
-    first = [np.zeros_like(one) for one in dense]
-    second = [np.zeros_like(one) for one in dense]
-    spread = np.full((BUCKETS + 1, 1), 1e-6, np.float32)
-    step = 0
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(docs)))
-    for epoch in range(epochs):
+    dense = [filters, bias, weight, np.array([math.log(share / (1 - share))], np.float32)]
+    return State(vectors, np.full((BUCKETS + 1, 1), 1e-6, np.float32), dense,
+                 [np.zeros_like(one) for one in dense], [np.zeros_like(one) for one in dense], 0, rng)
+
+
+def known_buckets(met: np.ndarray) -> np.ndarray:
+    """For each bucket itself, or ``BUCKETS`` if too few documents have it."""
+    return np.where(met >= LEAST_DOCS, np.arange(BUCKETS, dtype=np.int32), BUCKETS).astype(np.int32)
+
+
+def finished(state: State, learnt: bool = True) -> Model:
+    """The model of a state; not ``learnt`` (labels of one kind), it scores all texts alike."""
+    filters, bias, weight, offset = state.dense
+    return Model(state.vectors, filters, bias, weight if learnt else 0 * weight, float(offset[0]), {})
+
+
+def count_met(docs: list[np.ndarray]) -> np.ndarray:
+    """In how many documents each bucket occurs."""
+    met = np.zeros(BUCKETS, np.int64)
+    for one in docs:
+        met[one.ravel()] += 1  # once for each distinct index
+    return met
+
+
+def epochs_for(rows: float) -> int:
+    """Passes over so many rows."""
+    return max(EPOCHS, math.ceil(LEAST_STEPS * BATCH / rows))
+
+
+def learn(
+    state: State, docs: list[np.ndarray], labels: np.ndarray, known: np.ndarray,
+    epochs: range, of: int, rng: np.random.Generator | None = None,
+) -> State:
+    """``state`` after the passes ``epochs``, of ``of`` in all, over the documents."""
+    rng = rng or state.rng
+    step = state.step
+    for epoch in epochs:
         order = rng.permutation(len(docs))
         for start in range(0, len(order), BATCH):
-            chosen = order[start:start + BATCH]
             step += 1
-            _step(docs, labels, chosen, vectors, spread, dense, first, second, step,
-                  0.01 * (1 - epoch / epochs))
-    return Model(vectors, filters, bias, weight, float(offset[0]), {})
+            _step(docs, labels, order[start:start + BATCH], known, state, step, 0.01 * (1 - epoch / of))
+    return state._replace(step=step)
 
 
-def _step(docs, labels, chosen, vectors, spread, dense, first, second, step, rate) -> None:
+def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
+    """Train on documents given as (words x 3) bucket arrays; without thresholds.
+
+    With labels of one kind only, or none, the score is that kind's share for
+    every text (one half if there are none).
+    """
+    met = count_met(docs)
+    state = begin(met, (labels.sum() + 0.5) / (len(labels) + 1), seed)
+    if len(set(labels.tolist())) < 2:
+        return finished(state, learnt=False)
+    epochs = epochs_for(len(docs))
+    return finished(learn(state, docs, labels, known_buckets(met), range(epochs), epochs))
+
+
+def _runs(docs: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]]]:
+    """The documents in runs of about ``RUN_WORDS``, as (row, first, end); longer ones in pieces."""
+    run, words = [], 0
+    for row, one in enumerate(docs):
+        for first in range(0, max(1, len(one)), RUN_WORDS):
+            end = min(len(one), first + RUN_WORDS)
+            if run and words + end - first > RUN_WORDS:
+                yield run
+                run, words = [], 0
+            run.append((row, first, end))
+            words += end - first
+    if run:
+        yield run
+
+
+def _pool(
+    vectors: np.ndarray, filters: np.ndarray, docs: list[np.ndarray], known: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest answer in each document, and the buckets of the words that gave it."""
+    pooled = np.full((len(docs), len(WIDTHS), FILTERS), -np.inf, np.float32)
+    where = np.full((len(docs), len(WIDTHS), FILTERS, PAD, 3), BUCKETS, np.int32)
+    each = np.arange(FILTERS)
+    for run in _runs(docs):
+        lengths = np.array([end - first for _, first, end in run])
+        starts = np.concatenate(([0], np.cumsum(lengths + PAD)[:-1]))
+        buckets = np.full((int((lengths + PAD).sum()) + PAD, 3), BUCKETS, np.int32)
+        for (row, first, end), start in zip(run, starts):
+            ahead = docs[row][first:end + PAD]
+            buckets[start:start + len(ahead)] = known[ahead]
+        words = vectors[buckets[:, 0]] + vectors[buckets[:, 1]] + vectors[buckets[:, 2]]
+        parts = (words @ filters).reshape(len(words), PARTS, FILTERS)
+        answers = _responses(parts, len(words) - PAD)
+        best = np.empty((len(run), len(WIDTHS), FILTERS), np.int64)
+        for at, ((row, first, end), start) in enumerate(zip(run, starts)):
+            # Where a document ends, a window of padding only counts too.
+            stop = start + end - first + (end == len(docs[row]))
+            for kind, answer in enumerate(answers):
+                best[at, kind] = start + answer[start:stop].argmax(0)
+        values = np.stack([answer[best[:, kind], each] for kind, answer in enumerate(answers)], 1)
+        found = buckets[best[..., None] + np.arange(PAD)]
+        for at, (row, _, _) in enumerate(run):
+            better = values[at] > pooled[row]
+            pooled[row][better] = values[at][better]
+            where[row][better] = found[at][better]
+    return pooled, where
+
+
+def _step(docs, labels, chosen, known, state, step, rate) -> None:
     """One update of all weights from the documents ``chosen``."""
+    vectors, spread, dense = state.vectors, state.spread, state.dense
     filters, bias, weight, offset = dense
-    lengths = np.array([len(docs[at]) for at in chosen])
-    starts = np.concatenate(([0], np.cumsum(lengths + PAD)[:-1]))
-    buckets = np.full((int((lengths + PAD).sum()) + PAD, 3), BUCKETS, np.int64)
-    for at, begin in zip(chosen, starts):
-        buckets[begin:begin + len(docs[at])] = docs[at]
-    words = vectors[buckets].sum(1)
-    parts = (words @ filters).reshape(len(words), PARTS, FILTERS)
-    answers = _responses(parts, len(words) - PAD)
-    best = np.empty((len(chosen), len(WIDTHS), FILTERS), np.int64)
-    pooled = np.empty((len(chosen), len(WIDTHS), FILTERS), np.float32)
-    for row, (begin, length) in enumerate(zip(starts, lengths)):
-        for kind, answer in enumerate(answers):
-            inside = answer[begin:begin + length + 1]
-            best[row, kind] = begin + inside.argmax(0)
-            pooled[row, kind] = inside.max(0)
+    pooled, where = _pool(vectors, filters, [docs[at] for at in chosen], known)
     pooled = np.maximum(pooled.reshape(len(chosen), -1) + bias, 0)
     error = (1 / (1 + np.exp(-(pooled @ weight + offset[0]))) - labels[chosen]).astype(np.float32)
     error /= len(chosen)
     down = error[:, None] * weight * (pooled > 0)
-    place, part, size = [], [], []
+    touched, part, size = [], [], []
     at = 0
     for kind, width in enumerate(WIDTHS):
         value = down[:, kind * FILTERS:(kind + 1) * FILTERS]
         for move in range(width):
-            place.append((best[:, kind] + move).ravel())
+            touched.append(where[:, kind, :, move].reshape(-1, 3))
             part.append(np.tile(np.arange(FILTERS) + (at + move) * FILTERS, len(chosen)))
             size.append(value.ravel())
         at += width
-    place, part, size = map(np.concatenate, (place, part, size))
+    touched, part, size = map(np.concatenate, (touched, part, size))
     used = np.flatnonzero(size)
-    place, part, size = place[used], part[used], size[used, None]
+    touched, part, size = touched[used], part[used], size[used, None]
+    words = vectors[touched[:, 0]] + vectors[touched[:, 1]] + vectors[touched[:, 2]]
     to_filters = np.zeros_like(filters.T)
-    np.add.at(to_filters, part, words[place] * size)
+    np.add.at(to_filters, part, words * size)
     to_words = filters.T[part] * size
-    touched = buckets[place].ravel()
+    touched = touched.ravel()
     real = touched < BUCKETS
-    hit, where = np.unique(touched[real], return_inverse=True)
+    hit, place = np.unique(touched[real], return_inverse=True)
     to_vectors = np.zeros((hit.size, SIZE), np.float32)
-    np.add.at(to_vectors, where, np.repeat(to_words, 3, 0)[real])
+    np.add.at(to_vectors, place, np.repeat(to_words, 3, 0)[real])
     spread[hit] += (to_vectors ** 2).mean(1, keepdims=True)
     vectors[hit] -= 10 * rate * to_vectors / np.sqrt(spread[hit])
     slopes = (to_filters.T, down.sum(0), pooled.T @ error, np.array([error.sum()]))
-    for one, slope, m, v in zip(dense, slopes, first, second):
+    for one, slope, m, v in zip(dense, slopes, state.first, state.second):
         m += 0.1 * (slope - m)
         v += 0.001 * (slope ** 2 - v)
         one -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -202,8 +291,13 @@ class Scorer:
             for step in range(1, width):
                 answer += self.parts[laid[step:len(laid) - PAD + step], at + step]
             pooled.append(np.maximum.reduceat(answer, inside, axis=0)[::2])
-        pooled = np.maximum(np.concatenate(pooled, 1) + self.model.bias, 0)
-        return 1 / (1 + np.exp(-(pooled @ self.model.weight + self.model.offset).astype(np.float64)))
+        return _logistic(self.model, np.concatenate(pooled, 1))
+
+
+def _logistic(model: Model, pooled: np.ndarray) -> np.ndarray:
+    """Probabilities from the filters' largest answers."""
+    pooled = np.maximum(pooled + model.bias, 0)
+    return 1 / (1 + np.exp(-(pooled @ model.weight + model.offset).astype(np.float64)))
 
 
 def calibrate(
@@ -243,64 +337,245 @@ def train(
     label_id_column: str = "doc_id",
     label_column: str = "toxic",
 ) -> Model:
-    """Fit on about ``TRAIN_ROWS`` labelled rows, chosen by a hash of their id.
+    """Fit on every labelled row, whatever its length.
 
-    Rows of the held-out fold are never used. Thresholds are set on the
+    Rows of the held-out fold are never used. Thresholds are set on the whole
     calibration fold by a first model that has not seen it; the model returned is
-    then fitted on all the rows. A null label counts as none, of several labels of a document
-    the largest holds, and texts over ``TRAIN_TEXT_BYTES`` are left out of the
-    fit. The labels are thinned before they meet the documents, so only the
-    chosen texts move; they go to one task, whose size that bound fixes.
+    then fitted on all the rows. A null label counts as none, of several labels of a
+    document the largest holds. The rows' word buckets are written once, in shards of
+    about ``SHARD_ROWS`` rows. One shard is trained through in one task. Of several, each
+    makes a pass of its own from the same weights; Spark averages what they learnt, and the
+    next pass starts from that. Only the model, whose size is fixed, meets the driver.
     """
+    spark = docs.sparkSession
+    shards = _shards(docs, labels, id_column, text_column, lang_column, label_id_column, label_column)
+    if shards is None:  # no labelled row at all
+        return fit([], np.zeros(0))._replace(thresholds=calibrate(np.zeros(0), np.zeros(0), []))
+    first = _fit_shards(shards, every=False)
+    thresholds = best_thresholds(spark, _calibration_scores(shards, first))
+    return _fit_shards(shards, every=True)._replace(thresholds=thresholds)
+
+
+def _shards(
+    docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, lang_column: str,
+    label_id_column: str, label_column: str,
+) -> DataFrame | None:
+    """The labelled rows' buckets, labels, folds and languages, kept, a file a shard; None without any."""
     marked = (
         labels.select(column(label_id_column).cast("long").alias("id"),
                       column(label_column).cast("int").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
         .where(remainder(F.col("id"), FOLDS) != HELD_OUT)
+        .groupBy("id").agg(F.max("label").alias("label"))
     )
-    total = marked.count()
-    part = min(1.0, TRAIN_ROWS / max(1, total))
-    drawn = marked.where(
-        F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 30)) < F.lit(math.ceil(part * (1 << 30)))
-    ).groupBy("id").agg(F.max("label").alias("label"))
+    source = _with_language(docs, id_column, text_column, lang_column)
+    if marked.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        marked = F.broadcast(marked)
+    else:
+        source = source.where(remainder(F.col("id"), FOLDS) != HELD_OUT).hint("merge")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    total = source.select("id", size).join(marked, "id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).first()
+    if not total["rows"]:
+        return None
+    count = max(-(-total["rows"] // SHARD_ROWS), -(-total["bytes"] // SHARD_BYTES))
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, int, int]] = {}
+        for batch in batches:
+            for part in slices(batch, TEXT_BYTES):
+                texts = as_bytes(part.column("text"))
+                found = []
+                for text in texts:
+                    if len(known) > CACHED_WORDS:
+                        known.clear()
+                    words = alnum_words(text)
+                    for word in set(words).difference(known):
+                        known[word] = word_buckets(word)
+                    found.append(np.array([known[word] for word in words], np.uint16).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(list(map(zlib.crc32, texts)), pa.int64()),
+                     pa.array(found, pa.binary()), part.column("label"), part.column("lang")],
+                    names=["id", "crc", "buckets", "label", "lang"])
+
     rows = (
-        _with_language(docs, id_column, text_column, lang_column).join(F.broadcast(drawn), "id")
-        .where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_TEXT_BYTES)
+        source.join(marked, "id")
+        .mapInArrow(laid, "id long, crc long, buckets binary, label int, lang string")
         .withColumn("fold", remainder(F.col("id"), FOLDS))
+        .withColumn("shard", F.pmod(F.xxhash64("id", "crc"), F.lit(count)).cast("int"))
     )
+    dealt = rows.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "id", "crc")
+    return kept(dealt.select("shard", "buckets", "label", "fold", "lang"), "toxic-shards")
 
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, int, int]] = {}
-        held: list[tuple] = []
-        for batch in batches:
-            for ident, text, label, fold, lang in zip(
-                batch.column("id").to_pylist(), as_bytes(batch.column("text")),
-                *(batch.column(name).to_pylist() for name in ("label", "fold", "lang"))
-            ):
-                words = alnum_words(text)
-                for word in set(words).difference(known):
-                    known[word] = word_buckets(word)
-                buckets = np.array([known[word] for word in words], np.int32).reshape(-1, 3)
-                held.append((ident, zlib.crc32(text), buckets, label, fold, lang,
-                             text if fold == CALIBRATION else b""))
-        held.sort(key=lambda row: row[:2])
-
-        def fit_on(rows: list[tuple]) -> Model:
-            return fit([row[2] for row in rows], np.array([row[3] for row in rows], np.float32))
-
-        other = [row for row in held if row[4] == CALIBRATION]
-        scorer = Scorer(fit_on([row for row in held if row[4] != CALIBRATION]))
-        scores = [scorer.scores([row[6]])[0] for row in other]
-        thresholds = calibrate(np.array(scores), np.array([row[3] for row in other]),
-                               [row[5] for row in other])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([pickle.dumps(fit_on(held)._replace(thresholds=thresholds))], pa.binary())],
-            names=["model"])
-
-    found = rows.repartition(1).mapInArrow(fitted, "model binary").first()
-    if found is None:  # no labelled row at all
-        return fit([], np.zeros(0))._replace(thresholds=calibrate(np.zeros(0), np.zeros(0), []))
-    return pickle.loads(bytes(found["model"]))
+
+class _Shard(NamedTuple):
+    number: int
+    docs: list[np.ndarray]
+    labels: np.ndarray
+    langs: list[str | None]
+
+
+def _read_shards(batches: Iterator[pa.RecordBatch], use) -> Iterator[_Shard]:
+    """The shards that a task reads, with only the rows whose fold ``use`` takes, one at a time."""
+    rows = (
+        row for batch in batches
+        for row in zip(*(batch.column(name).to_pylist()
+                         for name in ("shard", "buckets", "label", "lang", "fold"))) if use(row[4])
+    )
+    for number, own in itertools.groupby(rows, lambda row: row[0]):
+        docs, labels, langs = [], [], []
+        for _, buckets, label, lang, _ in own:
+            docs.append(np.frombuffer(buckets, np.uint16).reshape(-1, 3))
+            labels.append(label)
+            langs.append(lang)
+        yield _Shard(number, docs, np.array(labels, np.float32), langs)
+
+
+def _fit_shards(shards: DataFrame, every: bool) -> Model:
+    """The model of all rows of the shards, or (not ``every``) of all but the calibration fold's."""
+    spark = shards.sparkSession
+
+    def use(fold: int) -> bool:
+        return every or fold != CALIBRATION
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows and rows of label 1 come under two numbers past the buckets.
+        for shard in _read_shards(batches, use):
+            met = np.append(count_met(shard.docs), (len(shard.docs), int(shard.labels.sum())))
+            at = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(met[at])], names=["at", "met"])
+
+    sums = shards.mapInArrow(counted, "at long, met long").groupBy("at").agg(
+        F.sum("met").alias("met"), F.count(F.lit(1)).alias("shards")).toArrow()
+    met = np.zeros(BUCKETS + 2, np.int64)
+    met[sums["at"].to_numpy()] = sums["met"].to_numpy()
+    met, rows, ones = met[:BUCKETS], int(met[BUCKETS]), int(met[BUCKETS + 1])
+    state = begin(met, (ones + 0.5) / (rows + 1))
+    if not 0 < ones < rows:
+        return finished(state, learnt=False)
+    known = known_buckets(met)
+    count = max(sums.filter(pc.equal(sums["at"], BUCKETS))["shards"].to_pylist())
+    epochs = epochs_for(rows / count)
+    # One shard needs no one to agree with: all its passes are one round.
+    rounds = [range(epochs)] if count == 1 else [range(at, at + 1) for at in range(epochs)]
+    for passes in rounds:
+        shared = spark.sparkContext.broadcast((state, known))
+
+        def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in _read_shards(batches, use):
+                start, known = shared.value
+                own = _copied(start)
+                rng = None if count == 1 else np.random.default_rng((1, shard.number, passes.start))
+                yield _changes(start, learn(own, shard.docs, shard.labels, known, passes, epochs, rng))
+
+        names = ["at", *(f"v{at}" for at in range(SIZE + 1))]
+        mean = shards.mapInArrow(learnt, "at int, " + ", ".join(f"{name} float" for name in names[1:])) \
+            .groupBy("at").agg(*(F.avg(name).alias(name) for name in names[1:])).toArrow()
+        state = _moved(state, np.stack([mean[name].to_numpy() for name in names], 1),
+                       len(passes) * -(-rows // (count * BATCH)))
+        shared.destroy()
+    return finished(state)
+
+
+def _copied(state: State) -> State:
+    """A state of its own; a worker's tasks share the one that was sent."""
+    return pickle.loads(pickle.dumps(state))
+
+
+def _changes(start: State, end: State) -> pa.RecordBatch:
+    """What was learnt, in rows of ``SIZE + 1`` numbers: the buckets that moved, then all dense weights."""
+    at = np.flatnonzero(end.spread[:, 0] != start.spread[:, 0])
+    dense = np.concatenate([one.ravel() for kind in (end.dense, end.first, end.second) for one in kind])
+    dense = np.pad(dense, (0, -len(dense) % (SIZE + 1))).reshape(-1, SIZE + 1)
+    rows = np.concatenate((np.concatenate((end.vectors[at], end.spread[at]), 1), dense)).astype(np.float32)
+    at = np.concatenate((at, BUCKETS + 1 + np.arange(len(dense))))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(at.astype(np.int32)), *(pa.array(one) for one in rows.T.copy())],
+        names=["at", *(f"v{at}" for at in range(SIZE + 1))])
+
+
+def _moved(state: State, rows: np.ndarray, steps: int) -> State:
+    """``state`` with the rows that ``_changes`` gives, one of each number, in its place."""
+    at = rows[:, 0].astype(np.int64)
+    words = at <= BUCKETS
+    vectors, spread = state.vectors.copy(), state.spread.copy()
+    vectors[at[words]] = rows[words, 1:SIZE + 1]
+    spread[at[words], 0] = rows[words, SIZE + 1]
+    dense = rows[~words][np.argsort(at[~words])][:, 1:].astype(np.float32).ravel()
+    kinds, begin_at = [], 0
+    for kind in (state.dense, state.first, state.second):
+        kinds.append([])
+        for one in kind:
+            kinds[-1].append(dense[begin_at:begin_at + one.size].reshape(one.shape))
+            begin_at += one.size
+    return State(vectors, spread, *kinds, state.step + steps, state.rng)
+
+
+def _calibration_scores(shards: DataFrame, model: Model) -> DataFrame:
+    """Language, score and label of each row of the calibration fold."""
+    shared = shards.sparkSession.sparkContext.broadcast(model)
+    every = np.arange(BUCKETS, dtype=np.int32)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for shard in _read_shards(batches, lambda fold: fold == CALIBRATION):
+            for start in range(0, len(shard.docs), BATCH):
+                pooled, _ = _pool(model.vectors, model.filters, shard.docs[start:start + BATCH], every)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard.langs[start:start + BATCH], pa.string()),
+                     pa.array(_logistic(model, pooled.reshape(len(pooled), -1))),
+                     pa.array(shard.labels[start:start + BATCH].astype(np.int32))],
+                    names=["lang", "score", "label"])
+
+    return shards.mapInArrow(scored, "lang string, score double, label int")
+
+
+def best_thresholds(spark: SparkSession, scored: DataFrame) -> dict[str | None, float]:
+    """What ``calibrate`` gives for all rows of (lang, score, label), by Spark.
+
+    Rows of one score are counted together. Running counts are taken within narrow
+    ranges of score, to which the sums of the ranges above are added, so no
+    language is one task's. Only a language's threshold leaves the cluster.
+    """
+    path = scratch_path(spark, "toxic-scores")
+    # Scores crowd near 0 and 1; in the log of their odds they spread.
+    odds = F.log(F.greatest("score", F.lit(1e-300)) / F.greatest(1 - F.col("score"), F.lit(1e-300)))
+    every = F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang")),
+                    F.struct(F.lit(False).alias("all"), F.col("lang")))
+    counts = (
+        scored.select("score", "label", F.explode(every).alias("of"))
+        .where("of.all OR of.lang IS NOT NULL")
+        .groupBy("of", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"))
+        .withColumn("cell", F.floor(odds * CELLS))
+    )
+    counts.write.parquet(path)
+    counts = spark.read.parquet(path)
+    above = Window.partitionBy("of").orderBy(F.desc("cell"))
+    before = above.rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        counts.groupBy("of", "cell").agg(F.sum("n").alias("cell_n"), F.sum("ones").alias("cell_ones"),
+                                         F.max("score").alias("top"))
+        .select("of", "cell", F.coalesce(F.sum("cell_n").over(before), F.lit(0)).alias("n_above"),
+                F.coalesce(F.sum("cell_ones").over(before), F.lit(0)).alias("ones_above"),
+                F.lead("top").over(above).alias("below"),
+                F.sum("cell_ones").over(Window.partitionBy("of")).alias("all_ones"),
+                F.sum("cell_n").over(Window.partitionBy("of")).alias("all_n"))
+        .where("all_ones > 0 AND all_ones < all_n")
+    )
+    inside = Window.partitionBy("of", "cell").orderBy(F.desc("score"))
+    f1 = 2 * F.col("right") / (F.col("taken") + F.col("all_ones"))
+    found = (
+        counts.join(cells, ["of", "cell"])
+        .select("of", "score", "all_ones",
+                (F.sum("n").over(inside) + F.col("n_above")).alias("taken"),
+                (F.sum("ones").over(inside) + F.col("ones_above")).alias("right"),
+                F.coalesce(F.lead("score").over(inside), "below", F.lit(0.0)).alias("next"))
+        .groupBy("of").agg(F.max(F.struct(f1.alias("f1"), "score", "next")).alias("best"))
+        .select("of.all", "of.lang", ((F.col("best.score") + F.col("best.next")) / 2).alias("middle"))
+    )
+    limits = {row["lang"]: float(np.clip(row["middle"], LEAST_THRESHOLD, MOST_THRESHOLD))
+              for row in found.collect()}
+    return {None: limits.pop(None, 0.5), **dict(sorted(limits.items()))}
 
 
 def score_toxicity(
@@ -368,8 +643,9 @@ def _with_language(docs: DataFrame, ident: str, text: str, lang: str) -> DataFra
 
 
 def _by_language(thresholds: Mapping[str | None, float]) -> Column:
-    found = F.lit(thresholds.get(None, 0.5))
-    for lang, value in thresholds.items():
-        if lang is not None:
-            found = F.when(F.col("lang") == lang, F.lit(value)).otherwise(found)
-    return found
+    common = F.lit(thresholds.get(None, 0.5))
+    own = {lang: value for lang, value in thresholds.items() if lang is not None}
+    if not own:
+        return common
+    table = F.create_map(*(F.lit(one) for pair in own.items() for one in pair))
+    return F.coalesce(F.try_element_at(table, F.col("lang")), common)
