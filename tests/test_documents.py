@@ -437,3 +437,31 @@ def test_json_record_is_one_native_parse(spark, capsys):
     read.explain("formatted")
     plan = capsys.readouterr().out
     assert plan.count("from_json") == 1 and "EvalPython" not in plan
+
+
+def test_yaml_batches_are_converted_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    import tidemark.functions.yaml_text as yaml_text
+
+    monkeypatch.setattr(yaml_text, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(yaml_text, "KNOWN_BYTES", 6400)
+    texts = [None, "a: 1", "b: " + "x" * 3000, "", "a: 1", "a: ["] + [f"n: {at}" for at in range(900)] * 2
+    parts = list(yaml_text._slices(pa.array(texts)))
+    assert [one for part in parts for one in part.to_pylist()] == texts
+    assert all(sum(len(one or "") for one in part.to_pylist()) <= 1000 or len(part) == 1 for part in parts)
+    converter = yaml_text._Converter(yaml_text.Form(marked=False))
+    found = [row for part in parts for row in converter.convert(part).to_pylist()]
+    assert [row["json"] for row in found[:5]] == [None, '{"a": 1}', json.dumps({"b": "x" * 3000}), None, '{"a": 1}']
+    assert found[5]["error"].startswith("ParserError")
+    assert [row["json"] for row in found[6:]] == [f'{{"n": {at}}}' for at in range(900)] * 2
+    assert converter.size <= 6400 and len(converter.known) < 900
+    assert list(map(len, yaml_text._slices(pa.array([], pa.string())))) == [0]
+
+
+def test_a_batch_of_several_slices_keeps_its_rows(spark):
+    body = F.concat(F.lit("n: "), F.col("id").cast("string"), F.lit("\nt: " + "x" * 2000))
+    rows = spark.range(0, 2000, numPartitions=1).withColumn("y", body)
+    shape = record(field("n", LongType()), field("t", StringType()))
+    found = read_yaml_record(rows, "y", shape, allow_foreign=False).select("id", "doc.n", F.length("doc.t").alias("l"))
+    assert {(r["id"], r["n"], r["l"]) for r in found.collect()} == {(at, at, 2000) for at in range(2000)}
