@@ -145,3 +145,20 @@ def test_a_long_text_is_trained_in_pieces(monkeypatch):
     whole = fit(docs, labels)
     monkeypatch.setattr(toxicity, "RUN_WORDS", 64)
     assert np.allclose(whole.vectors, fit(docs, labels).vectors, atol=1e-3)
+
+
+def test_a_shard_hands_on_all_that_it_learnt():
+    import tidemark.llm.toxicity as toxicity
+
+    start = toxicity.begin(np.full(toxicity.BUCKETS, 5), 0.4)
+    end = toxicity._copied(start)
+    end.vectors[7] += 1e-4  # a step too small for the spread
+    end.vectors[9], end.spread[9] = 3, 2
+    for number, one in enumerate([*end.dense, *end.first, *end.second]):
+        one += number
+    batch = toxicity._changes(start, end)
+    assert batch.column("at").to_pylist()[:3] == [7, 9, toxicity.BUCKETS + 1]
+    moved = toxicity._moved(start, np.stack([one.to_numpy() for one in batch.columns], 1), 4)
+    assert (moved.vectors == end.vectors).all() and (moved.spread == end.spread).all() and moved.step == 4
+    for kind in ("dense", "first", "second"):
+        assert all((a == b).all() for a, b in zip(getattr(moved, kind), getattr(end, kind)))

@@ -484,7 +484,8 @@ def _copied(state: State) -> State:
 
 def _changes(start: State, end: State) -> pa.RecordBatch:
     """What was learnt, in rows of ``SIZE + 1`` numbers: the buckets that moved, then all dense weights."""
-    at = np.flatnonzero(end.spread[:, 0] != start.spread[:, 0])
+    # A small step may move a vector and be too small to show in its spread.
+    at = np.flatnonzero((end.spread != start.spread)[:, 0] | (end.vectors != start.vectors).any(1))
     dense = np.concatenate([one.ravel() for kind in (end.dense, end.first, end.second) for one in kind])
     dense = np.pad(dense, (0, -len(dense) % (SIZE + 1))).reshape(-1, SIZE + 1)
     rows = np.concatenate((np.concatenate((end.vectors[at], end.spread[at]), 1), dense)).astype(np.float32)
