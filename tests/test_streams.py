@@ -11,7 +11,7 @@ from tidemark.operators.exchange import observed
 from tidemark.session import scratch_path, session_conf
 from tidemark.streaming.joins import chain_within, once_per_period
 from tidemark.plans.streams import CHAIN, WITHIN, chain_events_run, chain_run
-from tidemark.streaming.chains import last_before
+from tidemark.streaming.chains import group_count, last_before
 from tidemark.streaming.manifest import lay_out, stream_manifest
 from tidemark.streaming.runner import STATE_ROWS, finish, run_stream, start_stream, state_partitions
 from tidemark.streaming.sources import arrange_by_time, stream_parquet
@@ -360,3 +360,17 @@ def test_state_partitions_follow_the_rows(spark):
     assert state_partitions(spark, 0) == state_partitions(spark, STATE_ROWS) == 1
     assert state_partitions(spark, 3 * STATE_ROWS) == 3
     assert state_partitions(spark, 10**12) == 8
+
+
+def test_chains_of_many_keys_share_their_state(spark):
+    rows = [(f"u{user}", kind, START + timedelta(minutes=user % 50 + 90 * at))
+            for user in range(600) for at, kind in enumerate(("view", "click", "buy", "click", "buy"))]
+    df = spark.createDataFrame(rows, "user_id string, kind string, ts timestamp")
+    layout = lay_out(df, "ts", scratch_path(spark, "many"), 3, closing=20_000)
+    stream = stream_manifest(spark, layout).withWatermark("ts", "0 seconds")
+    steps = ("view", "click", "buy")
+    output, run = run_stream(
+        last_before(stream, "user_id", "ts", "kind", steps, 6000, group_count(layout.rows)), "many",
+        batches=layout.batches, timeout=300, state_partitions=2)
+    assert sorted(map(tuple, output.collect()), key=str) == plain_chains(rows, steps, 6000)
+    assert group_count(layout.rows) == 1 and 0 < run.peak_state < 20 and run.last_state == 0
