@@ -13,7 +13,7 @@ from tidemark.streaming.joins import chain_within, once_per_period
 from tidemark.plans.streams import CHAIN, WITHIN, chain_events_run, chain_run
 from tidemark.streaming.chains import group_count, last_before
 from tidemark.streaming.manifest import lay_out, stream_manifest
-from tidemark.streaming.runner import STATE_ROWS, finish, run_stream, start_stream, state_partitions
+from tidemark.streaming.runner import FULL_STATE_ROWS, STATE_ROWS, finish, run_stream, start_stream, state_partitions
 from tidemark.streaming.sources import arrange_by_time, stream_parquet
 from tidemark.streaming.state import state_rows, stateful_steps
 
@@ -362,6 +362,14 @@ def test_state_partitions_follow_the_rows(spark):
     assert state_partitions(spark, 10**12) == 8
 
 
+def test_state_partitions_cost_no_more_than_the_rows_need(spark):
+    cores = spark.sparkContext.defaultParallelism
+    with session_conf(spark, {"spark.sql.shuffle.partitions": "200"}):
+        assert state_partitions(spark, STATE_ROWS * 150) == cores
+        assert state_partitions(spark, FULL_STATE_ROWS * cores + 1) == 2 * cores
+        assert state_partitions(spark, 10**12) == 200
+
+
 def test_chains_of_many_keys_share_their_state(spark):
     rows = [(f"u{user}", kind, START + timedelta(minutes=user % 50 + 90 * at))
             for user in range(600) for at, kind in enumerate(("view", "click", "buy", "click", "buy"))]
