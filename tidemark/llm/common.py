@@ -54,6 +54,28 @@ def as_bytes(values: pa.Array) -> list[bytes]:
     return [value or b"" for value in values.cast(pa.large_binary()).to_pylist()]
 
 
+def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct runs between ASCII white space, the number of each in turn, and where each text's end."""
+    texts = [text.strip() for text in texts]
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    offsets = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    numbers, counts = coded.indices.to_numpy(), np.diff(offsets)
+    # An empty text gives one empty run.
+    blank = np.flatnonzero(np.fromiter(map(len, texts), np.int64, len(texts)) == 0)
+    blank = blank[counts[blank] > 0]
+    if blank.size:
+        numbers = np.delete(numbers, offsets[blank])
+        counts[blank] = 0
+    if not len(coded.dictionary):
+        return [], numbers, np.cumsum(counts)
+    held = coded.dictionary.cast(pa.large_binary())
+    _, ends, data = held.buffers()
+    cuts = np.frombuffer(ends, np.int64)[held.offset:held.offset + len(held) + 1].tolist()
+    data = data.to_pybytes() if data is not None else b""
+    return [data[i:j] for i, j in zip(cuts, cuts[1:])], numbers, np.cumsum(counts)
+
+
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """The id column and the texts as bytes of each batch that has rows."""
     for batch in batches:
