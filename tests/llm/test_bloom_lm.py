@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bloom_lm
@@ -129,3 +130,16 @@ def test_false_passes_stay_at_their_rate_at_every_size(kinds, false_pass):
     unseen = rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)
     assert (levels_of(held, unseen) > 0).mean() < 1.2 * false_pass + 0.003
     assert 8 * len(held.data) < 12 * exact.sum() * math.log2(1 / false_pass) / 4 + 16 * 80
+
+
+def test_words_of_a_slice_are_numbered_together():
+    from tidemark.llm.bloom_lm import END, _Hashes, _lay
+    from tidemark.llm.common import numbered_words, spaced_words
+
+    texts = [b" a  b\ta ", b"", b"\n", b"b \xc3\xa9\x0bA \x1c a", b"c\x00"]
+    words, of, ends = numbered_words(texts)
+    assert [[words[at] for at in of[i:j]] for i, j in zip([0, *ends], ends)] == [one.split() for one in texts]
+    assert numbered_words([]) [0] == [] and numbered_words([b"", b" "])[2].tolist() == [0, 0]
+    laid = _lay(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())}), _Hashes(), 2)
+    assert len(laid.words) == len(set(laid.words)) < len(laid.of)
+    assert [laid.words[at] for at in laid.of] == [word for one in texts for word in (*spaced_words(one), END)]

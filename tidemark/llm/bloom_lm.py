@@ -21,6 +21,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, column, kept, remainder, slices, spaced_words
+from tidemark.llm.common import as_bytes, column, kept, numbered_words, remainder, slices, spaced_words
 from tidemark.session import fresh_name
 
 SEGMENT_GRAMS = 1 << 20
@@ -438,27 +439,30 @@ def _fold(ident: Column, split: Split) -> Column:
 
 
 class _Laid(NamedTuple):
-    """A slice's words, and the distinct n-grams their shares need.
+    """A slice's distinct ``words``, the number of each word in turn (``of``), and the distinct
+    n-grams their shares need.
 
     ``places`` has, for each history's length, the words that have such a
     history, and where the n-gram and the history stand in ``grams``.
     """
 
     words: list[bytes]
+    of: np.ndarray
     lengths: np.ndarray
     grams: np.ndarray
     places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _lay(part: pa.RecordBatch, hashes: _Hashes, order: int) -> _Laid:
-    split = [spaced_words(text) for text in as_bytes(part.column("text"))]
-    words = [word for one in split for word in (*one, END)]
-    lengths = np.fromiter(map(len, split), np.int64, len(split)) + 1
+    words, of, ends = numbered_words([text.lower() for text in as_bytes(part.column("text"))])
+    of = np.insert(of, ends, len(words))
+    words.append(END)
+    lengths = np.diff(ends, prepend=0) + 1
     starts = np.cumsum(lengths) - lengths
     # Every text is laid out after an end mark; histories that reach before it are left out.
-    laid = np.insert(hashes.of(words), starts, _START[0])
+    laid = np.insert(hashes.of(words)[of], starts, _START[0])
     text = np.repeat(np.arange(len(starts)), lengths)
-    at = np.arange(len(words)) + text + 1
+    at = np.arange(len(of)) + text + 1
     room = at - (starts + np.arange(len(starts)))[text]
     needed, wanted = [], []
     for size in range(2, order + 1):
@@ -467,10 +471,10 @@ def _lay(part: pa.RecordBatch, hashes: _Hashes, order: int) -> _Laid:
         needed += [gram_hashes(laid, size)[begin], gram_hashes(laid, size - 1)[begin]]
         wanted.append(inside)
     if not needed:
-        return _Laid(words, lengths, np.zeros(0, np.uint64), [])
+        return _Laid(words, of, lengths, np.zeros(0, np.uint64), [])
     grams, where = np.unique(np.concatenate(needed), return_inverse=True)
     own = np.split(where, np.cumsum([len(one) for one in needed])[:-1])
-    return _Laid(words, lengths, grams, list(zip(wanted, own[::2], own[1::2])))
+    return _Laid(words, of, lengths, grams, list(zip(wanted, own[::2], own[1::2])))
 
 
 def _ask_segments(
@@ -546,19 +550,19 @@ def _score_part(
     whole: int, prior: float,
 ) -> Iterator[pa.RecordBatch]:
     """A row of sums for each text, and a row for each word whose count has to be looked up."""
-    words, lengths = laid.words, laid.lengths
+    words, of, lengths = laid.words, laid.of, laid.lengths
     ends = np.cumsum(lengths)
     starts = ends - lengths
     counts = COUNT_OF_LEVEL[levels]
     # A word's probability is weight + rest * share, whatever its share turns out to be.
-    weight, rest = np.zeros(len(words)), np.ones(len(words))
+    weight, rest = np.zeros(len(of)), np.ones(len(of))
     for inside, gram, history in laid.places:
         before = counts[history]
         after = np.minimum(counts[gram], before)
         lower = 1 - MIXED * before / (before + prior)
         weight[inside] = MIXED * after / (before + prior) + lower * weight[inside]
         rest[inside] *= lower
-    known = np.fromiter((frequent.get(word, -1) for word in words), np.int64, len(words))
+    known = np.fromiter(map(frequent.get, words, repeat(-1)), np.int64, len(words))[of]
     rare = np.flatnonzero(known < 0)
     share = (known + 1) / whole
     with np.errstate(divide="ignore"):
@@ -577,11 +581,11 @@ def _score_part(
         pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mine, starts)),
     ], names=names)
     if rare.size:
-        of = np.searchsorted(ends, rare, "right")
+        text = np.searchsorted(ends, rare, "right")
         none = pa.array(np.zeros(rare.size, np.int64))
         yield pa.RecordBatch.from_arrays([
-            pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(keys, pa.int64()).take(pa.array(of)),
-            pa.array([words[at] for at in rare.tolist()], pa.binary()), pa.array(weight[rare]),
+            pa.array(ids, pa.int64()).take(pa.array(text)), pa.array(keys, pa.int64()).take(pa.array(text)),
+            pa.array(words, pa.binary()).take(pa.array(of[rare])), pa.array(weight[rare]),
             pa.array(rest[rare]), none, none, none,
             pa.array(np.zeros(rare.size)), pa.array(np.zeros(rare.size)),
         ], names=names)
