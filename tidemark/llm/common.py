@@ -56,6 +56,12 @@ def as_bytes(values: pa.Array) -> list[bytes]:
 
 def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct runs between ASCII white space, the number of each in turn, and where each text's end."""
+    words, numbers, ends = numbered(texts)
+    return as_list(words), numbers, ends
+
+
+def numbered(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """``numbered_words`` with the runs as an Arrow array."""
     texts = [text.strip() for text in texts]
     split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
     offsets = np.asarray(split.offsets).astype(np.int64)
@@ -67,13 +73,22 @@ def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndar
     if blank.size:
         numbers = np.delete(numbers, offsets[blank])
         counts[blank] = 0
-    if not len(coded.dictionary):
-        return [], numbers, np.cumsum(counts)
-    held = coded.dictionary.cast(pa.large_binary())
-    _, ends, data = held.buffers()
-    cuts = np.frombuffer(ends, np.int64)[held.offset:held.offset + len(held) + 1].tolist()
-    data = data.to_pybytes() if data is not None else b""
-    return [data[i:j] for i, j in zip(cuts, cuts[1:])], numbers, np.cumsum(counts)
+    return coded.dictionary.cast(pa.large_binary()), numbers, np.cumsum(counts)
+
+
+def laid_out(values: pa.LargeBinaryArray) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of an array without nulls, and where in them each value starts and the last ends."""
+    _, ends, data = values.buffers()
+    if not len(values) or data is None:
+        return pa.py_buffer(b""), np.zeros(len(values) + 1, np.int64)
+    return data, np.frombuffer(ends, np.int64)[values.offset:values.offset + len(values) + 1]
+
+
+def as_list(values: pa.LargeBinaryArray) -> list[bytes]:
+    """``to_pylist`` of an array without nulls, cut from one copy."""
+    data, ends = laid_out(values)
+    data, cuts = data.to_pybytes(), ends.tolist()
+    return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
