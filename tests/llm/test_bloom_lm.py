@@ -143,3 +143,57 @@ def test_words_of_a_slice_are_numbered_together():
     laid = _lay(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())}), _Hashes(), 2)
     assert len(laid.words) == len(set(laid.words)) < len(laid.of)
     assert [laid.words[at] for at in laid.of] == [word for one in texts for word in (*spaced_words(one), END)]
+
+
+def batch(rows):
+    return pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows], pa.int64()),
+                                       "text": pa.array([t for _, t in rows], pa.string())})
+
+
+def test_texts_are_taught_together(monkeypatch):
+    """The hashing of a piece's n-grams is a call for each size, not one for each text."""
+    calls, plain_hashes = [], bloom_lm.gram_hashes
+    monkeypatch.setattr(bloom_lm, "gram_hashes", lambda *args: calls.append(1) or plain_hashes(*args))
+    rows = [(i, f"a b{i} c") for i in range(500)]
+    list(bloom_lm._packed(iter([batch(rows[:200]), batch(rows[200:])]), bloom_lm.Split(7, 2), 2, 4))
+    assert len(calls) <= 4
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("piece", [1, 500, 8 << 20])
+def test_taught_ngrams_equal_plain_counts(monkeypatch, order, piece):
+    """Whatever the pieces; empty texts teach their end mark alone."""
+    monkeypatch.setattr(bloom_lm, "PIECE_BYTES", piece, raising=False)
+    split = bloom_lm.Split(7, 2)
+    rows = [(i, t or "") for i, t in ROWS]
+    want = Counter()
+    for ident, text in rows:
+        if zlib.crc32(b"" if ident is None else b"%d" % ident) % 7 != 2:
+            run = [b"\n", *text.encode().lower().split(), b"\n"]
+            own = np.array([bloom_lm.xxhash.xxh64_intdigest(word, bloom_lm.SEED) for word in run], np.uint64)
+            for size in range(1, order + 1):
+                want.update(bloom_lm.gram_hashes(own, size).tolist())
+    got = Counter()
+    for part in bloom_lm._packed(iter([batch(rows[:30]), batch(rows[30:30]), batch(rows[30:])]), split, order, 4):
+        for segment, grams, counts in zip(*(part.column(name).to_pylist() for name in ("segment", "grams", "counts"))):
+            grams = np.frombuffer(grams, np.uint64)
+            assert (_segments(grams, 4) == segment).all() and (np.diff(grams.astype(object)) > 0).all()
+            got.update(dict(zip(grams.tolist(), np.frombuffer(counts, "<u4").tolist())))
+    assert got == want
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bloom_lm, "_hashes", lambda words: np.full(len(words), 5, np.uint64))
+    held = bloom_lm._Hashes([(b"a b", np.array([3, 4], "<i8").tobytes()), (b"c", np.array([0], "<i8").tobytes())])
+    words = [b"x", b"a", b"b", b"c"]
+    counts = held.counts[held.numbers(pa.array(words, pa.large_binary()), bloom_lm._hashes(words))]
+    # One of those alike in hash is found, if any; the others meet their counts in the join.
+    assert all(count in (-1, {b"a": 3, b"b": 4, b"c": 0}.get(word)) for word, count in zip(words, counts.tolist()))
+
+
+def test_numbers_of_words():
+    held = bloom_lm._Hashes([(b"a b", np.array([3, 4], "<i8").tobytes()), (b"c", np.array([0], "<i8").tobytes())])
+    words = [b"x", b"c", b"a", b"", b"b", b"\n"]
+    array, none = pa.array(words, pa.large_binary()), bloom_lm._Hashes()
+    assert held.counts[held.numbers(array, bloom_lm._hashes(words))].tolist() == [-1, 0, 3, -1, 4, -1]
+    assert none.counts[none.numbers(array, bloom_lm._hashes(words))].tolist() == [-1] * 6

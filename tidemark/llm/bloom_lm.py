@@ -19,19 +19,20 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, column, kept, numbered_words, remainder, slices, spaced_words
+from tidemark.llm.common import (
+    as_bytes, as_list, column, kept, numbered, remainder, slices)
 from tidemark.session import fresh_name
 
 SEGMENT_GRAMS = 1 << 20
@@ -46,8 +47,7 @@ MIXED = 0.3
 PRIOR = 1.0
 FREQUENT_WORDS = 200_000
 FREQUENT_BYTES = 8 << 20
-HELD_COUNTS = 150_000
-HELD_GRAMS = 1 << 20
+PIECE_BYTES = 2 << 20
 TEXT_BYTES = 1 << 20
 SEED = 7
 END = b"\n"
@@ -84,9 +84,12 @@ COUNT_OF_LEVEL = np.concatenate((
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    values = values ^ (values >> np.uint64(30))
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(27)
+    values *= np.uint64(0x94D049BB133111EB)
+    values ^= values >> np.uint64(31)
+    return values
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -98,13 +101,15 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
-def _places(grams: np.ndarray, at: int, sizes: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
-    """Bit places, inside segments of ``sizes`` bits, of the probes of one level."""
-    mixed = _mix(grams + np.uint64(at * 0xD1B54A32D192ED03 % (1 << 64)))
-    low, step = mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)
-    for probe in range(PROBES):
-        half = low + np.uint64(probe) * step & np.uint64(0xFFFFFFFF)
-        yield (half * sizes >> np.uint64(32)).astype(np.int64)
+def _at_level(grams: np.ndarray, at: int) -> np.ndarray:
+    """What the places of one level's probes are read off."""
+    return _mix(grams + np.uint64(at * 0xD1B54A32D192ED03 % (1 << 64)))
+
+
+def _place(mixed: np.ndarray, probe: int, sizes: np.ndarray | np.uint64) -> np.ndarray:
+    """Bit places of one probe, inside segments of ``sizes`` bits."""
+    half = mixed + np.uint64(probe) * (mixed >> np.uint64(32)) if probe else mixed
+    return ((half & np.uint64(0xFFFFFFFF)) * sizes >> np.uint64(32)).view(np.int64)
 
 
 def _segments(grams: np.ndarray, count: int) -> np.ndarray:
@@ -125,8 +130,9 @@ def fill(grams: np.ndarray, counts: np.ndarray, false_pass: float) -> tuple[int,
     bits = np.zeros(size, bool)
     at = 1
     while grams.size:
-        for place in _places(grams, at, np.uint64(size)):
-            bits[place] = True
+        mixed = _at_level(grams, at)
+        for probe in range(PROBES):
+            bits[_place(mixed, probe, np.uint64(size))] = True
         at += 1
         more = levels >= at
         grams, levels = grams[more], levels[more]
@@ -140,31 +146,49 @@ def levels_of(held: Filter, grams: np.ndarray) -> np.ndarray:
     segment = _segments(grams, len(held.sizes))
     base, size = held.starts[segment], held.sizes[segment].astype(np.uint64)
     for at in range(1, MAX_LEVEL + 1):
-        there = np.ones(len(alive), bool)
-        for place in _places(grams, at, size):
-            there &= (held.data[base + (place >> 3)] >> (place & 7).astype(np.uint8) & 1) == 1
-        if not there.all():
-            alive, grams, base, size = alive[there], grams[there], base[there], size[there]
+        mixed = _at_level(grams, at)
+        for probe in range(PROBES):
+            place = _place(mixed, probe, size)
+            there = np.flatnonzero(held.data[base + (place >> 3)] >> (place & 7).astype(np.uint8) & 1)
+            if there.size < alive.size:
+                alive, grams, base, size, mixed = (one[there] for one in (alive, grams, base, size, mixed))
         if not alive.size:
             break
         levels[alive] = at
     return levels
 
 
-class _Hashes(dict):
-    """Hash by word; filled as words are met, emptied between texts when it has grown too long."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+class _Hashes:
+    """The words seen most, ordered by hash, with their training counts."""
+
+    def __init__(self, packed: Iterable[tuple[bytes, bytes]] = ()) -> None:
+        words, counts = [], [np.zeros(0, "<i8")]
+        for own, theirs in packed:
+            words += own.split(b" ")
+            counts.append(np.frombuffer(theirs, "<i8"))
+        hashes = _hashes(words)
+        by = np.argsort(hashes)
+        self.words = pa.array(words, pa.large_binary()).take(pa.array(by))
+        self.hashes = hashes[by]
+        # The last place is that of any other word.
+        self.counts = np.append(np.concatenate(counts)[by], -1)
+        self.levels: np.ndarray | None = None
+
+    def numbers(self, words: pa.LargeBinaryArray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those not held: found by its hash, then compared."""
+        found = np.full(len(words), -1)
+        by = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[by])
+        near = np.flatnonzero(at < len(self.hashes))
+        near = near[self.hashes[at[near]] == hashes[by[near]]]
+        by, at = by[near], at[near]
+        same = pc.equal(words.take(pa.array(by)), self.words.take(pa.array(at))).to_numpy(False)
+        found[by[same]] = at[same]
         return found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > HELD_COUNTS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-
-_START = np.array([xxhash.xxh64_intdigest(END, SEED)], np.uint64)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
 
 
 def _teaches(ident: int | None, split: Split) -> bool:
@@ -184,31 +208,35 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes
             yield from zip(part.column("id").to_pylist(), as_bytes(part.column("text")))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Ids and texts, of about ``PIECE_BYTES`` together or one longer text, whatever the batches."""
+    ids, texts, size = [], [], 0
+    for ident, text in _rows(batches):
+        ids.append(ident)
+        texts.append(text.lower())
+        size += len(text) + 64
+        if size > PIECE_BYTES:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def word_counts(source: DataFrame, split: Split) -> DataFrame:
     """``word``, ``taught`` (its count in training documents) and ``seen`` (in all); ends included."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taught: Counter[bytes] = Counter()
-        other: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words = list(taught.keys() | other.keys())
-            found = pa.RecordBatch.from_arrays([
-                pa.array(words, pa.binary()),
-                pa.array([taught[word] for word in words], pa.int64()),
-                pa.array([taught[word] + other[word] for word in words], pa.int64()),
+        for ids, texts in _pieces(batches):
+            words, of, ends = numbered(texts)
+            teaches = np.array([_teaches(ident, split) for ident in ids])
+            seen = np.bincount(of, minlength=len(words))
+            taught = np.bincount(of[np.repeat(teaches, np.diff(ends, prepend=0))], minlength=len(words))
+            # An empty text may leave an empty word that no token has.
+            real = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([words.take(pa.array(real)), pa.array([END], pa.large_binary())]).cast(pa.binary()),
+                pa.array(np.append(taught[real], teaches.sum())), pa.array(np.append(seen[real], len(ids))),
             ], names=["word", "taught", "seen"])
-            taught.clear()
-            other.clear()
-            return found
-
-        for ident, text in _rows(batches):
-            held = taught if _teaches(ident, split) else other
-            held.update(spaced_words(text))
-            held[END] += 1
-            if len(taught) + len(other) > HELD_COUNTS:
-                yield flush()
-        yield flush()
 
     return (
         source.select("id", "text").mapInArrow(counted, "word binary, taught long, seen long")
@@ -220,26 +248,23 @@ def _packed(
     batches: Iterator[pa.RecordBatch], split: Split, order: int, segments: int
 ) -> Iterator[pa.RecordBatch]:
     """N-grams of training documents and their counts, packed by segment."""
-    hashes = _Hashes()
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(held), return_counts=True)
-        return _by_segment(grams, segments, counts=counts.astype("<u4"))
-
-    for ident, text in _rows(batches):
-        if not _teaches(ident, split):
+    for ids, texts in _pieces(batches):
+        texts = [text for ident, text in zip(ids, texts) if _teaches(ident, split)]
+        if not texts:
             continue
-        words = np.concatenate((_START, hashes.of(spaced_words(text)), _START))
-        grams = [gram_hashes(words, n) for n in range(1, order + 1)]
-        held += grams
-        size += sum(map(len, grams))
-        if size > HELD_GRAMS:
-            yield flush()
-            held, size = [], 0
-    if held:
-        yield flush()
+        words, of, lengths = _with_ends(texts)
+        own = _hashes(as_list(words))
+        times = np.bincount(of, minlength=len(words))
+        # Every text has an end mark before it, too.
+        times[-1] += len(texts)
+        real = np.flatnonzero(times)
+        grams, counts = [gram_hashes(own[real], 1)], [times[real]]
+        for _, runs in _runs(own, of, lengths, order):
+            found, times = np.unique(runs, return_counts=True)
+            grams.append(found)
+            counts.append(times)
+        by = np.argsort(all_grams := np.concatenate(grams), kind="stable")
+        yield _by_segment(all_grams[by], segments, counts=np.concatenate(counts)[by].astype("<u4"))
 
 
 def _by_segment(grams: np.ndarray, segments: int, **others: np.ndarray) -> pa.RecordBatch:
@@ -269,8 +294,10 @@ def build_filter(
     def filled(table: pa.Table) -> pa.Table:
         grams = np.frombuffer(b"".join(table.column("grams").to_pylist()), np.uint64)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
-        own, where = np.unique(grams, return_inverse=True)
-        size, bits = fill(own, np.bincount(where, weights=counts), false_pass)
+        by = np.argsort(grams)
+        grams = grams[by]
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        size, bits = fill(grams[first], np.add.reduceat(counts[by], first, dtype=np.int64), false_pass)
         return pa.table({"segment": table.column("segment")[:1], "size": pa.array([size]),
                          "bits": pa.array([bits.tobytes()], pa.binary())})
 
@@ -332,16 +359,14 @@ def _frequent(counts: DataFrame) -> list[tuple[bytes, bytes]]:
             chosen.mapInArrow(packed, "words binary, counts binary").collect()]
 
 
-_VOCABULARIES: dict[str, dict[bytes, int]] = {}
+_VOCABULARIES: dict[str, _Hashes] = {}
 
 
-def _vocabulary(key: str, packed: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
+def _vocabulary(key: str, packed: list[tuple[bytes, bytes]]) -> _Hashes:
     """The packed counts by word, made once per worker process."""
     if key not in _VOCABULARIES:
         _VOCABULARIES.clear()
-        _VOCABULARIES[key] = {
-            word: count for words, counts in packed
-            for word, count in zip(words.split(b" "), np.frombuffer(counts, "<i8").tolist())}
+        _VOCABULARIES[key] = _Hashes(packed)
     return _VOCABULARIES[key]
 
 
@@ -387,13 +412,12 @@ def score_documents(
         gathered = spark.sparkContext.broadcast(_gather(built, segments, held_bytes))
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            frequent = _vocabulary(*shared.value)
-            hashes = _Hashes()
+            hashes = _vocabulary(*shared.value)
             for batch in batches:
                 for part in slices(batch, TEXT_BYTES):
                     laid = _lay(part, hashes, order)
                     yield from _score_part(
-                        part, laid, levels_of(gathered.value, laid.grams), frequent, whole, prior)
+                        part, laid, _levels(gathered.value, laid, hashes), hashes, whole, prior)
 
         partial = source.mapInArrow(scored, PARTIAL)
     else:
@@ -406,8 +430,10 @@ def score_documents(
                 "text": pa.array(row["texts"], pa.large_binary())})
             by = sorted(zip(found.column("segment").to_pylist(), found.column("levels").to_pylist()))
             levels = np.frombuffer(b"".join([one for _, one in by]), np.uint8)
-            return pa.Table.from_batches(list(_score_part(
-                part, _lay(part, _Hashes(), order), levels, _vocabulary(*shared.value), whole, prior)))
+            hashes = _vocabulary(*shared.value)
+            laid = _lay(part, hashes, order)
+            levels = levels[np.unique(laid.grams, return_inverse=True)[1]]
+            return pa.Table.from_batches(list(_score_part(part, laid, levels, hashes, whole, prior)))
 
         partial = parted.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(answered, PARTIAL)
     rare = F.coalesce("taught", F.lit(0))
@@ -439,42 +465,80 @@ def _fold(ident: Column, split: Split) -> Column:
 
 
 class _Laid(NamedTuple):
-    """A slice's distinct ``words``, the number of each word in turn (``of``), and the distinct
-    n-grams their shares need.
+    """A slice's distinct ``words``, their ``numbers`` among the words seen most, the word of each token
+    in turn (``of``), and the distinct n-grams the tokens' shares need: those of one word first, word by word.
 
-    ``places`` has, for each history's length, the words that have such a
+    ``places`` has, for each history's length, the tokens that have such a
     history, and where the n-gram and the history stand in ``grams``.
     """
 
     words: list[bytes]
+    numbers: np.ndarray
     of: np.ndarray
     lengths: np.ndarray
     grams: np.ndarray
     places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _lay(part: pa.RecordBatch, hashes: _Hashes, order: int) -> _Laid:
-    words, of, ends = numbered_words([text.lower() for text in as_bytes(part.column("text"))])
+def _with_ends(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """Distinct words, the number of each token in turn, and the tokens of each text; the end mark is the last word."""
+    words, of, ends = numbered(texts)
     of = np.insert(of, ends, len(words))
-    words.append(END)
-    lengths = np.diff(ends, prepend=0) + 1
-    starts = np.cumsum(lengths) - lengths
-    # Every text is laid out after an end mark; histories that reach before it are left out.
-    laid = np.insert(hashes.of(words)[of], starts, _START[0])
-    text = np.repeat(np.arange(len(starts)), lengths)
-    at = np.arange(len(of)) + text + 1
-    room = at - (starts + np.arange(len(starts)))[text]
-    needed, wanted = [], []
+    words = pa.concat_arrays([words, pa.array([END], pa.large_binary())])
+    return words, of, np.diff(ends, prepend=0) + 1
+
+
+def _runs(
+    own: np.ndarray, of: np.ndarray, lengths: np.ndarray, order: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size from 2 on, the tokens that end a run of so many, and the runs' hashes.
+
+    ``own`` has the hash of each word. A text's first token follows an end mark; no
+    run reaches before that.
+    """
+    # The end mark before a text is the one after the text before.
+    laid = own[np.append(of[-1:], of)]
+    room = np.arange(1, len(of) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     for size in range(2, order + 1):
-        inside = np.flatnonzero(room >= size - 1)
-        begin = at[inside] - (size - 1)
-        needed += [gram_hashes(laid, size)[begin], gram_hashes(laid, size - 1)[begin]]
-        wanted.append(inside)
-    if not needed:
-        return _Laid(words, of, lengths, np.zeros(0, np.uint64), [])
-    grams, where = np.unique(np.concatenate(needed), return_inverse=True)
-    own = np.split(where, np.cumsum([len(one) for one in needed])[:-1])
-    return _Laid(words, of, lengths, grams, list(zip(wanted, own[::2], own[1::2])))
+        runs = gram_hashes(laid, size)
+        if size == 2:
+            yield np.arange(len(of)), runs
+        else:
+            ending = np.flatnonzero(room >= size - 1)
+            yield ending, runs[ending - (size - 2)]
+
+
+def _lay(part: pa.RecordBatch, hashes: _Hashes, order: int) -> _Laid:
+    coded, of, lengths = _with_ends([text.lower() for text in as_bytes(part.column("text"))])
+    words = as_list(coded)
+    own = _hashes(words)
+    grams, places = [], []
+    # Where the run stands that is one shorter and ends with a token.
+    shorter = of
+    for ending, runs in _runs(own, of, lengths, order):
+        grams = grams or [gram_hashes(own, 1)]
+        runs, at = np.unique(runs, return_inverse=True)
+        at += sum(map(len, grams))
+        # For a text's first token this is the end mark of the text before, which is any end mark.
+        places.append((ending, at, shorter[ending - 1]))
+        shorter = np.full(len(of), -1)
+        shorter[ending] = at
+        grams.append(runs)
+    all_grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+    return _Laid(words, hashes.numbers(coded, own), of, lengths, all_grams, places)
+
+
+def _levels(held: Filter, laid: _Laid, hashes: _Hashes) -> np.ndarray:
+    """Levels of ``laid.grams``; those of the words seen most are probed once per worker process."""
+    if not laid.places:
+        return np.zeros(0, np.uint8)
+    if hashes.levels is None:
+        hashes.levels = np.append(levels_of(held, gram_hashes(hashes.hashes, 1)), np.uint8(0))
+    others = np.flatnonzero(np.append(laid.numbers < 0, np.ones(len(laid.grams) - len(laid.words), bool)))
+    levels = np.zeros(len(laid.grams), np.uint8)
+    levels[:len(laid.words)] = hashes.levels[laid.numbers]
+    levels[others] = levels_of(held, laid.grams[others])
+    return levels
 
 
 def _ask_segments(
@@ -502,7 +566,7 @@ def _ask_segments(
         for batch in batches:
             for number, texts in zip(*(batch.column(name).to_pylist() for name in ("slice", "texts"))):
                 part = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_binary())})
-                rows = _by_segment(_lay(part, hashes, order).grams, segments)
+                rows = _by_segment(np.unique(_lay(part, hashes, order).grams), segments)
                 yield rows.append_column("slice", pa.array(np.full(rows.num_rows, number)))
 
     def answered(rows: pa.Table, segment: pa.Table) -> pa.Table:
@@ -530,9 +594,9 @@ def _ask_segments(
         .where(F.col("copies") > 1)
     )
     many = F.coalesce("copies", F.lit(1))
-    rows = probes.join(copies, "segment", "left").select(
+    rows = probes.join(F.broadcast(copies), "segment", "left").select(
         "segment", "grams", "slice", F.pmod(F.xxhash64("slice"), many).alias("copy"))
-    placed = built.join(copies, "segment", "left").select(
+    placed = built.join(F.broadcast(copies), "segment", "left").select(
         "segment", "size", "bits", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("copy"))
     answers = rows.groupBy("segment", "copy").cogroup(placed.groupBy("segment", "copy")).applyInArrow(
         answered, "slice long, segment long, levels binary")
@@ -546,7 +610,7 @@ def _levels_in(segment: pa.Table, grams: np.ndarray) -> np.ndarray:
 
 
 def _score_part(
-    part: pa.RecordBatch, laid: _Laid, levels: np.ndarray, frequent: dict[bytes, int],
+    part: pa.RecordBatch, laid: _Laid, levels: np.ndarray, hashes: _Hashes,
     whole: int, prior: float,
 ) -> Iterator[pa.RecordBatch]:
     """A row of sums for each text, and a row for each word whose count has to be looked up."""
@@ -562,7 +626,7 @@ def _score_part(
         lower = 1 - MIXED * before / (before + prior)
         weight[inside] = MIXED * after / (before + prior) + lower * weight[inside]
         rest[inside] *= lower
-    known = np.fromiter(map(frequent.get, words, repeat(-1)), np.int64, len(words))[of]
+    known = hashes.counts[laid.numbers][of]
     rare = np.flatnonzero(known < 0)
     share = (known + 1) / whole
     with np.errstate(divide="ignore"):
